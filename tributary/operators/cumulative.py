@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tributary.functions.columns import quoted
+from tributary.functions.local import local_table
 
 BINS = 1024
 # Sampled values per wanted edge: more make the bins more even.
@@ -36,16 +37,19 @@ def _pick_edges(values: list, bins: int) -> list:
     return values + [values[-1]] * (want - len(values))
 
 
-def with_bin(df: DataFrame, value: Column, edges: Column, bins: int, out: str) -> DataFrame:
-    """Number of edges below the value, by binary search in a sorted array of ``bins - 1``."""
+def bin_of(value: Column, edges: Column, bins: int) -> Column:
+    """Number of edges below the value, by binary search in a sorted array of ``bins - 1``.
+
+    Written as a fold over the step widths: a chain of columns would be inlined into itself
+    whenever a filter is pushed below it.
+    """
+    steps = []
     step = bins // 2
-    df = df.withColumns({"__v": value, "__e": edges, "__b": F.lit(0)})
     while step:
-        df = df.withColumn("__b", F.when(
-            F.col("__v") > F.element_at("__e", F.col("__b") + F.lit(step)),
-            F.col("__b") + F.lit(step)).otherwise(F.col("__b")))
+        steps.append(F.lit(step))
         step //= 2
-    return df.withColumn(out, F.coalesce(F.col("__b"), F.lit(0))).drop("__v", "__e", "__b")
+    below = lambda b, s: F.when(value > F.element_at(edges, b + s), b + s).otherwise(b)
+    return F.coalesce(F.aggregate(F.array(*steps), F.lit(0), below), F.lit(0))
 
 
 def running_total(df: DataFrame, order: list[str], amount: str, out: str, bins: int = BINS) -> DataFrame:
@@ -59,9 +63,9 @@ def running_total(df: DataFrame, order: list[str], amount: str, out: str, bins:
     if not edges:
         binned = df.withColumn("__bin", F.lit(0))
     else:
-        table = df.sparkSession.createDataFrame(
-            [(edges,)], T.StructType([T.StructField("e", T.ArrayType(key_type))]))
-        binned = with_bin(df, key, table.scalar(), bins, "__bin")
+        table = local_table(
+            df.sparkSession, [(edges,)], T.StructType([T.StructField("e", T.ArrayType(key_type))]))
+        binned = df.withColumn("__bin", bin_of(key, table.scalar(), bins))
     sums = binned.groupBy("__bin").agg(F.sum(quoted(amount)).alias("__sum"))
     # At most ``bins`` rows: the only window without a partition key.
     before = sums.select("__bin", (F.sum("__sum").over(W.orderBy("__bin")) - F.col("__sum")).alias("__before"))
@@ -84,9 +88,9 @@ class Found:
 class RankedColumns:
     """Values at given ranks of several numeric columns, nulls and NaN left out.
 
-    One shuffle counts distinct values of all columns together. Each call of ``at`` then reads
-    only the bins that hold the asked ranks. The driver keeps ``bins`` counts per column and
-    the values it asked for.
+    One shuffle counts distinct values of all columns together, a second one sorts them bin by
+    bin and gives every value its rank interval. Each call of ``at`` only scans that table. The
+    driver keeps ``bins`` counts per column and the values it asked for.
     """
 
     def __init__(self, df: DataFrame, cols: list[str], bins: int = BINS):
@@ -112,45 +116,48 @@ class RankedColumns:
                 samples[r["column"]].append(r["value"])
         # A column whose sample came out empty stays in one bin.
         self._edges = {i: _pick_edges(s, bins) or [0.0] * (bins - 1) for i, s in samples.items()}
-        table = self.spark.createDataFrame(
-            list(self._edges.items()), "column int, edges array<double>")
-        self._binned = with_bin(self._hist.join(F.broadcast(table), "column"),
-                                F.col("value"), F.col("edges"), bins, "bin").drop("edges")
-        self._starts: dict[int, list[int]] = {i: [] for i in range(len(self.cols))}
-        self._bin_ids: dict[int, list[int]] = {i: [] for i in range(len(self.cols))}
-        totals = self._binned.groupBy("column", "bin").agg(F.sum("n").alias("n")).collect()
-        upto = {i: 0 for i in range(len(self.cols))}
+        table = local_table(
+            self.spark, list(self._edges.items()), "column int, edges array<double>")
+        binned = self._hist.join(F.broadcast(table), "column").select(
+            "column", bin_of(F.col("value"), F.col("edges"), bins).alias("bin"), "value", "n")
+        totals = binned.groupBy("column", "bin").agg(F.sum("n").alias("n")).collect()
+        starts, upto = [], {i: 0 for i in range(len(self.cols))}
         for r in sorted(totals, key=lambda r: (r["column"], r["bin"])):
-            i = r["column"]
-            self._starts[i].append(upto[i])
-            self._bin_ids[i].append(r["bin"])
-            upto[i] += int(r["n"])
+            starts.append((r["column"], r["bin"], upto[r["column"]]))
+            upto[r["column"]] += int(r["n"])
+        offsets = local_table(self.spark, starts, "column int, bin int, start bigint")
+        within = F.sum("n").over(W.partitionBy("column", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+        ranked = (binned.withColumn("within", within).join(F.broadcast(offsets), ["column", "bin"])
+                  .withColumn("upto", F.col("within") + F.col("start")))
+        self._ranked = ranked.select("column", "value", (F.col("upto") - F.col("n")).alias("below"), "upto").persist(
+            StorageLevel.MEMORY_AND_DISK)
 
     def at(self, ranks: dict[str, set[int]]) -> dict[str, dict[int, Found]]:
-        """The value at each 0-based rank of each column."""
-        targets = []
-        for c, wanted in ranks.items():
-            i = self.cols.index(c)
-            for rank in wanted:
-                j = bisect.bisect_right(self._starts[i], rank) - 1
-                targets.append((i, self._bin_ids[i][j], self._starts[i][j], int(rank)))
+        """The value at each 0-based rank of each column; one scan without a shuffle."""
         out: dict[str, dict[int, Found]] = {c: {} for c in ranks}
-        if not targets:
+        asked = {self.cols.index(c): sorted(r) for c, r in ranks.items() if r}
+        if not asked:
             return out
-        asked = self.spark.createDataFrame(targets, "column int, bin int, start bigint, rank bigint")
-        wanted_bins = asked.groupBy("column", "bin", "start").agg(F.collect_set("rank").alias("ranks"))
-        w = W.partitionBy("column", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-        upto = F.sum("n").over(w) + F.col("start")
-        found = (self._binned.join(F.broadcast(wanted_bins), ["column", "bin"])
-                 .withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
-                 .withColumn("hits", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto"))))
-                 .where(F.size("hits") > 0)
-                 .select("column", F.explode("hits").alias("rank"), "value", "below", "upto"))
-        for r in found.collect():
-            out[self.cols[r["column"]]][r["rank"]] = Found(r["value"], r["below"], r["upto"])
+        size = 2
+        while size - 1 < max(map(len, asked.values())):
+            size *= 2
+        wanted = F.lit(None).cast("array<bigint>")
+        for i, r in asked.items():
+            padded = F.array(*[F.lit(x).cast("bigint") for x in r + [r[-1]] * (size - 1 - len(r))])
+            wanted = F.when(F.col("column") == i, padded).otherwise(wanted)
+        # A value holds an asked rank when the number of asked ranks below its end exceeds the
+        # number below its start.
+        hit = bin_of(F.col("upto"), F.col("wanted"), size) > bin_of(F.col("below"), F.col("wanted"), size)
+        found = (self._ranked.where(F.col("column").isin(list(asked))).withColumn("wanted", wanted)
+                 .where(hit).select("column", "value", "below", "upto").collect())
+        for r in found:
+            spots = asked[r["column"]]
+            for rank in spots[bisect.bisect_left(spots, r["below"]):bisect.bisect_left(spots, r["upto"])]:
+                out[self.cols[r["column"]]][rank] = Found(r["value"], r["below"], r["upto"])
         return out
 
     def close(self) -> None:
+        self._ranked.unpersist()
         self._hist.unpersist()
 
     def __enter__(self) -> "RankedColumns":

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import quoted
+from tributary.functions.local import local_table
 from tributary.operators.cumulative import RankedColumns
 
 NULL_CODE = "nan"
@@ -93,7 +94,7 @@ class MedianCodes:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(c, path, m, m is None) for c, tree in self.nodes.items() for path, m in tree.items()]
-        return spark.createDataFrame(rows, THRESHOLD_SCHEMA)
+        return local_table(spark, rows, THRESHOLD_SCHEMA)
 
     @classmethod
     def from_table(cls, table: DataFrame) -> "MedianCodes":
@@ -191,7 +192,7 @@ class BinEdges:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(c, i, float(e)) for c, es in self.edges.items() for i, e in enumerate(es)]
-        return spark.createDataFrame(rows, EDGE_SCHEMA)
+        return local_table(spark, rows, EDGE_SCHEMA)
 
     @classmethod
     def from_table(cls, table: DataFrame, include_lowest: bool) -> "BinEdges":

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tributary.functions.columns import quoted
+from tributary.functions.local import local_table
 
 # An entity is cut when it holds more rows than this and more than a 1/8192 share of the
 # table; the share keeps the list of hot entities under 8192 rows however large the table is.
@@ -77,7 +78,7 @@ class EntityLayout:
                                T.StructField("__lo", T.DoubleType()),
                                T.StructField("__hi", T.DoubleType())])
         rows = [tuple(r[k] for k in keys) + (r["__lo"], r["__hi"]) for r in big]
-        return cls(keys, order, df.sparkSession.createDataFrame(rows, schema))
+        return cls(keys, order, local_table(df.sparkSession, rows, schema))
 
     @property
     def is_split(self) -> bool:

@@ -86,8 +86,11 @@ def rejected_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def add_time(df: DataFrame, ts: Column, minutes: str = "total_minutes", hour: str = "Hour") -> DataFrame:
-    """Hour of day and whole minutes since 1970."""
-    return df.withColumns({hour: F.hour(ts), minutes: C.epoch_minutes(ts)})
+    """Hour of day and whole minutes since 1970; an hour column the table brings along stays."""
+    new = {minutes: C.epoch_minutes(ts)}
+    if hour.lower() not in [c.lower() for c in df.columns]:
+        new[hour] = F.hour(ts)
+    return df.withColumns(new)
 
 
 def clean_categories(df: DataFrame, schema: EventSchema) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import mapped, quoted
+from tributary.functions.local import local_table
 
 # The file name of a run's metrics and how the data sets are called in reports.
 RUN_FILE = r"^table-(.+)(\d{4}-\d{2}-\d{2}-\d{2}-\d{2})-(train|eval)_stats\.csv"
@@ -103,7 +104,7 @@ def metric_pivot(df: DataFrame, index: str, columns: str, values: list, metric:
 
 
 def published_results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, m, v, 0.0) for m, d, v in PUBLISHED],
+    return local_table(spark, [(d, m, v, 0.0) for m, d, v in PUBLISHED],
                                  "Dataset string, Method string, Value double, Std double")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tributary.functions.columns import boolean_text, joined, quoted, without_whitespace
+from tributary.functions.local import local_table
 from tributary.schema import EventSchema
 
 ROW = "[ROW]"
@@ -129,8 +130,8 @@ def fit_vocabulary(tokens: DataFrame, words: Column, size: int = VOCABULARY_SIZE
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     counts = counts.where(~F.col("token").isin(SPECIALS))
     top = counts.orderBy(F.desc("freq"), "token").limit(size - len(SPECIALS))
-    special = tokens.sparkSession.createDataFrame(
-        [(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, freq bigint")
+    special = local_table(
+        tokens.sparkSession, [(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, freq bigint")
     return _with_parts(special.unionByName(_numbered(top, len(SPECIALS))))
 
 
@@ -149,8 +150,8 @@ def fit_column_vocabulary(df: DataFrame, cols: list[str], size: int = VOCABULARY
     ids = F.row_number().over(W.orderBy("col_ix", "token")) + F.lit(n - 1)
     checked = F.when(ids < size, ids).otherwise(
         F.raise_error(F.lit(f"more than {size} distinct values for one vocabulary")).cast("int"))
-    special = df.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(INSERTION_SPECIALS)], "token string, id int")
+    special = local_table(
+        df.sparkSession, [(t, i) for i, t in enumerate(INSERTION_SPECIALS)], "token string, id int")
     return special.unionByName(values.select("token", checked.cast("int").alias("id")))
 
 

@@ -38,7 +38,7 @@ def latest_results(spark: SparkSession, folder: str, phase: str, sep: str = "\t"
     chosen = [r["path"] for r in latest_runs(parse_run_files(files), phase).select("path").collect()]
     if not chosen:
         raise ValueError(f"no {phase} results in {folder}")
-    tables = [spark.read.option("header", True).option("sep", sep).option("inferSchema", True).csv(p) for p in chosen]
+    tables = [spark.read.option("header", True).option("sep", sep).csv(p) for p in chosen]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
