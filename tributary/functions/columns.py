@@ -103,8 +103,12 @@ def epoch_timestamp(seconds: Column) -> Column:
 
 
 def compact_timestamp(c: Column) -> Column:
-    """``21OCT17:00:00:00`` style text; unreadable text becomes null."""
-    return F.try_to_timestamp(c, F.lit("ddMMMyy:HH:mm:ss")).cast("timestamp_ntz")
+    """``21OCT17:00:00:00`` style text; unreadable text becomes null.
+
+    Two-digit years from 69 on lie in the last century, as in C's ``%y``.
+    """
+    ts = F.try_to_timestamp(c, F.lit("ddMMMyy:HH:mm:ss")).cast("timestamp_ntz")
+    return F.when(F.year(ts) >= 2069, ts - F.make_ym_interval(F.lit(100))).otherwise(ts)
 
 
 def epoch_seconds(ts: Column) -> Column:

@@ -1,13 +1,14 @@
 """Exact order statistics and running totals without sorting a table in one task.
 
-Values are cut into bins at sampled edges. Bin totals are a few thousand rows; they give the
-offset of every bin, and only rows inside a bin are ever sorted together. The sample decides
+Values are cut into bins at approximate edges. Bin totals are a few thousand rows; they give the
+offset of every bin, and only rows inside a bin are ever sorted together. The edges decide
 how even the bins are, never the result.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -43,13 +44,9 @@ def bin_of(value: Column, edges: Column, bins: int) -> Column:
     Written as a fold over the step widths: a chain of columns would be inlined into itself
     whenever a filter is pushed below it.
     """
-    steps = []
-    step = bins // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
+    steps = F.expr("array(" + ", ".join(str(1 << k) for k in reversed(range(bins.bit_length() - 1))) + ")")
     below = lambda b, s: F.when(value > F.element_at(edges, b + s), b + s).otherwise(b)
-    return F.coalesce(F.aggregate(F.array(*steps), F.lit(0), below), F.lit(0))
+    return F.coalesce(F.aggregate(steps, F.lit(0), below), F.lit(0))
 
 
 def running_total(df: DataFrame, order: list[str], amount: str, out: str, bins: int = BINS) -> DataFrame:
@@ -63,9 +60,11 @@ def running_total(df: DataFrame, order: list[str], amount: str, out: str, bins:
     if not edges:
         binned = df.withColumn("__bin", F.lit(0))
     else:
-        table = local_table(
-            df.sparkSession, [(edges,)], T.StructType([T.StructField("e", T.ArrayType(key_type))]))
-        binned = df.withColumn("__bin", bin_of(key, table.scalar(), bins))
+        # As JSON the edges are one literal; a bound that does not survive the trip only makes
+        # bins less even.
+        names = [f.name for f in key_type.fields]
+        listed = F.from_json(F.lit(json.dumps([dict(zip(names, e)) for e in edges], default=str)), T.ArrayType(key_type))
+        binned = df.withColumn("__bin", bin_of(key, listed, bins))
     sums = binned.groupBy("__bin").agg(F.sum(quoted(amount)).alias("__sum"))
     # At most ``bins`` rows: the only window without a partition key.
     before = sums.select("__bin", (F.sum("__sum").over(W.orderBy("__bin")) - F.col("__sum")).alias("__before"))
@@ -104,28 +103,18 @@ class RankedColumns:
         # -0.0 and 0.0 are one value.
         self._hist = (long.groupBy("column", (F.col("value") + F.lit(0.0)).alias("value"))
                       .agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK))
-        sizes = self._hist.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()
-        self.n = {c: 0 for c in self.cols}
-        fractions = {}
-        for r in sizes:
-            self.n[self.cols[r["column"]]] = int(r["n"])
-            fractions[r["column"]] = min(1.0, bins * OVERSAMPLE / r["d"])
-        samples: dict[int, list[float]] = {i: [] for i in range(len(self.cols))}
-        if fractions:
-            for r in self._hist.sampleBy("column", fractions, SAMPLE_SEED).select("column", "value").collect():
-                samples[r["column"]].append(r["value"])
-        # A column whose sample came out empty stays in one bin.
-        self._edges = {i: _pick_edges(s, bins) or [0.0] * (bins - 1) for i, s in samples.items()}
-        table = local_table(
-            self.spark, list(self._edges.items()), "column int, edges array<double>")
+        # One parsed expression: a thousand literal columns would be a thousand calls to the JVM.
+        cuts = F.expr("array(" + ", ".join(f"{i / bins!r}D" for i in range(1, bins)) + ")")
+        edges = self._hist.groupBy("column").agg(
+            F.sum("n").alias("n"), F.percentile_approx("value", cuts, bins * 4).alias("edges")).collect()
+        self.n = {c: 0 for c in self.cols} | {self.cols[r["column"]]: int(r["n"]) for r in edges}
+        table = local_table(self.spark, [(r["column"], r["edges"]) for r in edges], "column int, edges array<double>")
         binned = self._hist.join(F.broadcast(table), "column").select(
             "column", bin_of(F.col("value"), F.col("edges"), bins).alias("bin"), "value", "n")
-        totals = binned.groupBy("column", "bin").agg(F.sum("n").alias("n")).collect()
-        starts, upto = [], {i: 0 for i in range(len(self.cols))}
-        for r in sorted(totals, key=lambda r: (r["column"], r["bin"])):
-            starts.append((r["column"], r["bin"], upto[r["column"]]))
-            upto[r["column"]] += int(r["n"])
-        offsets = local_table(self.spark, starts, "column int, bin int, start bigint")
+        # At most ``bins`` rows per column.
+        totals = binned.groupBy("column", "bin").agg(F.sum("n").alias("t"))
+        before = F.sum("t").over(W.partitionBy("column").orderBy("bin")) - F.col("t")
+        offsets = totals.select("column", "bin", before.alias("start"))
         within = F.sum("n").over(W.partitionBy("column", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
         ranked = (binned.withColumn("within", within).join(F.broadcast(offsets), ["column", "bin"])
                   .withColumn("upto", F.col("within") + F.col("start")))
@@ -143,7 +132,7 @@ class RankedColumns:
             size *= 2
         wanted = F.lit(None).cast("array<bigint>")
         for i, r in asked.items():
-            padded = F.array(*[F.lit(x).cast("bigint") for x in r + [r[-1]] * (size - 1 - len(r))])
+            padded = F.expr("array(" + ", ".join(f"{x}L" for x in r + [r[-1]] * (size - 1 - len(r))) + ")")
             wanted = F.when(F.col("column") == i, padded).otherwise(wanted)
         # A value holds an asked rank when the number of asked ranks below its end exceeds the
         # number below its start.

@@ -130,14 +130,14 @@ def mode_sql(source: str, keys: list[str], col: str, out: str) -> str:
 def entity_stats_ctes(source: str) -> str:
     keys = ["o_custkey", "l_linenumber"]
     return f"""
-num AS (SELECT o_custkey, l_linenumber, avg(l_extendedprice) AS a, stddev_samp(l_extendedprice) AS s FROM {source} GROUP BY ALL),
+num AS (SELECT o_custkey, l_linenumber, avg(l_quantity) AS a, stddev_samp(l_quantity) AS s FROM {source} GROUP BY ALL),
 mf AS ({mode_sql(source, keys, 'l_returnflag', 'top_flag')}),
 mp AS ({mode_sql(source, keys, 'o_orderpriority', 'top_priority')}),
 st AS (SELECT * FROM num JOIN mf USING (o_custkey, l_linenumber) JOIN mp USING (o_custkey, l_linenumber))"""
 
 
 def dataset_stats_select(source: str) -> str:
-    return f"""SELECT avg(l_extendedprice) AS avg_dollar_amt, stddev_samp(l_extendedprice) AS std_dollar_amt,
+    return f"""SELECT avg(l_quantity) AS avg_dollar_amt, stddev_samp(l_quantity) AS std_dollar_amt,
   ({mode_sql(source, [], 'l_returnflag', 'x')}) AS top_flag, ({mode_sql(source, [], 'o_orderpriority', 'x')}) AS top_priority
 FROM {source}"""
 
@@ -160,7 +160,7 @@ def profile_sql() -> str:
                              ("event_type", "label", "event_type"))]
     for c, x in (("value", "value"), ("Hour", "h::DOUBLE"), ("total_minutes_from_last", "gap::DOUBLE")):
         for s, f in (("mean", f"avg({x})"), ("std", f"stddev_samp({x})"), ("min", f"min({x})"), ("max", f"max({x})"),
-                     ("buckets", "32::DOUBLE")):
+                     ("buckets", "max(32::DOUBLE)")):
             parts.append(f"SELECT '{c}', 'numeric', '{s}', {f} FROM gaps")
     body = " UNION ALL ".join(parts)
     return with_(EV, f"SELECT \"column\", role, stat, round(value, 6) AS value FROM ({body})")
@@ -265,7 +265,7 @@ two AS MATERIALIZED (SELECT event_type, {w[0]} AS a, {w[1]} AS b FROM lab),
 e AS (SELECT (CASE WHEN round(b / (a + b), 6) > round(a / (a + b), 6) THEN 'error' ELSE 'no' END = 'error') = (event_type = 'error') AS hit FROM two),
 acc AS (SELECT 4::BIGINT AS col_id, count(*) AS rows, avg(hit::INT) AS accuracy FROM e UNION ALL
   SELECT 5, count(*), avg((pred = target)::INT) FROM preds WHERE variant = '')""",
-        "SELECT col_id, rows, round(accuracy, 9) AS accuracy FROM acc UNION ALL SELECT -1, NULL, round(avg(accuracy), 9) FROM acc")
+        "SELECT col_id, rows, round(accuracy, 9) AS accuracy FROM acc UNION ALL SELECT -1, 0, round(avg(accuracy), 9) FROM acc")
 
 
 RUNS = r"""
@@ -369,15 +369,15 @@ def oracle() -> dict[str, str]:
     seq = "user_id, seq_idx"
     stamp = lambda e: f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
     joined_stats = f"""SELECT {LINE_KEY}, l.o_custkey,
-  round(coalesce(a, d.avg_dollar_amt), 4) AS avg_dollar_amt, round(coalesce(s, d.std_dollar_amt), 4) AS std_dollar_amt,
+  round(coalesce(a, d.avg_dollar_amt), 6) AS avg_dollar_amt, round(coalesce(s, d.std_dollar_amt), 6) AS std_dollar_amt,
   coalesce(st.top_flag, d.top_flag) AS top_flag, coalesce(st.top_priority, d.top_priority) AS top_priority
 FROM lines l LEFT JOIN st USING (o_custkey, l_linenumber), d"""
     q = {
         "time_gaps": with_(EV, "SELECT user_id, event_id, m AS total_minutes, h AS hour_of_day, gap AS total_minutes_from_last FROM gaps"),
         "entity_stats": with_(LINES + "," + entity_stats_ctes("lines"),
-                              "SELECT o_custkey, l_linenumber, round(a, 4) AS avg_dollar_amt, round(s, 4) AS std_dollar_amt, top_flag, top_priority FROM st"),
+                              "SELECT o_custkey, l_linenumber, round(a, 6) AS avg_dollar_amt, round(s, 6) AS std_dollar_amt, top_flag, top_priority FROM st"),
         "dataset_stats": with_(LINES + f", d AS ({dataset_stats_select('lines')})",
-                               "SELECT round(avg_dollar_amt, 4) AS avg_dollar_amt, round(std_dollar_amt, 4) AS std_dollar_amt, top_flag, top_priority FROM d"),
+                               "SELECT round(avg_dollar_amt, 6) AS avg_dollar_amt, round(std_dollar_amt, 6) AS std_dollar_amt, top_flag, top_priority FROM d"),
         "entity_stats_joined": with_(
             LINES + ", hist AS MATERIALIZED (SELECT * FROM lines WHERE l_shipdate < TIMESTAMP '1998-01-01'),"
             + entity_stats_ctes("hist") + f", d AS ({dataset_stats_select('hist')})", joined_stats),
@@ -428,7 +428,7 @@ codes AS MATERIALIZED (SELECT rid, {', '.join(f"max(CASE WHEN col = '{c}' THEN p
         "composite_token": "SELECT user_id, strftime(ts, '%m-%d') AS day, event_type || '_' || strftime(ts, '%m-%d') AS tokens FROM events",
         "atomic_layout": "SELECT user_id, event_type, strftime(ts, '%m-%d') AS day, strftime(ts, '%m-%d') AS label_day FROM events",
         "record_output": "SELECT event_id, user_id, event_type || ' ' || strftime(ts, '%m-%d') AS text, strftime(ts, '%m-%d') AS label FROM events",
-        "vocabulary": with_(vocabulary_ctes(), f"SELECT token, id::BIGINT AS id, {PARTS}, freq::BIGINT AS freq FROM vocab"),
+        "vocabulary": with_(vocabulary_ctes(), f"SELECT token, id, coalesce(col_id, -1) AS col_id, coalesce(value, '') AS value, freq FROM (SELECT token, id::BIGINT AS id, {PARTS}, freq::BIGINT AS freq FROM vocab)"),
         "column_vocabulary": with_(EVENT_CODES + """,
 firsts AS (SELECT token, min(i) AS c FROM cells WHERE i < 6 GROUP BY token)""",
             """SELECT token, (3 + row_number() OVER (ORDER BY c, token))::BIGINT AS id FROM firsts UNION ALL
@@ -510,7 +510,7 @@ FROM chosen WHERE masking = 0 UNION ALL SELECT * FROM (VALUES {published_values(
     PARTITION BY o_custkey, o_orderstatus, substr(o_orderpriority, 1, 1) ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1""",
         "top_rows": f"SELECT o_orderkey, o_custkey, {stamp('o_orderdate')} AS day FROM orders ORDER BY o_custkey, day, o_orderkey LIMIT 25",
         "io_roundtrip": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {stamp('o_orderdate')} AS o_orderdate, o_orderpriority FROM orders",
-        "metrics_append": """SELECT o_orderstatus, count(*) AS n, NULL::BIGINT AS last_key FROM orders GROUP BY 1 UNION ALL
+        "metrics_append": """SELECT o_orderstatus, count(*) AS n, (-1)::BIGINT AS last_key FROM orders GROUP BY 1 UNION ALL
 SELECT o_orderstatus, count(*), max(o_orderkey) FROM orders GROUP BY 1""",
     }
     row_split = f"""

@@ -81,20 +81,20 @@ def _rounded(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
 
 
 def entity_stats(spark, sf_dir):
-    out = stats.entity_stats(lines(spark, sf_dir), ["o_custkey", "l_linenumber"], "l_extendedprice", MODES)
-    return _rounded(out, "avg_dollar_amt", "std_dollar_amt")
+    out = stats.entity_stats(lines(spark, sf_dir), ["o_custkey", "l_linenumber"], "l_quantity", MODES)
+    return _rounded(out, "avg_dollar_amt", "std_dollar_amt", digits=6)
 
 
 def dataset_stats(spark, sf_dir):
-    out = stats.dataset_stats(lines(spark, sf_dir), "l_extendedprice", MODES)
-    return _rounded(out, "avg_dollar_amt", "std_dollar_amt")
+    out = stats.dataset_stats(lines(spark, sf_dir), "l_quantity", MODES)
+    return _rounded(out, "avg_dollar_amt", "std_dollar_amt", digits=6)
 
 
 def entity_stats_joined(spark, sf_dir):
     current = lines(spark, sf_dir)
     history = current.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    out = stats.join_entity_stats(current, history, ["o_custkey", "l_linenumber"], "l_extendedprice", MODES)
-    return _rounded(out, "avg_dollar_amt", "std_dollar_amt").select(
+    out = stats.join_entity_stats(current, history, ["o_custkey", "l_linenumber"], "l_quantity", MODES)
+    return _rounded(out, "avg_dollar_amt", "std_dollar_amt", digits=6).select(
         *LINE_KEY, "o_custkey", "avg_dollar_amt", "std_dollar_amt", *MODES)
 
 
@@ -295,8 +295,8 @@ def record_output(spark, sf_dir):
 def vocabulary(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     fitted = tokens.fit_vocabulary(t, tokens.token_array(t, ACTIVITY.schema))
-    return fitted.select("token", F.col("id").cast("bigint").alias("id"), F.col("col_id").cast("bigint").alias("col_id"),
-                         "value", "freq")
+    return fitted.select("token", F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("col_id"), F.lit(-1)).cast("bigint").alias("col_id"),
+                         F.coalesce("value", F.lit("")).alias("value"), "freq")
 
 
 def column_vocabulary(spark, sf_dir):
@@ -542,7 +542,7 @@ def column_accuracy(spark, sf_dir):
     scored = rows.select("user_id", F.explode(both).alias("s")).select("user_id", "s.*")
     per_column = evaluate.column_accuracy(evaluate.with_class(scored, class_table(spark)))
     overall = evaluate.overall_accuracy(per_column).select(
-        F.lit(-1).alias("col_id"), F.lit(None).cast("bigint").alias("rows"), F.col("accuracy_overall").alias("accuracy"))
+        F.lit(-1).alias("col_id"), F.lit(0).cast("bigint").alias("rows"), F.col("accuracy_overall").alias("accuracy"))
     out = per_column.unionByName(overall)
     return out.select(F.col("col_id").cast("bigint").alias("col_id"), "rows", F.round("accuracy", 9).alias("accuracy"))
 
@@ -716,7 +716,7 @@ def metrics_append(spark, sf_dir):
     runs.append_metrics(totals, f"{base}/metrics")
     runs.append_metrics(orders.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key")), f"{base}/metrics")
-    return runs.read_metrics(spark, f"{base}/metrics")
+    return runs.read_metrics(spark, f"{base}/metrics").withColumn("last_key", F.coalesce("last_key", F.lit(-1)))
 
 
 QUERIES = [
