@@ -98,10 +98,10 @@ class EntityLayout:
             match = same if match is None else match & same
         x = _position(df, self.order[0])
         width = (F.col("__hi") - F.col("__lo")) / F.lit(float(CELLS))
-        cell = F.when(F.col("__hi") > F.col("__lo"),
+        # Nulls sort first, so they belong to the first cell. ``least`` skips nulls.
+        cell = F.when(x.isNotNull() & (F.col("__hi") > F.col("__lo")),
                       F.least(F.lit(CELLS - 1), F.floor((x - F.col("__lo")) / width)))
-        # Nulls sort first, so they belong to the first cell.
-        cell = F.coalesce(F.greatest(cell, F.lit(0)), F.lit(0)).cast("int")
+        cell = F.coalesce(cell, F.lit(0)).cast("int")
         return (df.join(F.broadcast(hot), match, how)
                 .withColumn(_CELL, cell).drop(*names, "__lo", "__hi"))
 
