@@ -20,8 +20,9 @@ from pyspark.sql import Window as W
 from tributary.functions.columns import quoted
 from tributary.functions.local import local_table
 
-# An entity is cut when it holds more rows than this and more than a 1/8192 share of the
-# table; the share keeps the list of hot entities under 8192 rows however large the table is.
+# An entity is cut when it holds more rows than this. The list of cut entities is broadcast, so
+# only the MAX_HOT largest are on it; any other entity is below a 1/8192 share of the table and
+# goes through an ordinary, spilling window with the same result.
 SPLIT_ROWS = 5_000_000
 MAX_HOT = 8192
 # Cells per hot entity. The summary has at most one row per cell.
@@ -33,8 +34,9 @@ _CELL = "__cell"
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for plain scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a plan (file sizes for plain scans); unknown counts as large."""
+    plan = getattr(df, "_jdf", None)
+    return 1 << 62 if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _position(df: DataFrame, name: str) -> Column:

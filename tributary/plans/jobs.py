@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tributary.functions.columns import quoted
 from tributary.operators.discretize import MedianCodes
 from tributary.operators.layout import EntityLayout, with_ordinal
 from tributary.operators.sequence import sequences, shuffle_columns, text_sequences
@@ -28,10 +29,23 @@ class Encoder:
 
     @classmethod
     def fit(cls, events: DataFrame, schema: EventSchema, depth: int = 5,
-            size: int = VOCABULARY_SIZE) -> "Encoder":
-        codes = MedianCodes.fit(events, schema.numeric, depth)
-        tokens = cell_tokens(codes.transform(events), schema)
-        return cls(schema, codes, pinned(fit_vocabulary(tokens, token_array(tokens, schema), size)))
+            size: int = VOCABULARY_SIZE, persist: bool = False) -> "Encoder":
+        """Fit thresholds, then the vocabulary over the coded cells: two passes over the events.
+
+        ``persist`` keeps the data columns on the executors between the passes. Use it when
+        ``events`` ends in the gap window, so that the window's shuffle is not repeated; leave
+        it off when ``events`` is read from a written table.
+        """
+        cells = events.select(*map(quoted, schema.data_cols))
+        if persist:
+            cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            codes = MedianCodes.fit(cells, schema.numeric, depth)
+            tokens = cell_tokens(codes.transform(cells), schema)
+            return cls(schema, codes, pinned(fit_vocabulary(tokens, token_array(tokens, schema), size)))
+        finally:
+            if persist:
+                cells.unpersist()
 
     def tokens(self, events: DataFrame) -> DataFrame:
         return cell_tokens(self.codes.transform(events), self.schema)

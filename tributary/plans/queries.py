@@ -320,7 +320,7 @@ def vocabulary_metrics(spark, sf_dir):
 
 
 def _encoder(spark, sf_dir, events: DataFrame | None = None, size: int = tokens.VOCABULARY_SIZE) -> Encoder:
-    return Encoder.fit(activity(spark, sf_dir) if events is None else events, ACTIVITY.schema, size=size)
+    return Encoder.fit(activity(spark, sf_dir) if events is None else events, ACTIVITY.schema, size=size, persist=True)
 
 
 def encoded_rows(spark, sf_dir):

@@ -54,7 +54,11 @@ def read_events(spark: SparkSession, path: str | list[str], fmt: str, schema: T.
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], fmt: str = "csv", sep: str = ",",
                  mode: str = "errorifexists") -> None:
-    """Write in key order: range partitions, each sorted, so file order is key order."""
+    """Write in key order: range partitions, each sorted, so file order is key order.
+
+    Give the order columns after the index columns: a range can only be cut between different
+    keys, so a hot entity is spread by its order.
+    """
     cols = [quoted(k) for k in keys]
     writer = df.repartitionByRange(*cols).sortWithinPartitions(*cols).write.mode(mode)
     if fmt == "csv":
