@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import masking, sequence, tokens
+from tributary.operators import layout, masking, sequence, tokens
 from tributary.operators.split import HashSplit, restore_split, shared_keys
 from tributary.plans.datasets import ACTIVITY
 from tributary.plans.jobs import Encoder, sequence_table
@@ -48,6 +48,16 @@ def test_same_result_for_any_partitioning(spark, prepared, seqs):
         assert sorted(map(repr, sequence_table(events.repartition(n), encoder, L).collect())) == want
 
 
+def test_cut_hot_entities_give_the_same_sequences(spark, monkeypatch, seqs):
+    monkeypatch.setattr(layout, "SMALL_INPUT", 0)
+    monkeypatch.setattr(layout, "SPLIT_ROWS", 60)
+    raw = spark.read.parquet(f"{SF}/events.parquet")
+    events = ACTIVITY.normalise(raw)
+    assert layout.EntityLayout.fit(events, ["user_id"], ACTIVITY.schema.order).is_split
+    cut = sequence_table(events, Encoder.fit(events, ACTIVITY.schema), L)
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, seqs.collect()))
+
+
 def test_shuffled_rows_keep_their_cells(prepared, seqs):
     plain = {(r["user_id"], r["seq_idx"]): r for r in seqs.collect()}
     out = sequence_table(*prepared, L, randomize=True).collect()

@@ -57,10 +57,15 @@ class EntityLayout:
     hot: DataFrame | None = None
 
     @classmethod
-    def fit(cls, df: DataFrame, keys, order, split_rows: int = SPLIT_ROWS,
-            small_input: int = SMALL_INPUT) -> "EntityLayout":
-        """Find the entities that need cutting; most tables have none."""
+    def fit(cls, df: DataFrame, keys, order, split_rows: int | None = None,
+            small_input: int | None = None) -> "EntityLayout":
+        """Find the entities that need cutting; most tables have none.
+
+        One count per entity over the key and first order column, skipped for small inputs.
+        """
         keys, order = list(keys), list(order)
+        split_rows = SPLIT_ROWS if split_rows is None else split_rows
+        small_input = SMALL_INPUT if small_input is None else small_input
         if not order:
             raise ValueError("an event order is needed")
         if estimated_bytes(df) <= small_input:
