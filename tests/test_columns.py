@@ -77,3 +77,9 @@ def test_column_order_contract():
     assert s.data_cols == ["c", "y", "n", "b", "z"]
     assert s.n_cols == 6 and s.label_position() == 4 and s.label_position("y") == 1
     assert s.order == ["card", "total_minutes", "t"]
+
+
+def test_drawn_below_equals_the_number(spark):
+    df = spark.range(500).select(C.digest(F.col("id")).alias("h"))
+    for share in (0.0, 0.15, 0.5, 1.0):
+        assert df.where(C.drawn_below(F.col("h"), share, 1) != (C.uniform_of(F.col("h"), 1) < share)).count() == 0

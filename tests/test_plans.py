@@ -33,7 +33,7 @@ def test_filters_reach_the_scan(spark):
 
 
 @pytest.mark.parametrize("name", ["time_gaps", "entity_stats", "masked_last_event", "text_sequences", "wide_events", "accuracy_variants",
-                                  "auc_ovr", "f1_scores", "change_points", "prompts", "entity_split", "quantile_bins", "median_codes"])
+                                  "auc_ovr", "f1_scores", "change_points", "prompts", "softmax_scores", "entity_split", "quantile_bins", "median_codes"])
 def test_no_single_task_and_no_python(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for word in ("SinglePartition", "Python", "ArrowEval", "CartesianProduct", "NestedLoop"):

@@ -46,7 +46,8 @@ def aligned_targets(seqs: DataFrame, key: list[str], label: int, ids: str = "inp
     cells = F.filter(F.transform(quoted(mask), lambda m, i: F.struct(m.alias("m"), i.alias("i"))),
                      lambda c: c["m"] == label)
     return (seqs.select(*map(quoted, key), F.explode(cells).alias("c"), quoted(ids).alias("__ids"))
-            .select(*map(quoted, key), (F.col("c.i") - 1).alias("pos"), F.lit(label).alias("col_id"),
+            # The column id comes from the mask: as a literal it would turn later joins on it into loops.
+            .select(*map(quoted, key), (F.col("c.i") - 1).alias("pos"), F.col("c.m").alias("col_id"),
                     F.element_at("__ids", F.col("c.i") + 1).alias("target_id")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import digest, quoted, uniform_of
+from tributary.functions.columns import digest, drawn_below, quoted, uniform_of
 from tributary.operators.sequence import IGNORE
 from tributary.operators.tokens import MASK_ID, SPECIALS
 
@@ -18,18 +18,18 @@ def masked_tokens(seqs: DataFrame, key: list[str], vocab_size: int, seed: int, s
     tokens are never chosen. One digest per token gives all four draws.
     """
     base = F.concat_ws("|", F.lit(seed).cast("string"), *[quoted(k).cast("string") for k in key])
-    seqs = seqs.withColumn("__base", base)
-    draws = F.transform(ids, lambda x, i: F.struct(
-        x.alias("x"), F.when(x >= len(SPECIALS), F.md5(F.concat_ws("|", F.col("__base"), i.cast("string")))).alias("h")))
-    chosen = lambda d: d["h"].isNotNull() & (uniform_of(d["h"], 0) < share)
+    digests = F.transform(ids, lambda x, i: F.when(
+        x >= len(SPECIALS), F.md5(F.concat_ws("|", F.col("__base"), i.cast("string")))))
+    cells = F.transform(F.arrays_zip(quoted(ids).alias("x"), F.col("__digests").alias("h")), lambda z: F.struct(
+        z["x"].alias("x"), z["h"].alias("h"), F.coalesce(drawn_below(z["h"], share, 0), F.lit(False)).alias("chosen")))
     random_id = lambda d: F.floor(uniform_of(d["h"], 3) * vocab_size).cast("int")
-    replaced = lambda d: (F.when(~chosen(d), d["x"])
-                          .when(uniform_of(d["h"], 1) < 0.8, F.lit(MASK_ID))
-                          .when(uniform_of(d["h"], 2) < 0.5, random_id(d)).otherwise(d["x"]))
-    return (seqs.withColumn("__draws", draws)
-            .withColumns({ids: F.transform("__draws", replaced),
-                          labels: F.transform("__draws", lambda d: F.when(chosen(d), d["x"]).otherwise(F.lit(IGNORE)))})
-            .drop("__draws", "__base"))
+    replaced = lambda d: (F.when(~d["chosen"], d["x"])
+                          .when(drawn_below(d["h"], 0.8, 1), F.lit(MASK_ID))
+                          .when(drawn_below(d["h"], 0.5, 2), random_id(d)).otherwise(d["x"]))
+    return (seqs.withColumn("__base", base).withColumn("__digests", digests).withColumn("__cells", cells)
+            .withColumns({ids: F.transform("__cells", replaced),
+                          labels: F.transform("__cells", lambda d: F.when(d["chosen"], d["x"]).otherwise(F.lit(IGNORE)))})
+            .drop("__cells", "__digests", "__base"))
 
 
 def label_mask(mask: Column, label: int) -> Column:

@@ -566,8 +566,9 @@ def softmax_scores(spark, sf_dir):
     rows = _labels(spark, sf_dir)
     ids = F.array(C.mapped(F.col("event_type"), {v: i + 6 for i, v in enumerate(CLASSES)}).cast("int"), F.lit(5))
     seqs = sequence.sequences(rows.withColumn("input_ids", ids), "user_id", LENGTH, 2)
-    targets = evaluate.aligned_targets(seqs, ["user_id", "seq_idx"], 0).withColumn("col_id", F.lit(ACTIVITY.schema.label_position()))
-    out = evaluate.softmax_scores(targets, _logits(targets), class_table(spark), ["user_id", "seq_idx"])
+    targets = evaluate.aligned_targets(seqs, ["user_id", "seq_idx"], 0)
+    classes = local_table(spark, [(0, i, v, i + 6, g) for i, (v, g) in enumerate(zip(CLASSES, GROUPS))], evaluate.CLASS_SCHEMA)
+    out = evaluate.softmax_scores(targets, _logits(targets), classes, ["user_id", "seq_idx"])
     return out.select("user_id", F.col("seq_idx").cast("bigint").alias("seq_idx"), F.col("pos").cast("bigint").alias("pos"),
                       F.col("target_ix").cast("bigint").alias("target_ix"),
                       *[F.round(F.col("probs")[i], 9).alias(f"p{i}") for i in range(len(CLASSES))])
