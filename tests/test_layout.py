@@ -69,3 +69,16 @@ def test_change_points_with_nulls(spark):
     df = spark.createDataFrame([(1, 1, None, "x"), (1, 2, None, "y"), (1, 3, "p", "y")], "u int, t int, a string, b string")
     got = {r["t"]: r["changed"] for r in L.change_points(df, EntityLayout(["u"], ["t"]), ["a", "b"]).collect()}
     assert got == {1: ["a", "b"], 2: ["b"], 3: ["a"]}
+
+
+def test_entities_with_few_first_values_are_cut_along_the_second(spark):
+    rng = random.Random(6)
+    rows = [(1, rng.choice([None, 3, 3, 3, 5]), rng.choice([None, rng.randint(0, 10000)]) if i % 50 == 0 else rng.randint(0, 10000), i)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "u int, card int, m bigint, id int").repartition(4)
+    plain = EntityLayout(["u"], ["card", "m", "id"])
+    cut = EntityLayout.fit(df, ["u"], ["card", "m", "id"], split_rows=500, small_input=0)
+    assert cut.hot.first()["__few"]
+    assert cut._with_cell(df, "left").groupBy("__cell").count().agg(F.max("count")).first()[0] < 100
+    a, b = (sorted(map(repr, l.number(df, "pos", {"was": "m"}, "last", "prev").collect())) for l in (plain, cut))
+    assert a == b

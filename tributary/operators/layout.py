@@ -3,7 +3,7 @@
 Window functions put all rows of a key into one task. That is right for millions of ordinary
 entities and wrong for one entity that holds a large share of the table. A layout is fitted
 once per table: it counts rows per entity, and entities above ``split_rows`` are cut into
-cells along their first order column. Windows then run per (entity, cell) and are stitched
+cells along their first order columns. Windows then run per (entity, cell) and are stitched
 with one summary row per cell, so no task ever sees a whole hot entity. Results are the same
 either way.
 """
@@ -27,6 +27,9 @@ SPLIT_ROWS = 5_000_000
 MAX_HOT = 8192
 # Cells per hot entity. The summary has at most one row per cell.
 CELLS = 65_536
+# A first order column with at most this many whole values (a card number) gets a cell per
+# value, each cut further along the second order column.
+FEW_VALUES = 4_096
 # Inputs estimated below this size fit in one task, so they are not searched for hot entities.
 SMALL_INPUT = 512 * 1024 * 1024
 
@@ -39,6 +42,10 @@ def estimated_bytes(df: DataFrame) -> int:
     return 1 << 62 if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _can_cut(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampNTZType, T.TimestampType, T.DateType))
+
+
 def _position(df: DataFrame, name: str) -> Column:
     """The first order column as a number on which an entity can be cut."""
     dtype = df.schema[name].dataType
@@ -70,21 +77,26 @@ class EntityLayout:
             raise ValueError("an event order is needed")
         if estimated_bytes(df) <= small_input:
             return cls(keys, order)
-        cut = next((c for c in order if isinstance(
-            df.schema[c].dataType, (T.NumericType, T.TimestampNTZType, T.TimestampType, T.DateType))), None)
-        if cut is None or order[0] != cut:
+        cuts = [c for c in order[:2] if _can_cut(df, c)]
+        if not cuts or cuts[0] != order[0]:
             return cls(keys, order)
-        x = _position(df, cut)
-        counts = df.groupBy(*map(quoted, keys)).agg(
-            F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+        bounds = [f(_position(df, c)).alias(f"__{name}{i}") for i, c in enumerate(cuts)
+                  for name, f in (("lo", F.min), ("hi", F.max))]
+        counts = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("__n"), *bounds)
         big = (counts.where(F.col("__n") > split_rows)
                .orderBy(F.desc("__n")).limit(MAX_HOT).collect())
         if not big:
             return cls(keys, order)
         schema = T.StructType([*counts.schema.fields[:len(keys)],
-                               T.StructField("__lo", T.DoubleType()),
-                               T.StructField("__hi", T.DoubleType())])
-        rows = [tuple(r[k] for k in keys) + (r["__lo"], r["__hi"]) for r in big]
+                               *[T.StructField(c, T.DoubleType()) for c in ("__lo0", "__hi0", "__lo1", "__hi1")],
+                               T.StructField("__few", T.BooleanType())])
+        two = len(cuts) == 2 and isinstance(df.schema[cuts[0]].dataType, T.IntegralType)
+        rows = []
+        for r in big:
+            lo, hi = r["__lo0"], r["__hi0"]
+            # Beyond 2^53 neighbouring whole numbers are the same double.
+            few = two and lo is not None and hi - lo < FEW_VALUES and max(abs(lo), abs(hi)) < 2 ** 53
+            rows.append(tuple(r[k] for k in keys) + (lo, hi) + ((r["__lo1"], r["__hi1"]) if few else (None, None)) + (few,))
         return cls(keys, order, local_table(df.sparkSession, rows, schema))
 
     @property
@@ -98,19 +110,29 @@ class EntityLayout:
         """Tag rows of hot entities with their cell; other rows get cell 0 or are dropped."""
         hot = self.hot
         names = [f"__hot{i}" for i in range(len(self.keys))]
-        hot = hot.toDF(*names, "__lo", "__hi")
+        bounds = ["__lo0", "__hi0", "__lo1", "__hi1", "__few"]
+        hot = hot.toDF(*names, *bounds)
         match = None
         for k, n in zip(self.keys, names):
             same = quoted(k).eqNullSafe(F.col(n))
             match = same if match is None else match & same
-        x = _position(df, self.order[0])
-        width = (F.col("__hi") - F.col("__lo")) / F.lit(float(CELLS))
-        # Nulls sort first, so they belong to the first cell. ``least`` skips nulls.
-        cell = F.when(x.isNotNull() & (F.col("__hi") > F.col("__lo")),
-                      F.least(F.lit(CELLS - 1), F.floor((x - F.col("__lo")) / width)))
-        cell = F.coalesce(cell, F.lit(0)).cast("int")
+
+        def along(i: int, cells: Column) -> Column:
+            """1-based cell of equal width; null, which sorts first, is cell 0."""
+            x, lo, hi = _position(df, self.order[i]), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+            step = F.floor((x - lo) / ((hi - lo) / cells))
+            # ``least`` skips nulls, hence the explicit test.
+            return (F.when(x.isNull() | lo.isNull(), F.lit(0))
+                    .when(hi > lo, F.least(cells - 1, step) + 1).otherwise(F.lit(1))).cast("bigint")
+
+        cell = along(0, F.lit(CELLS))
+        if len(self.order) > 1 and _can_cut(df, self.order[1]):
+            first = _position(df, self.order[0])
+            value = F.when(first.isNull(), F.lit(0)).otherwise(first - F.col("__lo0") + 1).cast("bigint")
+            inner = F.greatest(F.lit(16), F.floor(F.lit(CELLS) / (F.col("__hi0") - F.col("__lo0") + 1)))
+            cell = F.when(F.col("__few"), value * F.lit(2 * CELLS) + along(1, inner)).otherwise(cell)
         return (df.join(F.broadcast(hot), match, how)
-                .withColumn(_CELL, cell).drop(*names, "__lo", "__hi"))
+                .withColumn(_CELL, F.coalesce(cell, F.lit(0)).cast("bigint")).drop(*names, *bounds))
 
     def _cells(self, df: DataFrame, lags: dict[str, str]) -> DataFrame:
         """One row per (hot entity, cell): rows before it, values just before it, is it last."""
