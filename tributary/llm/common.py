@@ -41,9 +41,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.made = 0
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{len(self.paths)}"
+        self.made += 1
+        return f"{self.root}/{self.made:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.paths[name] = path = self.path(name)
@@ -61,6 +63,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def keyed(docs: DataFrame, text_col: str, identity: list[str], carry: list[str] | None = None) -> DataFrame:
+    """Columns row (a struct of the columns ``carry``, default all), text (null: empty) and a 128-bit key (r1, r2) of the identity
+    columns and the text, never null. Rows with one key are equal in both, so each step may treat them alike."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(*carry) if carry else F.struct("*")
+    return docs.select(row.alias("row"), text.alias("text"), F.xxhash64(*identity, text).alias("r1"),
+                       F.xxhash64(text, *identity, F.lit(1)).alias("r2"))
+
+
 #: Odd multipliers and seeds of the hashes.
 WORD_STEP, WINDOW_STEP, SECOND_STEP = 0x9E3779B97F4A7C15 | 3, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F | 3
 SEED = 20_240_607

@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch
 from tributary.llm.exact import exact_groups
+from tributary.llm.minhash import near_duplicates
+from tributary.llm.substring import without_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over four-word shingles at a similarity of 0.8."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, threshold=80, carry=["doc_id"])
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document, by the extendible-hash index."""
     return exact_groups(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = [op7_exact_dedup]
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once repeated 35-word windows are gone."""
+    found = without_repeats(table(spark, sf_dir, "documents"), Scratch(spark), carry=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = [op1_minhash_dedup, op7_exact_dedup, op10_substring_dedup]
