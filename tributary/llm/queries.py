@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm.bpe import encoded
 from tributary.llm.common import Scratch
 from tributary.llm.exact import exact_groups
 from tributary.llm.minhash import near_duplicates
+from tributary.llm.packing import packed
 from tributary.llm.substring import without_repeats
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +27,19 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    found = encoded(table(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"], decoded=True)
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packed(table(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"]).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document, by the extendible-hash index."""
     return exact_groups(table(spark, sf_dir, "documents"), Scratch(spark))
@@ -32,4 +51,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_minhash_dedup, op7_exact_dedup, op10_substring_dedup]
+QUERIES = [op1_minhash_dedup, op3_bpe_round_trip, op5_packing, op7_exact_dedup, op10_substring_dedup]
