@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm.ann import nearest
 from tributary.llm.bpe import encoded
 from tributary.llm.common import Scratch
 from tributary.llm.exact import exact_groups
 from tributary.llm.minhash import near_duplicates
 from tributary.llm.packing import packed
 from tributary.llm.substring import without_repeats
+from tributary.llm.warc import archived
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,15 +42,26 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"]).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, from archives written and read back."""
+    found = archived(table(spark, sf_dir, "pages"), Scratch(spark))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document, by the extendible-hash index."""
     return exact_groups(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(table(spark, sf_dir, "embeddings"), Scratch(spark), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document once repeated 35-word windows are gone."""
     found = without_repeats(table(spark, sf_dir, "documents"), Scratch(spark), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_minhash_dedup, op3_bpe_round_trip, op5_packing, op7_exact_dedup, op10_substring_dedup]
+QUERIES = [op1_minhash_dedup, op3_bpe_round_trip, op5_packing, op6_warc, op7_exact_dedup, op8_nearest_vectors, op10_substring_dedup]
