@@ -16,4 +16,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest = page_id THEN '
        CASE WHEN latest <> page_id THEN latest END AS refers_to FROM r
 """
 
-ORACLE = {"op6_warc": WARC, "op7_exact_dedup": EXACT}
+URLS = """
+WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r (h, f, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, h || f AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || f) DESC, h || f) AS n
+      FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f))
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND n = 1
+"""
+
+ORACLE = {"op2_url_filter": URLS, "op6_warc": WARC, "op7_exact_dedup": EXACT}

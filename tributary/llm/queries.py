@@ -10,14 +10,20 @@ from tributary.llm.ann import nearest
 from tributary.llm.bpe import encoded
 from tributary.llm.common import Scratch
 from tributary.llm.exact import exact_groups
+from tributary.llm.language import held_out, identified
 from tributary.llm.minhash import near_duplicates
 from tributary.llm.packing import packed
 from tributary.llm.substring import without_repeats
+from tributary.llm.toxicity import toxicity
+from tributary.llm.url_filter import RULE_DDL, host_rule, judged
 from tributary.llm.warc import archived
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Host, path and action of the rules that the query applies.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +35,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    rules = spark.createDataFrame([host_rule(*r) for r in RULES], RULE_DDL)
+    return judged(table(spark, sf_dir, "pages"), rules, Scratch(spark))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text that they decode to."""
     found = encoded(table(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"], decoded=True)
@@ -37,6 +49,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of low quality and then of toxicity, for every document."""
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories, carry=["doc_id"])
+    return found.select("row.doc_id", "p_low_quality", "p_toxic", "low_quality", "toxic")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     return packed(table(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"]).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -58,10 +77,17 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), Scratch(spark), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from two thirds of them."""
+    found = identified(table(spark, sf_dir, "documents"), ~held_out(), carry=["doc_id"])
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document once repeated 35-word windows are gone."""
     found = without_repeats(table(spark, sf_dir, "documents"), Scratch(spark), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_minhash_dedup, op3_bpe_round_trip, op5_packing, op6_warc, op7_exact_dedup, op8_nearest_vectors, op10_substring_dedup]
+QUERIES = [op1_minhash_dedup, op2_url_filter, op3_bpe_round_trip, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_nearest_vectors,
+           op9_language, op10_substring_dedup]
