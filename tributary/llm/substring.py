@@ -4,8 +4,8 @@ Anchors are k-mers of words that have the smallest hash of all k-mers of some wi
 both times. Successive anchors of a text are the edges of a De Bruijn graph, labelled with the words between. Anchors that occur
 once leave the graph. A link between two anchors is nonbranching when all occurrences of both agree on it; Spark joins compact
 chains of such links into unitigs by doubling. Inside an occurrence of a unitig every window is repeated; all other windows over a
-repeated anchor go to an exact count, by 128-bit hashes and with their source coordinates, against each other and against one
-occurrence of each unitig.
+repeated anchor go to an exact count, by 128-bit hashes and with their source coordinates. Those never equal a window inside a unitig:
+both would hold the same anchor, and all occurrences of a linked anchor agree on what surrounds it.
 """
 
 from __future__ import annotations
@@ -77,88 +77,103 @@ def anchor_rows(window: int, anchor: int):
 ANCHOR_SCHEMA = "r1 long, r2 long, pos int, next_pos int, h long, out long"
 
 
-def candidate_rows(window: int, anchor: int):
-    """Spans inside unitigs (w1 null) and windows to be counted, from texts with their repeated anchors."""
+class Candidates:
+    """Of texts with their repeated anchors: word ranges ``inner`` inside unitigs, and starts of other windows that may be repeated."""
+
+    def __init__(self, part: pa.RecordBatch, window: int, anchor: int):
+        self.words = words = Words(part.column("text"))
+        n, sampled, lists = len(words.hashes), Sampled(words, window, anchor), part.column("anchors")
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, doc = lists.flatten(), np.repeat(np.arange(len(part)), size)
+        at = words.first[doc] + flat.field("pos").to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")
+        at, doc = at[order], doc[order]
+        unitig, step, after = (flat.field(k).to_numpy(zero_copy_only=False)[order] for k in ("unitig", "step", "next_pos"))
+        joined = np.zeros(len(at), bool)
+        joined[:-1] = ((unitig[:-1] == unitig[1:]) & (step[:-1] + 1 == step[1:]) & (doc[:-1] == doc[1:])
+                       & (words.first[doc[:-1]] + after[:-1] == at[1:]))
+        before = np.concatenate([[False], joined[:-1]]) if len(at) else joined
+        begin, end = at[np.flatnonzero(joined & ~before)], at[np.flatnonzero(~joined & before)] + anchor
+        long = end - begin >= window
+        self.inner = begin[long], end[long]
+        inside = np.zeros(n + 1, np.int64)
+        np.add.at(inside, begin[long], 1)
+        np.add.at(inside, end[long] - window + 1, -1)
+        inside = np.cumsum(inside)[:n] > 0
+        repeated = np.zeros(n, bool)
+        repeated[at] = True
+        self.starts = sampled.starts
+        if len(self.starts):
+            least = sliding(np.minimum, np.where(repeated, sampled.kmers, TOP), window - anchor + 1)
+            self.starts = self.starts[(least[self.starts] == sampled.least[self.starts]) & ~inside[self.starts]]
+        self.doc = np.searchsorted(words.first, self.starts, side="right") - 1
+
+
+def window_rows(window: int, anchor: int):
+    """Windows to be counted: the text's number, the first word, and 96 bits of hash."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                words = Words(part.column("text"))
-                n, sampled = len(words.hashes), Sampled(words, window, anchor)
-                lists = part.column("anchors")
-                flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                doc = np.repeat(np.arange(len(part)), size)
-                field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
-                at = words.first[doc] + field("pos")
-                order = np.argsort(at, kind="stable")
-                at, doc = at[order], doc[order]
-                unitig, step, after, first = (field(k)[order] for k in ("unitig", "step", "next_pos", "first"))
-                joined = np.zeros(len(at), bool)
-                joined[:-1] = ((unitig[:-1] == unitig[1:]) & (step[:-1] + 1 == step[1:]) & (doc[:-1] == doc[1:])
-                               & (words.first[doc[:-1]] + after[:-1] == at[1:]))
-                begins = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
-                ends = np.flatnonzero(~joined & np.concatenate([[False], joined[:-1]]))
-                s, e = at[begins], at[ends] + anchor
-                long = e - s >= window
-                s, e, owner = s[long], e[long], doc[begins[long]]
-                inside = np.zeros(n + 1, np.int64)
-                np.add.at(inside, s, 1)
-                np.add.at(inside, e - window + 1, -1)
-                inside = np.cumsum(inside)[:n] > 0
-                span = window - anchor + 1
-                least = lambda where: sliding(np.minimum, np.where(where, sampled.kmers, TOP), span)
-                repeated, chosen = np.zeros(n, bool), np.zeros(n, bool)
-                repeated[at], chosen[at[first.astype(bool)]] = True, True
-                own, w = sampled.starts, sampled.least[sampled.starts]
-                if len(own):
-                    own = own[(least(repeated)[own] == w) & (~inside[own] | (least(chosen)[own] == w))]
-                source = np.searchsorted(words.first, own, side="right") - 1
-                one, two = (ranges(words.hashes, own, own + window, x).view(np.int64) for x in (SECOND_STEP, SECOND_STEP + 8)) if len(own) else (np.empty(0, np.int64),) * 2
-                which = pa.array(np.concatenate([owner, source]))
-                begin, end = np.concatenate([s, own]), np.concatenate([e, own + window])
-                base = words.first[np.concatenate([owner, source])]
-                null, weight = pa.nulls(len(s), pa.int64()), np.where(inside[own], 2, 1).astype(np.int64)
-                yield pa.record_batch([part.column("r1").take(which), part.column("r2").take(which), pa.array((begin - base).astype(np.int32)),
-                                       pa.array((end - base).astype(np.int32)), pa.concat_arrays([null, pa.array(one)]),
-                                       pa.concat_arrays([null, pa.array(two)]), pa.concat_arrays([null, pa.array(weight)])],
-                                      names=["r1", "r2", "start", "end", "w1", "w2", "weight"])
+                found = Candidates(part, window, anchor)
+                starts, words = found.starts, found.words
+                one, two = (ranges(words.hashes, starts, starts + window, x) for x in (SECOND_STEP, SECOND_STEP + 8))
+                yield pa.record_batch([part.column("rid").take(pa.array(found.doc)), pa.array((starts - words.first[found.doc]).astype(np.int32)),
+                                       pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                                      names=["rid", "start", "w1", "w2"])
     return rows
 
 
-CANDIDATE_SCHEMA = "r1 long, r2 long, start int, end int, w1 long, w2 long, weight long"
-
-
-def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row with its number of words, of removed words, and the kept words joined by one space."""
+WINDOW_SCHEMA = "rid long, start int, w1 long, w2 int"
+
+
+def without(part: pa.RecordBatch, words: Words, gone: np.ndarray) -> pa.RecordBatch:
+    """Every row with its number of words, of removed words, and the other words joined by one space."""
+    data, sums = words.data.copy(), np.concatenate([[0], np.cumsum(~gone)])
+    have = sums[words.first[1:]] - sums[words.first[:-1]]
+    which = np.flatnonzero(~gone)
+    doc = np.searchsorted(words.first, which, side="right") - 1
+    last = np.ones(len(which), bool)
+    last[:-1] = doc[:-1] != doc[1:]
+    mask = np.zeros(len(data) + 1, np.int8)
+    mask[words.start[which]] = 1
+    np.add.at(mask, words.end[which], -1)
+    mask = np.cumsum(mask, dtype=np.int8)[:-1].astype(bool)
+    gap = words.end[which[~last]]
+    mask[gap], data[gap] = True, 0x20
+    length = np.zeros(len(part), np.int64)
+    np.add.at(length, doc, words.end[which] - words.start[which] + ~last)
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    text = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(offsets), pa.py_buffer(data[mask]))
+    total = np.diff(words.first)
+    return pa.record_batch([part.column("row"), pa.array(total), pa.array(total - have), text.cast(pa.string())],
+                           names=["row", "n_words", "n_removed", "kept"])
+
+
+def untouched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             words = Words(part.column("text"))
-            n, lists = len(words.hashes), part.column("spans")
-            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, base = lists.flatten(), words.first[np.repeat(np.arange(len(part)), size)]
-            cover = np.zeros(n + 1, np.int64)
-            np.add.at(cover, base + flat.field("start").to_numpy(zero_copy_only=False), 1)
-            np.add.at(cover, base + flat.field("end").to_numpy(zero_copy_only=False), -1)
-            kept = np.cumsum(cover)[:n] == 0
-            data, sums = words.data.copy(), np.concatenate([[0], np.cumsum(kept)])
-            have = sums[words.first[1:]] - sums[words.first[:-1]]
-            which = np.flatnonzero(kept)
-            doc = np.searchsorted(words.first, which, side="right") - 1
-            last = np.ones(len(which), bool)
-            last[:-1] = doc[:-1] != doc[1:]
-            mask = np.zeros(len(data) + 1, np.int8)
-            mask[words.start[which]] = 1
-            np.add.at(mask, words.end[which], -1)
-            mask = np.cumsum(mask, dtype=np.int8)[:-1].astype(bool)
-            gap = words.end[which[~last]]
-            mask[gap], data[gap] = True, 0x20
-            length = np.zeros(len(part), np.int64)
-            np.add.at(length, doc, words.end[which] - words.start[which] + ~last)
-            offsets = np.concatenate([[0], np.cumsum(length)])
-            text = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(offsets), pa.py_buffer(data[mask]))
-            total = np.diff(words.first)
-            yield pa.record_batch([part.column("row"), pa.array(total), pa.array(total - have), text.cast(pa.string())],
-                                  names=["row", "n_words", "n_removed", "kept"])
+            yield without(part, words, np.zeros(len(words.hashes), bool))
+
+
+def kept_rows(window: int, anchor: int):
+    """Candidates again, without the windows that were counted once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = Candidates(part, window, anchor)
+                words, once = found.words, part.column("once")
+                size = once.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                single = words.first[np.repeat(np.arange(len(part)), size)] + once.flatten().to_numpy(zero_copy_only=False)
+                starts = np.setdiff1d(found.starts, single, assume_unique=True)
+                cover = np.zeros(len(words.hashes) + 1, np.int64)
+                for begin, end in (found.inner, (starts, starts + window)):
+                    np.add.at(cover, begin, 1)
+                    np.add.at(cover, end, -1)
+                yield without(part, words, np.cumsum(cover)[:-1] > 0)
+    return rows
 
 
 def occurrences(anchors: DataFrame) -> DataFrame:
@@ -214,24 +229,23 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rows = keyed(docs, text_col, [id_col], carry)
     anchors = scratch.save(rows.select("text", "r1", "r2").mapInArrow(anchor_rows(window, anchor), ANCHOR_SCHEMA), "anchors")
     repeated = scratch.save(anchors.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    found = scratch.save(occurrences(anchors.join(small(repeated), "h")), "occurrences")
+    found = scratch.save(occurrences(anchors.join(small(repeated, 2_000_000), "h")), "occurrences")
     scratch.drop("anchors")
     steps = edges(found)
     nodes = scratch.save(steps.groupBy("h").agg(
         same("out").alias("out_same"), F.min("out").alias("out"), F.min("next_h").alias("next_h"),
-        same("into").alias("into_same"), F.min("into").alias("into"), F.min(F.struct("r1", "r2", "pos")).alias("first")), "nodes")
-    placed = scratch.save(nodes.select("h", "first").join(unitigs(nodes, scratch), "h"), "unitigs")
-    at = steps.join(small(placed), "h").select("r1", "r2", F.struct(
-        "pos", "next_pos", "unitig", "step", (F.struct("r1", "r2", "pos") == F.col("first")).alias("first")).alias("x"))
-    lists = scratch.save(at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors")), "lists")
-    searched = rows.select("text", "r1", "r2").join(small(lists, 20_000), ["r1", "r2"])
-    spans = scratch.save(searched.mapInArrow(candidate_rows(window, anchor), CANDIDATE_SCHEMA), "spans")
-    counted = spans.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
-    shared = spans.join(counted, ["w1", "w2"]).select("r1", "r2", "start", "end")
-    inner = spans.where("w1 IS NULL").select("r1", "r2", "start", "end")
-    removed = scratch.save(inner.unionByName(shared).groupBy("r1", "r2").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")), "removed")
-    joined = rows.join(small(removed, 20_000), ["r1", "r2"], "left").select("row", "text", "spans")
+        same("into").alias("into_same"), F.min("into").alias("into")), "nodes")
+    placed = scratch.save(unitigs(nodes, scratch), "unitigs")
+    at = steps.join(small(placed), "h").select("r1", "r2", F.struct("pos", "next_pos", "unitig", "step").alias("x"))
+    lists = at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors"))
+    lists = scratch.save(lists.withColumn("rid", F.monotonically_increasing_id()), "lists")  # numbers hold once written
+    keys = small(lists.select("r1", "r2"))
+    touched = rows.join(keys, ["r1", "r2"], "left_semi")
+    windows = touched.select("text", "r1", "r2").join(lists, ["r1", "r2"]).select("rid", "text", "anchors").mapInArrow(window_rows(window, anchor), WINDOW_SCHEMA)
+    once = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("start").alias("start")).where("n = 1")
+    once = once.groupBy("rid").agg(F.collect_list("start").alias("once"))
+    marked = scratch.save(lists.join(once, "rid", "left").select("r1", "r2", "anchors", "once"), "marked")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(kept_rows, schema)
+    found = touched.join(marked, ["r1", "r2"]).select("row", "text", "anchors", "once").mapInArrow(kept_rows(window, anchor), schema)
+    return found.unionByName(rows.join(keys, ["r1", "r2"], "left_anti").select("row", "text").mapInArrow(untouched_rows, schema))
