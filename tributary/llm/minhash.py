@@ -143,36 +143,63 @@ def verify_rows(threshold: int):
     return rows
 
 
-def cross_pairs(left: pd.DataFrame, right: pd.DataFrame, threshold: int, one_block: bool) -> pd.DataFrame:
-    out = []
-    a, b = (np.frombuffer(b"".join(x.regs), np.uint16).reshape(-1, REGISTERS) for x in (left, right))
-    for i in range(len(left)):
-        n, m = left.n.iat[i], right.n.to_numpy()
-        ok = (right.root != left.root.iat[i]).to_numpy() & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
-        ok[: i + 1 if one_block else 0] = False
-        which = np.flatnonzero(ok)
-        which = which[(b[which] == a[i]).sum(1) >= REGISTERS * 0.5]
-        if len(which):
-            which = which[compared(np.broadcast_to(a[i], (len(which), REGISTERS)), b[which], np.full(len(which), n), m[which]) >= ESTIMATE]
-            out += [(left.c.iat[i], right.c.iat[k]) for k in which]
-    return pd.DataFrame(out, columns=["a", "b"])
+def shared_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which each pair agrees."""
+    return (a == b).reshape(-1, BANDS, ROWS).all(2).argmax(1)
 
 
 def block_pairs(threshold: int):
+    """Pairs of one block that lie in different components and may reach the threshold.
+
+    ``shared`` counts the shingles of a set that any other set in question has too, so the lesser of two such counts bounds their
+    intersection; it rules out most pairs before their registers are compared. A pair is looked at in its first common band only.
+    """
+
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group.i.iat[0], group.j.iat[0]
-        left, right = group[group.own == x], group[group.own == y]
-        return cross_pairs(left, right, threshold, x == y)
+        own, band = group.own.to_numpy(), int(group.number.iat[0])
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        regs = np.frombuffer(b"".join(group.regs), np.uint16).reshape(-1, REGISTERS)
+        root, n, shared, c = pd.factorize(group.root)[0], group.n.to_numpy(), group.shared.to_numpy(), group.c.to_numpy()
+        first, second = [], []
+        for k, i in enumerate(left):
+            others = right[k + 1:] if x == y else right
+            both = np.minimum(shared[i], shared[others])
+            others = others[(root[others] != root[i]) & (100 * both >= threshold * (n[i] + n[others] - both))]
+            if len(others):
+                others = others[(regs[others] == regs[i]).sum(1) >= REGISTERS * 0.5]
+                first.append(np.full(len(others), i))
+                second.append(others)
+        if not first:
+            return pd.DataFrame({"a": [], "b": []})
+        a, b = np.concatenate(first), np.concatenate(second)
+        keep = shared_band(regs[a], regs[b]) == band
+        a, b = a[keep], b[keep]
+        keep = compared(regs[a], regs[b], n[a], n[b]) >= ESTIMATE
+        return pd.DataFrame({"a": c[a[keep]], "b": c[b[keep]]})
     return pairs
 
 
-def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: int, shingle: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold; only texts that are in a pair move."""
-    used = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = scratch.save(classes.join(small(used), "c", "left_semi").select("c", "rep.r1", "rep.r2"), "wanted")
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column("set").to_pylist()]
+        if sets:
+            rid = np.repeat(batch.column("rid").to_numpy(), [len(s) for s in sets])
+            yield pa.record_batch([pa.array(rid), pa.array(np.concatenate(sets))], names=["rid", "h"])
+
+
+def whole_sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(c, set, rid) of the classes in ``wanted`` (c): their whole shingle sets, from one text of each; only those texts move."""
+    wanted = scratch.save(classes.join(small(wanted), "c", "left_semi").select("c", "rep.r1", "rep.r2"), "wanted")
     texts = rows.select("text", "r1", "r2").join(small(wanted), ["r1", "r2"]).dropDuplicates(["c"]).select("c", "text")
-    sets = scratch.save(texts.mapInArrow(set_rows(shingle), "c binary, set binary"), "sets")
-    both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    sets = texts.mapInArrow(set_rows(shingle), "c binary, set binary")
+    return scratch.save(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")  # numbers hold once written
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose whole shingle sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("c").alias("b"), F.col("set").alias("set_b")), "b").join(
+        sets.select(F.col("c").alias("a"), F.col("set").alias("set_a")), "a")
     return scratch.save(both.mapInArrow(verify_rows(threshold), "a binary, b binary"), "links")
 
 
@@ -188,7 +215,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     Classes that share a band are compared in two steps, neither of which pairs up a whole bucket: first each class with its
     likeliest bucket leader; then, in buckets that still hold several components, members of different components only, in
-    blocks of bounded size. Both are estimated from registers and then verified on whole sets.
+    blocks of bounded size, and only pairs that the shingles they could share at all allow. Both are estimated from registers
+    and then verified on whole sets.
     """
     rows = keyed(docs, text_col, [id_col], carry and list(dict.fromkeys([id_col, *carry])))
     kinds = "r1 long, r2 long, n long, c binary, regs binary, bands array<long>"
@@ -208,17 +236,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     near = near.where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
     guessed = near.mapInArrow(estimate_rows, "a binary, b binary, estimate double").where(F.col("estimate") >= ESTIMATE)
     best = guessed.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    links = verified(scratch.save(best, "pairs"), classes, rows, threshold, shingle, scratch)
+    best = scratch.save(best, "pairs")
+    ends = best.select(F.col("a").alias("c")).union(best.select("b")).distinct()
+    links = verified(best, whole_sets(ends, classes, rows, shingle, scratch), threshold, scratch)
     roots = components(links, scratch).toDF("c", "root")
     placed = inside.select("band", "c").join(small(roots), "c", "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
     mixed = scratch.save(mixed.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    cells = placed.join(small(mixed), "band").join(sides, "c").select(
-        "band", "c", "root", "n", "regs", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("own"))
+    open_ = scratch.save(placed.join(small(mixed), "band"), "open")
+    sets = whole_sets(open_.select("c").distinct(), classes, rows, shingle, scratch)
+    alone = sets.select("rid", "set").mapInArrow(shingle_rows, "rid long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("rid").alias("rid"))
+    alone = scratch.save(alone.where("k = 1").groupBy("rid").agg(F.count("*").alias("alone")), "alone")
+    counted = sets.select("c", "rid").join(small(alone), "rid", "left").select("c", F.coalesce("alone", F.lit(0)).alias("alone"))
+    members = scratch.save(classes.join(small(counted), "c").withColumn("shared", F.col("n") - F.col("alone")).where(
+        f"100 * shared >= {threshold} * n").select("c", "n", "shared", "regs", F.posexplode("bands").alias("number", "band")), "members")
+    cells = open_.join(members, ["band", "c"]).select(
+        "band", "number", "c", "root", "n", "shared", "regs", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("own"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "root", "n", "regs")
-    across = cells.groupBy("band", "i", "j").applyInPandas(block_pairs(threshold), "a binary, b binary").distinct()
-    more = verified(scratch.save(across, "across"), classes, rows, threshold, shingle, scratch)
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "number", "c", "root", "n", "shared", "regs")
+    across = scratch.save(cells.groupBy("band", "i", "j").applyInPandas(block_pairs(threshold), "a binary, b binary").distinct(), "across")
+    more = verified(across, sets, threshold, scratch)
     roots = components(links.union(more), scratch).toDF("c", "root")
     named = classes.select("c", "id").join(small(roots), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
