@@ -1,26 +1,66 @@
-"""A corpus cleaned in stages; each stage works on what its predecessor kept."""
+"""A corpus cleaned in stages; each stage works on all that its predecessor kept, and its decisions take effect.
+
+All stages but the last return the columns of ``documents``; the last returns the packed pieces. A stage's table is written to the
+shared folder before the next one reads it, so an executor that is lost costs at most a stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch
 from tributary.llm.exact import drop_exact
+from tributary.llm.language import UNKNOWN, held_out, identified
+from tributary.llm.minhash import near_duplicates
+from tributary.llm.packing import packed
+from tributary.llm.queries import TOKENIZER
+from tributary.llm.substring import without_repeats
+
+#: A document stays if its language has at least this mean probability over its words.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: a text without letters, or one that no language fits, goes."""
+    found = identified(docs, ~held_out())
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
     return drop_exact(docs, Scratch(spark))
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest doc_id."""
+    found = near_duplicates(docs, Scratch(spark), shingle=5, threshold=80)
+    return found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("row.*")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated 35-word windows, their other words joined by one space; texts without any stay as they are."""
+    found = without_repeats(docs, Scratch(spark))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    return found.select("row.*", text.alias("__text")).withColumn("text", F.col("__text")).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__text")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packed(docs, TOKENIZER, carry=["doc_id"]).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("substring_dedup", substring_dedup), ("packing", packing)]
 
-#: Models and token windows have no SQL.
+#: A trained model, connected components and token windows have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark)
+    """The rows of the last stage over the whole table."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
     return docs
