@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import chunks
+from tributary.llm.common import bounded_batches, chunks
 
 #: Fixed value: how the byte-level tokenizers split text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -240,6 +240,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
     their ids; null and empty texts have no ids; repeated rows are encoded each; an empty table gives an empty result. There is no
     shuffle: words are gathered per task, and a worker remembers a bounded number of them.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select((F.struct(*carry) if carry else F.struct("*")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if decoded:

@@ -35,10 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python, where the session names none: texts are long, so fewer than usual.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session small, unless it has settings of its own."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 class Scratch:
     """Tables in the shared folder: they cut lineage and outlive executors. ``drop`` removes tables no longer read."""
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.made = 0

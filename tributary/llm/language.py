@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import SEED, chunks, mix, small
+from tributary.llm.common import SEED, bounded_batches, chunks, mix, small
 
 #: Training documents per language, and the longest text that is one. Everything else sees whole texts of all rows.
 PER_LANGUAGE, LONGEST = 200, 20_000
@@ -230,6 +230,7 @@ def identified(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str =
     and so is everything when nothing can be learnt. Null ids, repeated rows and other columns are carried along; an empty table
     gives an empty result. Scoring needs no shuffle; the model's size is fixed by its parameters.
     """
+    bounded_batches(docs.sparkSession)
     crf = fit(training_texts(docs, usable, id_col, text_col, lang_col))
     rows = docs.select((F.struct(*carry) if carry else F.struct("*")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

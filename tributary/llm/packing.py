@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tributary.llm.bpe import ByteBpe
 from tributary.llm.library import library_tokenizer
-from tributary.llm.common import chunks
+from tributary.llm.common import bounded_batches, chunks
 
 #: Tokens of a window. Tokens that are planned together; what is left of a plan's last window starts the next plan.
 LENGTH, PLAN = 1024, 1 << 17
@@ -174,6 +174,7 @@ def packed(docs: DataFrame, path: str, text_col: str = "text", length: int = LEN
     packed each; null ids and other columns are carried along; an empty table gives an empty result. There is no shuffle; a task
     holds one plan at a time, and the only window that padding cannot avoid is the last one of a task.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select((F.struct(*carry) if carry else F.struct("*")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = [T.LongType()] * 6 + [T.ArrayType(T.IntegerType())] * with_ids
     fields = [rows.schema["row"], *(T.StructField(n, k) for n, k in zip(NAMES[1:], kinds, strict=False))]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import chunks
+from tributary.llm.common import bounded_batches, chunks
 
 #: Labelled documents that the models are fitted on, and the longest text among them. Scoring sees whole texts of all rows.
 SAMPLE, LONGEST = 6_000, 50_000
@@ -145,6 +145,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str =
     have no words and get the models' base rates; rows with a null label do not train; with no labels every probability is
     at most one half; null ids, repeated rows and other columns are carried along; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("__id"), *(c.alias(n) for n, c in categories.items())).dropna()
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") <= LONGEST)
     picked = marks.orderBy(F.xxhash64("__id"), "__id").limit(2 * SAMPLE)
