@@ -52,7 +52,8 @@ def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
 
     Keys are counted with map-side sums and only keys that occur twice enter the index, each in the bucket of its directory slot.
     The text of a row moves only if its key is in the index; owner tasks aggregate by (bucket, key, text), so a text that a
-    third of all rows share arrives as one row per map task, and matches compare whole texts.
+    third of all rows share arrives as one row per map task, and matches compare whole texts. Groups are written before rows are
+    joined with them, so that adaptive execution may split the rows of a frequent text.
     """
     key = key or F.xxhash64
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -64,7 +65,7 @@ def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     index = small(scratch.save(index, "index"))
     chained = rows.join(index, "key")
     same = ["bucket", "key", "text"]
-    owners = chained.groupBy(*same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    owners = scratch.save(chained.groupBy(*same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "owners")
     found = chained.join(owners, same).select("row", "id", "keep_id", "group_size", "text")
     single = rows.join(index, "key", "left_anti").select("row", "id", F.col("id").alias("keep_id"),
                                                          F.lit(1).cast("long").alias("group_size"), "text")
