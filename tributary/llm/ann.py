@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.functions.local import local_table
 from tributary.llm.common import SEED, Scratch, small
 
 #: The tree is fitted on at most this many vectors; every vector is indexed.
@@ -24,9 +25,9 @@ SAMPLE = 40_000
 #: Children of a node, rounds of k-means, vectors of the whole table per leaf, sampled vectors a leaf needs.
 BRANCH, ROUNDS, LEAF_ROWS, LEAF_SAMPLE = 8, 8, 400, 16
 #: Queries that calibrate the number of leaves, and the mean recall they must reach.
-CALIBRATION, RECALL = 100, 0.98
-#: Vectors and queries of one block.
-BLOCK = 2_048
+CALIBRATION, RECALL = 150, 0.94
+#: Vectors and queries of one block; queries that are multiplied at once.
+BLOCK, QUERIES = 8_192, 256
 
 
 @dataclass
@@ -106,10 +107,17 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def best(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per query the ``k`` best vectors of a block other than itself: query ids, vector ids, scores. A matrix product finds them, with
-    all that are as good as the last one up to rounding; sums of the same order for all score them, ties go to smaller ids."""
+    all that are as good as the last one up to rounding; sums of the same order for all score them, ties go to smaller ids.
+    ``seen`` says which vectors each query looks at (default: all)."""
+    if len(q) > QUERIES:
+        cuts = range(0, len(q), QUERIES)
+        found = [best(ids, x, queries[i:i + QUERIES], q[i:i + QUERIES], k, None if seen is None else seen[i:i + QUERIES]) for i in cuts]
+        return tuple(np.concatenate(o) for o in zip(*found, strict=True))
     rough = q @ x.T
+    if seen is not None:
+        rough[~seen] = -np.inf
     rough[queries[:, None] == ids[None, :]] = -np.inf
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
@@ -149,11 +157,21 @@ def placed_rows(tree: Tree):
     return rows
 
 
-def visit_rows(tree: Tree, most: int):
+def visit_rows(tree: Tree, most: int, cells: np.ndarray):
+    """A row per query and cell with the leaves that the query visits there."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = tree.visits(matrix(batch.column("vec")), most)
-            yield pa.record_batch([batch.column("vec_id"), batch.column("vec"), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
+            at, cell, leaves = [], [], []
+            for i, visited in enumerate(tree.visits(matrix(batch.column("vec")), most)):
+                own = np.sort(visited)
+                names, start = np.unique(cells[own], return_index=True)
+                at += [i] * len(names)
+                cell += names.tolist()
+                leaves += [x.tolist() for x in np.split(own, start[1:])]
+            at = pa.array(at, pa.int64())
+            yield pa.record_batch([batch.column("vec_id").take(at), batch.column("vec").take(at), pa.array(cell, pa.int32()),
+                                   pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "cell", "leaves"])
     return rows
 
 
@@ -188,7 +206,9 @@ def block_rows(k: int):
     def rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        a, b, s = best(left.vec_id.to_numpy(), np.stack(left.vec).astype(float), right.query_id.to_numpy(), np.stack(right.q).astype(float), k)
+        leaves, own = np.unique(left.leaf, return_inverse=True)
+        visited = np.stack([np.isin(leaves, v) for v in right.leaves])
+        a, b, s = best(left.vec_id.to_numpy(), np.stack(left.vec).astype(float), right.query_id.to_numpy(), np.stack(right.q).astype(float), k, visited[:, own])
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
     return rows
 
@@ -202,8 +222,9 @@ def nearest(table: DataFrame, scratch: Scratch, queries, k: int = 20, recall: fl
     part; fewer than ``k`` candidates are all returned; ties go to smaller ids; of repeated query rows one counts, repeated
     vectors are candidates each; other columns are ignored; an empty table gives an empty result.
 
-    Leaves hold a fixed number of vectors and queries visit a calibrated number of them. A leaf is searched in blocks of
-    BLOCK vectors times BLOCK queries, so neither a large leaf nor a popular one lands in one task.
+    Leaves hold a fixed number of vectors and queries visit a calibrated number of them. Neighbouring leaves share a cell of about
+    BLOCK vectors, and a cell is searched in blocks of BLOCK vectors times BLOCK queries, so neither a large leaf nor a popular
+    one lands in one task, and a query has ``k`` rows per block. Where vectors have no clusters, calibration asks for many leaves.
     """
     v = F.col(vector_col)
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -217,15 +238,20 @@ def nearest(table: DataFrame, scratch: Scratch, queries, k: int = 20, recall: fl
     asked = index.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "vec")
     visits = calibrated(index, asked, tree, k, recall)
     kind = vectors.schema["vec"].dataType.simpleString()
-    visited = asked.mapInArrow(visit_rows(tree, visits), f"query_id long, q {kind}, leaves array<int>")
-    visited = scratch.save(visited.select("query_id", "q", F.explode("leaves").alias("leaf")), "visits")
+    counts = np.zeros(tree.leaves, np.int64)  # one number per leaf of the tree
+    for r in index.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
+    cells = ((np.cumsum(counts) - counts) // BLOCK).astype(np.int32)
+    visited = asked.mapInArrow(visit_rows(tree, visits, cells), f"query_id long, q {kind}, cell int, leaves array<int>")
+    visited = scratch.save(visited, "visits")
+    index = index.join(F.broadcast(local_table(table.sparkSession, [(i, int(c)) for i, c in enumerate(cells)], "leaf int, cell int")), "leaf")
     blocks = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / BLOCK).cast("int")
-    sizes = index.groupBy("leaf").agg(blocks(F.count("*")).alias("parts"))
-    sizes = small(scratch.save(sizes.join(visited.groupBy("leaf").agg(blocks(F.count("*")).alias("sets")), "leaf"), "sizes"))
+    sizes = index.groupBy("cell").agg(blocks(F.count("*")).alias("parts"))
+    sizes = small(scratch.save(sizes.join(visited.groupBy("cell").agg(blocks(F.count("*")).alias("sets")), "cell"), "sizes"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    rows = index.join(sizes, "leaf").select("leaf", "vec_id", "vec", own("vec_id", "parts").alias("part"), spread("sets").alias("set"))
-    asks = visited.join(sizes, "leaf").select("leaf", "query_id", "q", own("query_id", "sets").alias("set"), spread("parts").alias("part"))
-    keys = ["leaf", "part", "set"]
+    rows = index.join(sizes, "cell").select("cell", "leaf", "vec_id", "vec", own("vec_id", "parts").alias("part"), spread("sets").alias("set"))
+    asks = visited.join(sizes, "cell").select("cell", "query_id", "q", "leaves", own("query_id", "sets").alias("set"), spread("parts").alias("part"))
+    keys = ["cell", "part", "set"]
     found = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(block_rows(k), "query_id long, vec_id long, score double")
     return ranked(found, k)
