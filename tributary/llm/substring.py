@@ -2,9 +2,10 @@
 
 Anchors are k-mers of words that have the smallest hash of all k-mers of some window; a window that occurs twice has the same anchor
 both times. Successive anchors of a text are the edges of a De Bruijn graph, labelled with the words between. Anchors that occur
-once leave the graph. A link between two anchors is nonbranching when all occurrences of both agree on it; Spark joins compact
-chains of such links into unitigs by doubling. Inside an occurrence of a unitig every window is repeated; all other windows over a
-repeated anchor go to an exact count, by 128-bit hashes and with their source coordinates. Those never equal a window inside a unitig:
+once leave the graph. A link between two anchors is nonbranching when all occurrences of both agree on it. Joins find such links
+and bring them to the occurrences of their anchors; all occurrences of a linked anchor follow the same anchors up to the first one of the
+path, so each text then holds its paths (unitigs) whole and compacts them by itself. In a unitig every window is repeated; all other windows over a
+repeated anchor go to an exact count, by 96-bit hashes and with their source coordinates. Those never equal a window inside a unitig:
 both would hold the same anchor, and all occurrences of a linked anchor agree on what surrounds it.
 """
 
@@ -88,10 +89,9 @@ class Candidates:
         at = words.first[doc] + flat.field("pos").to_numpy(zero_copy_only=False)
         order = np.argsort(at, kind="stable")
         at, doc = at[order], doc[order]
-        unitig, step, after = (flat.field(k).to_numpy(zero_copy_only=False)[order] for k in ("unitig", "step", "next_pos"))
+        follows = flat.field("linked").to_numpy(zero_copy_only=False)[order].astype(bool)
         joined = np.zeros(len(at), bool)
-        joined[:-1] = ((unitig[:-1] == unitig[1:]) & (step[:-1] + 1 == step[1:]) & (doc[:-1] == doc[1:])
-                       & (words.first[doc[:-1]] + after[:-1] == at[1:]))
+        joined[:-1] = follows[1:] & (doc[:-1] == doc[1:])  # a linked anchor always has its predecessor before it
         before = np.concatenate([[False], joined[:-1]]) if len(at) else joined
         begin, end = at[np.flatnonzero(joined & ~before)], at[np.flatnonzero(~joined & before)] + anchor
         long = end - begin >= window
@@ -196,26 +196,10 @@ def same(column: str) -> Column:
     return (F.min(column) == F.max(column)) & (F.min(column) != 0)
 
 
-def unitigs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, unitig, step): the chain of nonbranching links that an anchor lies on, by its first anchor, and the place there.
-
-    Links never form a ring, as every occurrence of a linked anchor is followed by the next one in a text that ends. Doubling
-    joins halve the way to the first anchor in each round.
-    """
+def linked(nodes: DataFrame) -> DataFrame:
+    """(h) of the anchors that a nonbranching link leads to."""
     u, v = nodes.where("out_same").alias("u"), nodes.where("into_same").alias("v")
-    links = u.join(v, (F.col("u.next_h") == F.col("v.h")) & (F.col("u.out") == F.col("v.into")))
-    chain = scratch.save(links.select(F.col("v.h").alias("h"), F.col("u.h").alias("to"), F.lit(1).alias("step")), "links")
-    while True:
-        jump = chain.select(F.col("h").alias("to"), F.col("to").alias("further"), F.col("step").alias("more"))
-        moved = scratch.save(chain.join(small(jump), "to", "left").select(
-            "h", F.coalesce("further", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"),
-            F.col("further").isNotNull().alias("moved")), "chain")
-        open_ = moved.where("moved").limit(1).count()
-        chain = moved.drop("moved")
-        if not open_:
-            break
-    heads = nodes.select("h").join(small(chain.select("h")), "h", "left_anti").select("h", F.col("h").alias("to"), F.lit(0).alias("step"))
-    return chain.unionByName(heads).withColumnRenamed("to", "unitig")
+    return u.join(v, (F.col("u.next_h") == F.col("v.h")) & (F.col("u.out") == F.col("v.into"))).select("v.h")
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
@@ -235,8 +219,8 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     nodes = scratch.save(steps.groupBy("h").agg(
         same("out").alias("out_same"), F.min("out").alias("out"), F.min("next_h").alias("next_h"),
         same("into").alias("into_same"), F.min("into").alias("into")), "nodes")
-    placed = scratch.save(unitigs(nodes, scratch), "unitigs")
-    at = steps.join(small(placed), "h").select("r1", "r2", F.struct("pos", "next_pos", "unitig", "step").alias("x"))
+    links = small(scratch.save(linked(nodes), "links"), 2_000_000).withColumn("linked", F.lit(True))
+    at = steps.join(links, "h", "left").select("r1", "r2", F.struct("pos", F.coalesce("linked", F.lit(False)).alias("linked")).alias("x"))
     lists = at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors"))
     lists = scratch.save(lists.withColumn("rid", F.monotonically_increasing_id()), "lists")  # numbers hold once written
     keys = small(lists.select("r1", "r2"))
