@@ -92,7 +92,7 @@ class Crf:
 
     def marginals(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Forward-backward over all texts at once, one step per word position: the probability of each language of each word."""
-        if not len(rows):
+        if not len(rows) or not self.languages:
             return np.zeros((0, len(self.languages)), np.float32)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty_like(order)
@@ -137,9 +137,8 @@ def fit(texts: list[tuple[str, str]]) -> Crf:
             docs[languages.index(lang)].append(words)
     have = [i for i, d in enumerate(docs) if d]
     n = len(languages)
-    empty = Crf(languages, {}, np.zeros((BUCKETS, max(n, 1)), np.float32), np.zeros((max(n, 1), max(n, 1)), np.float32))
     if not have:
-        return empty
+        return Crf([], {}, np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
     words, labels = [], []
     for _ in range(SEQUENCES):
         seq: list[str] = []
@@ -205,14 +204,14 @@ def language_rows(crf: Crf, with_words: bool):
                 at, counts, words = crf.rows(part.column("text").to_pylist())
                 p = crf.marginals(at, counts)
                 total = np.zeros((len(part), max(1, p.shape[1])))
-                full = counts > 0
+                full = (counts > 0) & bool(crf.languages)
                 if full.any():
                     total[full] = summed(p.astype(np.float64), counts[full]) / counts[full, None]
                 best = np.where(full, total.argmax(1), len(crf.languages)) if crf.languages else np.zeros(len(part), int)
                 score = np.where(full, np.clip(total.max(1), 0, 1), 0.0)
                 out = [part.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
                 if with_words:
-                    tags = names[p.argmax(1)] if len(p) else np.array([], object)
+                    tags = names[p.argmax(1)] if len(p) else np.full(int(counts.sum()), UNKNOWN, object)
                     ends = np.cumsum(counts)
                     spoken = [[w for w in ws if crf.place[w] >= 0] for ws in words]
                     out.append(pa.array([[{"word": w, "lang": g} for w, g in zip(ws, tags[e - c:e], strict=True)] for ws, e, c in zip(spoken, ends, counts, strict=True)],

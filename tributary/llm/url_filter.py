@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,13 @@ def host_rule(host: str, path: str, action: str) -> tuple[str, str, str, str]:
 
 
 def glob_rule(glob: str, action: str) -> tuple[str, str, str, str]:
-    """A rule for URLs (host and path) that match a glob with ``*``; only tokens closed by separators on both sides are literal."""
-    literal = [" "] + [part[1:-1] for part in ("*" + glob + "*").split("*") if len(part) > 2]
-    return glob, action, "(?s)^" + ".*".join(map(quoted, glob.split("*"))) + "$", " ".join(literal)
+    """A rule for URLs (host and path) that match a glob with ``*``. A token beside a ``*`` may go on there, so it is no literal one."""
+    pieces, literal = glob.split("*"), []
+    for k, piece in enumerate(pieces):
+        for token in re.finditer(TOKEN, piece):
+            closed = (token.start() > 0 or k == 0) and (token.end() < len(piece) or k + 1 == len(pieces))
+            literal += [token[0]] * closed
+    return glob, action, "(?s)^" + ".*".join(map(quoted, pieces)) + "$", " ".join(literal)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
