@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch
+from tributary.llm.common import Scratch, keyed, small
 from tributary.llm.exact import drop_exact
 from tributary.llm.language import UNKNOWN, held_out, identified
 from tributary.llm.minhash import near_duplicates
@@ -34,16 +34,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest doc_id."""
-    found = near_duplicates(docs, Scratch(spark), shingle=5, threshold=80)
-    return found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("row.*")
+    scratch = Scratch(spark)
+    found = near_duplicates(docs, scratch, shingle=5, threshold=80, carry=["doc_id"])
+    copies = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("r1", "r2").distinct()
+    copies = small(scratch.save(copies, "copies"))
+    scratch.keep("copies")
+    return keyed(docs, "text", ["doc_id"]).join(copies, ["r1", "r2"], "left_anti").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated 35-word windows, their other words joined by one space; texts without any stay as they are."""
-    found = without_repeats(docs, Scratch(spark))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    return found.select("row.*", text.alias("__text")).withColumn("text", F.col("__text")).withColumn(
-        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__text")
+    found = without_repeats(docs, Scratch(spark), carry=[c for c in docs.columns if c != "text"], as_is=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

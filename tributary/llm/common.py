@@ -52,23 +52,32 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
+        self.paths: dict[str, list[str]] = {}
         self.made = 0
 
+    def fresh(self) -> Scratch:
+        """Another one: an operator that drops its own tables leaves its caller's alone."""
+        return Scratch(self.spark)
+
     def path(self, name: str) -> str:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths[name] = path = self.path(name)
+        path = self.path(name)
+        self.paths.setdefault(name, []).append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        for name in names:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def keep(self, *names: str) -> None:
+        """Drops all other tables."""
+        self.drop(*(self.paths.keys() - set(names)))
+
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that Spark joins by a shuffle, with the same result."""

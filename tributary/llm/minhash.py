@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     threshold: int = 80, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: row (the columns ``carry``, default all), id, n_shingles and component_id.
+    """One row per row of ``docs``: row (the columns ``carry``, default all), r1 and r2 (see ``keyed``), id, n_shingles, component_id.
 
     Texts whose sets of ``shingle`` successive lower-cased words have a Jaccard similarity of at least ``threshold``/100 are
     linked; component_id is the least id that links reach. A text with fewer words has its whole sequence as one shingle; null, empty
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     blocks of bounded size, and only pairs that the shingles they could share at all allow. Both are estimated from registers
     and then verified on whole sets.
     """
+    scratch = scratch.fresh()
     rows = keyed(docs, text_col, [id_col], carry and list(dict.fromkeys([id_col, *carry])))
     kinds = "r1 long, r2 long, n long, c binary, regs binary, bands array<long>"
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(kinds).fields])
@@ -239,6 +240,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     best = scratch.save(best, "pairs")
     ends = best.select(F.col("a").alias("c")).union(best.select("b")).distinct()
     links = verified(best, whole_sets(ends, classes, rows, shingle, scratch), threshold, scratch)
+    scratch.drop("pairs", "wanted", "sets")
     roots = components(links, scratch).toDF("c", "root")
     placed = inside.select("band", "c").join(small(roots), "c", "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
@@ -260,6 +262,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     named = classes.select("c", "id").join(small(roots), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     named = scratch.save(named.join(least, "root").select("c", "component_id"), "named")
-    out = sketches.select("row", "n", "c").join(named, "c", "left")
-    return out.select("row", ids.alias("id"), F.col("n").alias("n_shingles"),
+    scratch.keep("sketches", "named")
+    out = sketches.select("row", "r1", "r2", "n", "c").join(named, "c", "left")
+    return out.select("row", "r1", "r2", ids.alias("id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("c").isNull(), ids).otherwise(F.col("component_id")).alias("component_id"))

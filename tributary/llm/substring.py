@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,7 +128,7 @@ def window_rows(window: int, anchor: int):
 WINDOW_SCHEMA = "rid long, start int, w1 long, w2 int"
 
 
-def without(part: pa.RecordBatch, words: Words, gone: np.ndarray) -> pa.RecordBatch:
+def without(part: pa.RecordBatch, words: Words, gone: np.ndarray, as_is: bool) -> pa.RecordBatch:
     """Every row with its number of words, of removed words, and the other words joined by one space."""
     data, sums = words.data.copy(), np.concatenate([[0], np.cumsum(~gone)])
     have = sums[words.first[1:]] - sums[words.first[:-1]]
@@ -146,18 +147,22 @@ def without(part: pa.RecordBatch, words: Words, gone: np.ndarray) -> pa.RecordBa
     offsets = np.concatenate([[0], np.cumsum(length)])
     text = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(offsets), pa.py_buffer(data[mask]))
     total = np.diff(words.first)
+    if as_is:
+        text = pc.if_else(pa.array(total == have), part.column("text"), text)
     return pa.record_batch([part.column("row"), pa.array(total), pa.array(total - have), text.cast(pa.string())],
                            names=["row", "n_words", "n_removed", "kept"])
 
 
-def untouched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            words = Words(part.column("text"))
-            yield without(part, words, np.zeros(len(words.hashes), bool))
+def untouched_rows(as_is: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part.column("text"))
+                yield without(part, words, np.zeros(len(words.hashes), bool), as_is)
+    return rows
 
 
-def kept_rows(window: int, anchor: int):
+def kept_rows(window: int, anchor: int, as_is: bool):
     """Candidates again, without the windows that were counted once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def kept_rows(window: int, anchor: int):
                 for begin, end in (found.inner, (starts, starts + window)):
                     np.add.at(cover, begin, 1)
                     np.add.at(cover, end, -1)
-                yield without(part, words, np.cumsum(cover)[:-1] > 0)
+                yield without(part, words, np.cumsum(cover)[:-1] > 0, as_is)
     return rows
 
 
@@ -203,13 +208,15 @@ def linked(nodes: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-                    window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None) -> DataFrame:
-    """Columns row (the columns ``carry`` of ``docs``, default all), n_words, n_removed and kept (the other words, joined by one space).
+                    window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
+    """Columns row (the columns ``carry`` of ``docs``, default all), n_words, n_removed and kept (the other words, joined by one space;
+    with ``as_is`` a text that loses none is kept as it is).
 
     A word goes when a window of ``window`` words that covers it also starts elsewhere, in the same text or another one.
     Null and empty texts have no words; shorter texts have no window; all occurrences go, the first one too; equal rows
     each lose all they share; null ids and other columns of any name are carried along; an empty table gives an empty result.
     """
+    scratch = scratch.fresh()
     rows = keyed(docs, text_col, [id_col], carry)
     anchors = scratch.save(rows.select("text", "r1", "r2").mapInArrow(anchor_rows(window, anchor), ANCHOR_SCHEMA), "anchors")
     repeated = scratch.save(anchors.groupBy("h").count().where("count > 1").select("h"), "repeated")
@@ -223,6 +230,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     at = steps.join(links, "h", "left").select("r1", "r2", F.struct("pos", F.coalesce("linked", F.lit(False)).alias("linked")).alias("x"))
     lists = at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors"))
     lists = scratch.save(lists.withColumn("rid", F.monotonically_increasing_id()), "lists")  # numbers hold once written
+    scratch.keep("lists")
     keys = small(lists.select("r1", "r2"))
     touched = rows.join(keys, ["r1", "r2"], "left_semi")
     windows = touched.select("text", "r1", "r2").join(lists, ["r1", "r2"]).select("rid", "text", "anchors").mapInArrow(window_rows(window, anchor), WINDOW_SCHEMA)
@@ -231,5 +239,5 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     marked = scratch.save(lists.join(once, "rid", "left").select("r1", "r2", "anchors", "once"), "marked")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept", T.StringType())])
-    found = touched.join(marked, ["r1", "r2"]).select("row", "text", "anchors", "once").mapInArrow(kept_rows(window, anchor), schema)
-    return found.unionByName(rows.join(keys, ["r1", "r2"], "left_anti").select("row", "text").mapInArrow(untouched_rows, schema))
+    found = touched.join(marked, ["r1", "r2"]).select("row", "text", "anchors", "once").mapInArrow(kept_rows(window, anchor, as_is), schema)
+    return found.unionByName(rows.join(keys, ["r1", "r2"], "left_anti").select("row", "text").mapInArrow(untouched_rows(as_is), schema))
