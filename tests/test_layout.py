@@ -24,7 +24,7 @@ def events(spark):
 @pytest.fixture(scope="module")
 def layouts(events):
     plain = EntityLayout.fit(events, ["u"], ["m", "id"])
-    cut = EntityLayout.fit(events, ["u"], ["m", "id"], split_rows=500, small_input=0)
+    cut = EntityLayout.fit(events, ["u"], ["m", "id"], split_rows=500)
     assert not plain.is_split and cut.is_split and cut.hot.count() >= 1
     return plain, cut
 
@@ -77,7 +77,7 @@ def test_entities_with_few_first_values_are_cut_along_the_second(spark):
             for i in range(3000)]
     df = spark.createDataFrame(rows, "u int, card int, m bigint, id int").repartition(4)
     plain = EntityLayout(["u"], ["card", "m", "id"])
-    cut = EntityLayout.fit(df, ["u"], ["card", "m", "id"], split_rows=500, small_input=0)
+    cut = EntityLayout.fit(df, ["u"], ["card", "m", "id"], split_rows=500)
     assert cut.hot.first()["__few"]
     assert cut._with_cell(df, "left").groupBy("__cell").count().agg(F.max("count")).first()[0] < 100
     a, b = (sorted(map(repr, l.number(df, "pos", {"was": "m"}, "last", "prev").collect())) for l in (plain, cut))

@@ -49,7 +49,6 @@ def test_same_result_for_any_partitioning(spark, prepared, seqs):
 
 
 def test_cut_hot_entities_give_the_same_sequences(spark, monkeypatch, seqs):
-    monkeypatch.setattr(layout, "SMALL_INPUT", 0)
     monkeypatch.setattr(layout, "SPLIT_ROWS", 60)
     raw = spark.read.parquet(f"{SF}/events.parquet")
     events = ACTIVITY.normalise(raw)
@@ -166,8 +165,13 @@ def test_vocabulary_order_size_and_underscores(spark):
     assert [r["token"] for r in rows] == ["[PAD]", "[BOS]", "[EOS]", "[MASK]", "[UNK]", "1_x_y", "[ROW]", "0_a", "0_b"]
     assert [(r["col_id"], r["value"]) for r in rows if r["token"] == "1_x_y"] == [(1, "x_y")]
     assert tokens.fit_vocabulary(df, F.col("t"), 7).count() == 7
-    with pytest.raises(Exception, match="distinct values"):
-        tokens.fit_column_vocabulary(spark.range(20).select(F.col("id").alias("v")), ["v"], 10).collect()
+
+
+def test_column_vocabulary_has_no_limit(spark):
+    n = 70_000
+    rows = tokens.fit_column_vocabulary(spark.range(n).select(F.col("id").alias("v")), ["v"]).orderBy("id").toPandas()
+    assert list(rows["id"]) == list(range(n + 4))
+    assert list(rows["token"][4:]) == sorted(map(str, range(n)))
 
 
 def test_decode_and_unknown(spark):

@@ -86,15 +86,23 @@ def without_whitespace(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a column named inside a lambda is inlined into it and computed per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clock_timestamp(year: Column, month: Column, day: Column, time: Column | None = None,
                     hour: Column | None = None, minute: Column | None = None) -> Column:
-    """Timestamp from date parts and ``HH:MM`` text, else hour/minute columns, else midnight."""
+    """Timestamp from date parts and ``HH:MM`` text, else hour/minute columns, else midnight.
+
+    Parts that are missing, no numbers or out of range give null; count nulls to find such rows.
+    """
     zero = F.lit(0)
     if time is not None:
         parts = F.split(time, ":")
-        hour, minute = parts.getItem(0), parts.getItem(1)
-    as_int = lambda c: (zero if c is None else c).cast("int")
-    return F.call_function("make_timestamp_ntz", as_int(year), as_int(month), as_int(day),
+        hour, minute = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    as_int = lambda c: (zero if c is None else c).try_cast("int")
+    return F.call_function("try_make_timestamp_ntz", as_int(year), as_int(month), as_int(day),
                            as_int(hour), as_int(minute), F.lit(0).cast("decimal(8,6)"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tributary.functions.columns import mapped, quoted
+from tributary.functions.columns import bound, mapped, quoted
 
 CLASS_SCHEMA = "col_id int, class_ix int, value string, id int, group_ix int"
 # Parts of metric names that are logged.
@@ -54,9 +54,10 @@ def aligned_targets(seqs: DataFrame, key: list[str], label: int, ids: str = "inp
 def restricted_softmax(logits: Column, class_ids: Column) -> Column:
     """Probabilities over the classes of one column only; ``logits`` is indexed by token id."""
     own = F.transform(class_ids, lambda i: F.element_at(logits, i + 1))
-    powers = F.transform(own, lambda x: F.exp(x - F.array_max(own)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = lambda o, top: F.transform(o, lambda x: F.exp(x - top))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    shares = lambda p: bound(total(p), lambda t: F.transform(p, lambda x: x / t))
+    return bound(own, lambda o: bound(F.array_max(o), lambda top: bound(powers(o, top), shares)))
 
 
 def class_index(class_ids: Column, target_id: Column) -> Column:
@@ -165,11 +166,13 @@ def auc_per_class(variants: DataFrame) -> DataFrame:
     counts = lines.groupBy("variant", "class_ix", score_bin(F.col("p")).alias("bin"), "p").agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     above = W.partitionBy("variant", "class_ix", "bin").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, -1)
-    within = F.col("neg") * (F.coalesce(F.sum("pos").over(above), F.lit(0)) + F.col("pos") / 2)
+    # As doubles: a product of two counts can pass the range of a bigint.
+    neg = F.col("neg").cast("double")
+    within = neg * (F.coalesce(F.sum("pos").over(above), F.lit(0)) + F.col("pos") / 2)
     bins = (counts.withColumn("within", within).groupBy("variant", "class_ix", "bin")
             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("within").alias("within")))
     higher = W.partitionBy("variant", "class_ix").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    pairs = F.col("within") + F.col("neg") * F.coalesce(F.sum("pos").over(higher), F.lit(0))
+    pairs = F.col("within") + neg * F.coalesce(F.sum("pos").over(higher), F.lit(0))
     total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return (bins.withColumn("pairs", pairs).groupBy("variant", "class_ix")
             .agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
@@ -216,9 +219,15 @@ def binary_f1(variants: DataFrame) -> DataFrame:
         F.when(bottom > 0, 2 * n(says & true) / bottom).otherwise(0.0).alias("f1_binary"))
 
 
-def column_accuracy(scores: DataFrame) -> DataFrame:
-    """Accuracy per predicted column."""
-    hit = (predicted_class(F.col("probs")) == F.col("class_ix")).cast("double")
+def column_accuracy(scores: DataFrame, groups: dict[int, list[int]] | None = None) -> DataFrame:
+    """Accuracy per predicted column; ``groups`` (by column, the group of each class) consolidates the classes of a column."""
+    hit = predicted_class(F.col("probs")) == F.col("class_ix")
+    for col_id, members in (groups or {}).items():
+        order = {g: i for i, g in enumerate(sorted(set(members)))}
+        target = F.coalesce(mapped(F.col("group_ix"), order), F.lit(-1)).cast("int")
+        own = predicted_class(group_probabilities(F.col("probs"), members)) == target
+        hit = F.when(F.col("col_id") == col_id, own).otherwise(hit)
+    hit = hit.cast("double")
     return scores.groupBy("col_id").agg(F.count(F.lit(1)).alias("rows"), F.avg(hit).alias("accuracy"))
 
 
@@ -253,15 +262,17 @@ def prompts(df: DataFrame, text: str = "text", exclude_labels: bool = False,
             replace_question: str | None = None, system: str = SYSTEM_PROMPT) -> DataFrame:
     """Turn a text sequence that ends in ``question:answer [ROW]`` into a chat prompt.
 
-    Adds ``question``, ``answer`` and ``messages``, an array of (role, content).
+    Adds ``question``, ``answer`` and ``messages``, an array of (role, content). A text with fewer than two words has
+    no question, one without a colon no answer; both are null then. An answer may hold colons.
     """
     words = F.split(F.trim(F.regexp_replace(quoted(text), r"\s+", " ")), " ")
-    parts = F.split(F.element_at(F.col("__words"), -2), ":")
+    parts = F.split(F.try_element_at(F.col("__words"), F.lit(-2)), ":", 2)
     history = F.slice(F.col("__words"), F.lit(1), F.greatest(F.size("__words") - 2, F.lit(0)))
     df = df.withColumn("__words", words).withColumns({"__parts": parts, "__history": history})
-    df = df.withColumns({"question": F.col("__parts").getItem(0), "answer": F.col("__parts").getItem(1)})
+    df = df.withColumns({"question": F.get("__parts", F.lit(0)), "answer": F.get("__parts", F.lit(1))})
     if exclude_labels:
-        df = df.withColumn("__history", F.filter("__history", lambda w: ~F.startswith(w, F.col("question"))))
+        df = df.withColumn("__history", bound(F.coalesce("question", F.lit("")), lambda q: F.filter(
+            F.col("__history"), lambda w: (q == "") | ~F.startswith(w, q))))
     if replace_question is not None:
         df = df.withColumn("question", F.lit(replace_question))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))

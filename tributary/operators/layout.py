@@ -20,9 +20,8 @@ from pyspark.sql import Window as W
 from tributary.functions.columns import quoted
 from tributary.functions.local import local_table
 
-# An entity is cut when it holds more rows than this. The list of cut entities is broadcast, so
-# only the MAX_HOT largest are on it; any other entity is below a 1/8192 share of the table and
-# goes through an ordinary, spilling window with the same result.
+# An entity is cut when it holds more rows than this, however many such entities there are. A list of
+# at most MAX_HOT is broadcast; a longer one stays a table and is joined as Spark sees fit.
 SPLIT_ROWS = 5_000_000
 MAX_HOT = 8192
 # Cells per hot entity. The summary has at most one row per cell.
@@ -30,18 +29,10 @@ CELLS = 65_536
 # A first order column with at most this many whole values (a card number) gets a cell per
 # value, each cut further along the second order column.
 FEW_VALUES = 4_096
-# Inputs estimated below this size fit in one task, so they are not searched for hot entities.
-SMALL_INPUT = 512 * 1024 * 1024
 
 _CELL = "__cell"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for plain scans); unknown counts as large."""
-    plan = getattr(df, "_jdf", None)
-    return 1 << 62 if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _can_cut(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampNTZType, T.TimestampType, T.DateType))
 
@@ -62,42 +53,37 @@ class EntityLayout:
     keys: list[str]
     order: list[str]
     hot: DataFrame | None = None
+    few: bool = True
 
     @classmethod
-    def fit(cls, df: DataFrame, keys, order, split_rows: int | None = None,
-            small_input: int | None = None) -> "EntityLayout":
+    def fit(cls, df: DataFrame, keys, order, split_rows: int | None = None) -> "EntityLayout":
         """Find the entities that need cutting; most tables have none.
 
-        One count per entity over the key and first order column, skipped for small inputs.
+        One count per entity over the key and the first order columns, whatever the size of the input.
         """
         keys, order = list(keys), list(order)
         split_rows = SPLIT_ROWS if split_rows is None else split_rows
-        small_input = SMALL_INPUT if small_input is None else small_input
         if not order:
             raise ValueError("an event order is needed")
-        if estimated_bytes(df) <= small_input:
-            return cls(keys, order)
         cuts = [c for c in order[:2] if _can_cut(df, c)]
         if not cuts or cuts[0] != order[0]:
             return cls(keys, order)
         bounds = [f(_position(df, c)).alias(f"__{name}{i}") for i, c in enumerate(cuts)
                   for name, f in (("lo", F.min), ("hi", F.max))]
         counts = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("__n"), *bounds)
-        big = (counts.where(F.col("__n") > split_rows)
-               .orderBy(F.desc("__n")).limit(MAX_HOT).collect())
-        if not big:
-            return cls(keys, order)
-        schema = T.StructType([*counts.schema.fields[:len(keys)],
-                               *[T.StructField(c, T.DoubleType()) for c in ("__lo0", "__hi0", "__lo1", "__hi1")],
-                               T.StructField("__few", T.BooleanType())])
         two = len(cuts) == 2 and isinstance(df.schema[cuts[0]].dataType, T.IntegralType)
-        rows = []
-        for r in big:
-            lo, hi = r["__lo0"], r["__hi0"]
-            # Beyond 2^53 neighbouring whole numbers are the same double.
-            few = two and lo is not None and hi - lo < FEW_VALUES and max(abs(lo), abs(hi)) < 2 ** 53
-            rows.append(tuple(r[k] for k in keys) + (lo, hi) + ((r["__lo1"], r["__hi1"]) if few else (None, None)) + (few,))
-        return cls(keys, order, local_table(df.sparkSession, rows, schema))
+        lo, hi = F.col("__lo0"), F.col("__hi0")
+        # Beyond 2^53 neighbouring whole numbers are the same double.
+        few = F.coalesce(F.lit(two) & (hi - lo < FEW_VALUES) & (F.greatest(F.abs(lo), F.abs(hi)) < 2.0 ** 53), F.lit(False))
+        second = [F.when(F.col("__few"), F.col(c) if two else F.lit(None).cast("double")).alias(c) for c in ("__lo1", "__hi1")]
+        big = counts.where(F.col("__n") > split_rows).withColumn("__few", few).select(
+            *map(quoted, keys), "__lo0", "__hi0", *second, "__few")
+        rows = big.limit(MAX_HOT + 1).collect()
+        if not rows:
+            return cls(keys, order)
+        if len(rows) > MAX_HOT:
+            return cls(keys, order, big, False)
+        return cls(keys, order, local_table(df.sparkSession, [tuple(r) for r in rows], big.schema))
 
     @property
     def is_split(self) -> bool:
@@ -131,7 +117,7 @@ class EntityLayout:
             value = F.when(first.isNull(), F.lit(0)).otherwise(first - F.col("__lo0") + 1).cast("bigint")
             inner = F.greatest(F.lit(16), F.floor(F.lit(CELLS) / (F.col("__hi0") - F.col("__lo0") + 1)))
             cell = F.when(F.col("__few"), value * F.lit(2 * CELLS) + along(1, inner)).otherwise(cell)
-        return (df.join(F.broadcast(hot), match, how)
+        return (df.join(F.broadcast(hot) if self.few else hot, match, how)
                 .withColumn(_CELL, F.coalesce(cell, F.lit(0)).cast("bigint")).drop(*names, *bounds))
 
     def _cells(self, df: DataFrame, lags: dict[str, str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import digest, drawn_below, quoted, uniform_of
+from tributary.functions.columns import bound, digest, drawn_below, quoted, uniform_of
 from tributary.operators.sequence import IGNORE
 from tributary.operators.tokens import MASK_ID, SPECIALS
 
@@ -18,8 +18,8 @@ def masked_tokens(seqs: DataFrame, key: list[str], vocab_size: int, seed: int, s
     tokens are never chosen. One digest per token gives all four draws.
     """
     base = F.concat_ws("|", F.lit(seed).cast("string"), *[quoted(k).cast("string") for k in key])
-    digests = F.transform(ids, lambda x, i: F.when(
-        x >= len(SPECIALS), F.md5(F.concat_ws("|", F.col("__base"), i.cast("string")))))
+    digests = bound(F.col("__base"), lambda b: F.transform(quoted(ids), lambda x, i: F.when(
+        x >= len(SPECIALS), F.md5(F.concat_ws("|", b, i.cast("string"))))))
     cells = F.transform(F.arrays_zip(quoted(ids).alias("x"), F.col("__digests").alias("h")), lambda z: F.struct(
         z["x"].alias("x"), z["h"].alias("h"), F.coalesce(drawn_below(z["h"], share, 0), F.lit(False)).alias("chosen")))
     random_id = lambda d: F.floor(uniform_of(d["h"], 3) * vocab_size).cast("int")
@@ -52,14 +52,14 @@ def masked_labels(seqs: DataFrame, key: list[str], label: int, n_cols: int, seed
     hidden = (F.when(uniform_of(F.col("__h"), 0) < mask_all, c)
               .when((uniform_of(F.col("__h"), 0) < mask_all + mask_each) & (c >= 2), some).otherwise(0))
     text = F.concat_ws("|", *[p.cast("string") for p in base])
-    ranks = F.transform(F.sequence(F.lit(0), c - 1), lambda r: F.struct(
-        F.md5(F.concat_ws("|", F.col("__key"), r.cast("string"))).alias("h"), r.alias("r")))
+    ranks = bound(F.col("__key"), lambda k: F.transform(F.sequence(F.lit(0), c - 1), lambda r: F.struct(
+        F.md5(F.concat_ws("|", k, r.cast("string"))).alias("h"), r.alias("r"))))
     picked = F.slice(F.array_sort(ranks), F.lit(1), F.col("n_masked")).getField("r")
     # Position 0 is the begin marker, so event r covers positions r*n_cols+1 ... (r+1)*n_cols.
-    cell = F.transform(
+    cell = bound(F.col("__picked"), lambda hidden_rows: F.transform(
         F.arrays_zip(quoted(ids).alias("x"), quoted(mask).alias("m")),
-        lambda z, i: F.when((z["m"] == label) & F.array_contains(F.col("__picked"), F.floor((i - 1) / n_cols).cast("int")),
-                            F.lit(MASK_ID)).otherwise(z["x"]))
+        lambda z, i: F.when((z["m"] == label) & F.array_contains(hidden_rows, F.floor((i - 1) / n_cols).cast("int")),
+                            F.lit(MASK_ID)).otherwise(z["x"])))
     return (seqs.withColumns({"__h": draw, "__key": text})
             .withColumn("n_masked", hidden.cast("int"))
             .withColumn("__picked", picked)

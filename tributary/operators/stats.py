@@ -26,6 +26,31 @@ def _most_frequent(i: int, amount: str) -> Column:
     return F.min(rank).getField("v")
 
 
+def _moments(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    v = quoted(amount)
+    return df.groupBy(*map(quoted, keys)).agg(F.count(v).alias("__n"), F.avg(v).cast("double").alias("__mean"),
+                                              F.coalesce(F.var_samp(v), F.lit(0.0)).alias("__var"))
+
+
+def _entity_numbers(moments: DataFrame, keys: list[str], mean: str, std: str) -> DataFrame:
+    """Mean and deviation per entity; a single value has no deviation."""
+    return moments.select(*map(quoted, keys), F.col("__mean").alias(mean), F.when(F.col("__n") > 1, F.sqrt("__var")).alias(std))
+
+
+def _whole_numbers(moments: DataFrame, mean: str, std: str) -> DataFrame:
+    """Mean and deviation of the table from those of its entities: counts, means and squared deviations add up."""
+    n, m, v = F.col("__n"), F.col("__mean"), F.col("__var")
+    total = F.sum(n)
+    centre = F.sum(n * m) / total
+    spread = F.sum((n - 1) * v + n * m * m) - total * centre * centre
+    filled = moments.where(n > 0)
+    return filled.agg(centre.alias(mean), F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(total - 1, F.lit(0)))).alias(std))
+
+
+def _tops(counts: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return counts.groupBy(*map(quoted, keys)).agg(*[_most_frequent(i, "__n").alias(name) for i, name in enumerate(names)])
+
+
 def entity_stats(df: DataFrame, keys: list[str], amount: str, modes: dict[str, str],
                  mean: str = "avg_dollar_amt", std: str = "std_dollar_amt") -> DataFrame:
     """Mean, sample deviation and most frequent values per entity.
@@ -33,28 +58,24 @@ def entity_stats(df: DataFrame, keys: list[str], amount: str, modes: dict[str, s
     ``modes`` maps output names to columns. The modes are counted per (entity, value) first, so
     a busy entity is merged from partial counts, not buffered.
     """
-    v = quoted(amount)
-    numeric = df.groupBy(*map(quoted, keys)).agg(F.avg(v).alias(mean), F.stddev_samp(v).alias(std))
+    numeric = _entity_numbers(_moments(df, keys, amount), keys, mean, std)
     if not modes:
         return numeric
-    counts = _mode_counts(df, keys, list(modes.values()))
-    tops = counts.groupBy(*map(quoted, keys)).agg(
-        *[_most_frequent(i, "__n").alias(name) for i, name in enumerate(modes)])
-    return numeric.join(tops, keys, "left")
+    return numeric.join(_tops(_mode_counts(df, keys, list(modes.values())), keys, list(modes)), keys, "left")
+
+
+def _with_whole_modes(numbers: DataFrame, counts: DataFrame, names: list[str]) -> DataFrame:
+    """One row of figures with the most frequent values of the whole table."""
+    merged = counts.groupBy("which", "value").agg(F.sum("__n").alias("__n"))
+    fill = merged.agg(F.struct(*[_most_frequent(i, "__n").alias(name) for i, name in enumerate(names)]).alias("f")).scalar()
+    return numbers.select("*", *[fill.getField(name).alias(name) for name in names])
 
 
 def dataset_stats(df: DataFrame, amount: str, modes: dict[str, str],
                   mean: str = "avg_dollar_amt", std: str = "std_dollar_amt") -> DataFrame:
     """The same statistics over the whole table, one row."""
-    v = quoted(amount)
-    aggs = [F.avg(v).alias(mean), F.stddev_samp(v).alias(std)]
-    if not modes:
-        return df.agg(*aggs)
-    top = (_mode_counts(df, [], list(modes.values()))
-           .agg(*[_most_frequent(i, "__n").alias(name) for i, name in enumerate(modes)]))
-    whole = df.agg(*aggs)
-    fill = top.agg(F.first(F.struct(*top.columns))).scalar()
-    return whole.select("*", *[fill.getField(name).alias(name) for name in modes])
+    whole = df.agg(F.avg(quoted(amount)).alias(mean), F.stddev_samp(quoted(amount)).alias(std))
+    return _with_whole_modes(whole, _mode_counts(df, [], list(modes.values())), list(modes)) if modes else whole
 
 
 def join_entity_stats(df: DataFrame, history: DataFrame, keys: list[str], amount: str,
@@ -62,13 +83,17 @@ def join_entity_stats(df: DataFrame, history: DataFrame, keys: list[str], amount
                       std: str = "std_dollar_amt") -> DataFrame:
     """Add the entity statistics of ``history``; gaps are filled with its table-wide values.
 
-    The join carries no broadcast hint: the entity table grows with the data, so adaptive
-    execution broadcasts it only when its measured size allows and splits skewed partitions
-    otherwise.
+    Table-wide values are merged from the moments and value counts of the entities, so both come from the same two
+    exchanges of ``history``. The join carries no broadcast hint: the entity table grows with the data, so adaptive
+    execution broadcasts it only when its measured size allows and splits skewed partitions otherwise.
     """
-    stats = entity_stats(history, keys, amount, modes, mean, std)
     names = [mean, std, *modes]
-    whole = dataset_stats(history, amount, modes, mean, std)
+    moments = _moments(history, keys, amount)
+    stats, whole = _entity_numbers(moments, keys, mean, std), _whole_numbers(moments, mean, std)
+    if modes:
+        counts = _mode_counts(history, keys, list(modes.values()))
+        stats = stats.join(_tops(counts, keys, list(modes)), keys, "left")
+        whole = _with_whole_modes(whole, counts, list(modes))
     fill = whole.agg(F.first(F.struct(*map(quoted, names)))).scalar()
     joined = df.join(stats, keys, "left")
     return joined.select(*[quoted(c) for c in df.columns],
@@ -150,12 +175,12 @@ def events_per_year(df: DataFrame, ts: Column, out: str = "year") -> DataFrame:
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Centre and scale columns by their mean and sample deviation."""
+    """Centre and scale columns by their mean and sample deviation; a constant column becomes NaN."""
     aggs = [f(quoted(c)).alias(f"{p}{i}") for i, c in enumerate(cols)
             for p, f in (("m", F.avg), ("s", F.stddev_samp))]
     row = df.agg(F.struct(*aggs).alias("moments")).scalar()
-    return df.withColumns({c: (quoted(c) - row.getField(f"m{i}")) / row.getField(f"s{i}")
-                           for i, c in enumerate(cols)})
+    scaled = lambda c, mean, std: F.when(std == 0, F.lit(float("nan"))).otherwise((c - mean) / std)
+    return df.withColumns({c: scaled(quoted(c), row.getField(f"m{i}"), row.getField(f"s{i}")) for i, c in enumerate(cols)})
 
 
 def corpus_size(seqs: DataFrame, user: str, n_rows: str, ids: str, by: str = "split") -> DataFrame:

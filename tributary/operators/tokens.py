@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tributary.functions.columns import boolean_text, joined, quoted, without_whitespace
+from tributary.functions.columns import boolean_text, bound, quoted, without_whitespace
 from tributary.functions.local import local_table
+from tributary.operators.cumulative import running_total
 from tributary.schema import EventSchema
 
 ROW = "[ROW]"
@@ -19,13 +20,29 @@ PAD_ID, BOS_ID, EOS_ID, MASK_ID, UNK_ID = range(5)
 # Special tokens of the insertion-ordered vocabulary.
 INSERTION_SPECIALS = [UNK, PAD, BOS, EOS]
 VOCABULARY_SIZE = 60_000
+# A vocabulary up to this size is broadcast or held as one array.
+BROADCAST_WORDS = 1_000_000
 TOKEN_PATTERN = r"^(\d+)_(.*)$"
 
 
+def number_text(c: Column) -> Column:
+    """A double as plain text from 0.0001 up to 10 to the 16th, beyond that with an exponent of two digits at least."""
+    size = F.abs(c)
+    java = c.cast("string")
+    # A double has at most 17 digits, so nothing is cut by the scale.
+    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), "0+$", ""), "[.]$", ".0")
+    sign, power = F.regexp_extract(java, "E(-?)", 1), F.regexp_extract(java, "E-?([0-9]+)", 1)
+    short = F.concat(F.regexp_replace(F.regexp_extract(java, "^([^E]*)", 1), "[.]0$", ""), F.lit("e"), F.when(sign == "-", "-").otherwise("+"),
+                     F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    spelt = (size < 1e-3) & (size >= 1e-4) | (size >= 1e7) & (size < 1e16)
+    return F.when(F.isnan(c), F.lit("nan")).when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).when(
+        spelt, plain).when(java.contains("E"), short).otherwise(java)
+
+
 def cell_text(df: DataFrame, name: str) -> Column:
-    """A cell as text; booleans print True/False and null prints as nan."""
-    c = quoted(name)
-    text = boolean_text(c) if isinstance(df.schema[name].dataType, T.BooleanType) else c.cast("string")
+    """A cell as text; booleans print True/False, doubles as ``number_text``, and null prints as nan."""
+    c, kind = quoted(name), df.schema[name].dataType
+    text = boolean_text(c) if isinstance(kind, T.BooleanType) else number_text(c) if isinstance(kind, T.DoubleType) else c.cast("string")
     return F.coalesce(text, F.lit("nan"))
 
 
@@ -135,39 +152,37 @@ def fit_vocabulary(tokens: DataFrame, words: Column, size: int = VOCABULARY_SIZE
     return _with_parts(special.unionByName(_numbered(top, len(SPECIALS))))
 
 
-def fit_column_vocabulary(df: DataFrame, cols: list[str], size: int = VOCABULARY_SIZE) -> DataFrame:
+def fit_column_vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
     """Insertion-ordered vocabulary: special tokens, then the distinct values column by column.
 
-    A value seen in an earlier column keeps that id. Raises when the values do not fit ``size``.
+    A value seen in an earlier column keeps that id. There is no limit: numbers are running totals over ordered ranges.
     """
     pairs = F.array(*[F.struct(F.lit(i).alias("col_ix"), cell_text(df, c).alias("token"))
                       for i, c in enumerate(cols)])
     values = (df.select(F.explode(pairs).alias("p")).select("p.col_ix", "p.token")
               .where(~F.col("token").isin(INSERTION_SPECIALS))
-              .groupBy("token").agg(F.min("col_ix").alias("col_ix"))
-              .orderBy("col_ix", "token").limit(size + 1))
-    n = len(INSERTION_SPECIALS)
-    ids = F.row_number().over(W.orderBy("col_ix", "token")) + F.lit(n - 1)
-    checked = F.when(ids < size, ids).otherwise(
-        F.raise_error(F.lit(f"more than {size} distinct values for one vocabulary")).cast("int"))
+              .groupBy("token").agg(F.min("col_ix").alias("col_ix"), F.lit(1).cast("bigint").alias("one")))
+    ids = running_total(values, ["col_ix", "token"], "one", "place")
+    number = F.col("place") + F.lit(len(INSERTION_SPECIALS) - 1)
     special = local_table(
         df.sparkSession, [(t, i) for i, t in enumerate(INSERTION_SPECIALS)], "token string, id int")
-    return special.unionByName(values.select("token", checked.cast("int").alias("id")))
+    return special.unionByName(ids.select("token", number.cast("int").alias("id")))
 
 
 def encode_rows(tokens: DataFrame, cols: list[str], vocabulary: DataFrame, out: str = "input_ids",
                 row_token: str = ROW, unknown: int = UNK_ID) -> DataFrame:
     """Replace the tokens of each row by an array of ids, the row marker last.
 
-    The vocabulary has a fixed maximum size, so it is broadcast; every column probes the same
-    broadcast table and the events are never shuffled.
+    A vocabulary of at most ``BROADCAST_WORDS`` entries is broadcast; every column probes the same broadcast table and the events
+    are never shuffled. A larger one is joined as Spark sees fit, with the same result.
     """
     words = vocabulary.select("token", "id")
+    few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     ids = []
     df = tokens
     for i, c in enumerate(cols):
         side = words.toDF(f"__t{i}", f"__i{i}")
-        df = df.join(F.broadcast(side), quoted(c) == F.col(f"__t{i}"), "left").drop(f"__t{i}")
+        df = df.join(F.broadcast(side) if few else side, quoted(c) == F.col(f"__t{i}"), "left").drop(f"__t{i}")
         ids.append(F.coalesce(F.col(f"__i{i}"), F.lit(unknown)))
     marker = words.where(F.col("token") == row_token).agg(F.max("id")).scalar()
     ids.append(F.coalesce(marker, F.lit(unknown)))
@@ -188,12 +203,17 @@ def decode_ids(df: DataFrame, vocabulary: DataFrame, key: list[str], ids: str =
                out: str = "tokens", unknown: str = UNK) -> DataFrame:
     """Arrays of ids back to arrays of tokens; unknown ids become ``[UNK]``.
 
-    ``key`` identifies an array. Ids are looked up one per line and gathered per key again,
-    an array at a time.
+    ``key`` identifies an array. Ids count from 0, so the tokens of a vocabulary of at most ``BROADCAST_WORDS`` entries are one array
+    in which each id is a place, and no row moves. With a larger one ids are looked up one per line and gathered per key again.
     """
+    if vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        listed = vocabulary.agg(F.array_sort(F.collect_list(F.struct("id", "token")))).scalar()
+        found = lambda names, i: F.when(F.get(names, i)["id"] == i, F.get(names, i)["token"])
+        words = bound(F.col("__names"), lambda names: F.transform(quoted(ids), lambda i: F.coalesce(found(names, i), F.lit(unknown))))
+        return df.withColumn("__names", listed).select(*map(quoted, key), words.alias(out))
     lines = df.select(*map(quoted, key), F.posexplode(ids).alias("__p", "__id"))
     names = vocabulary.select(F.col("id").alias("__vid"), F.col("token").alias("__token"))
-    known = lines.join(F.broadcast(names), F.col("__id") == F.col("__vid"), "left")
+    known = lines.join(names, F.col("__id") == F.col("__vid"), "left")
     pairs = F.struct("__p", F.coalesce("__token", F.lit(unknown)).alias("t"))
     return (known.groupBy(*map(quoted, key)).agg(F.array_sort(F.collect_list(pairs)).alias("__a"))
             .select(*map(quoted, key), F.col("__a.t").alias(out)))
@@ -204,10 +224,6 @@ def tokens_by_column(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(F.col("col_id").isNotNull()).select("col_id", "value", "id")
 
 
-def special_tokens(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.where(~F.col("token").contains("_")).select("token", "id")
-
-
 def label_options(vocabulary: DataFrame, label_col: int | None = None) -> DataFrame:
     """Number of column prefixes, the label column (the highest prefix unless given) and the
     ids of its values, one row per value."""
@@ -221,6 +237,3 @@ def label_options(vocabulary: DataFrame, label_col: int | None = None) -> DataFr
 def vocabulary_metrics(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.agg(F.count(F.lit(1)).alias("vocab_size"), (F.count(F.lit(1)) > 0).alias("is_initialized"))
 
-
-def concat_columns(cols: list[str], sep: str = "_") -> Column:
-    return joined([quoted(c) for c in cols], sep)

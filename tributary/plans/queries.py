@@ -6,8 +6,6 @@ across engines; the operators themselves return arrays and unrounded doubles.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,8 +56,10 @@ def lines(spark, sf_dir) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; local only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tributary")
+    """A new folder in the shared checkpoint folder, which must be configured: executors do not share local ones."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -73,6 +73,15 @@ def time_gaps(spark, sf_dir):
         "total_minutes_from_last")
 
 
+def time_gaps_cut(spark, sf_dir):
+    """The same gaps with every user of more than 20 events cut into cells."""
+    events = normalize.add_time(table(spark, sf_dir, "events"), F.col("ts"))
+    fitted = EntityLayout.fit(events, ["user_id"], ["ts", "event_id"], split_rows=20)
+    return layout.with_gap(events, fitted).select(
+        "user_id", "event_id", "total_minutes", F.col("Hour").cast("bigint").alias("hour_of_day"),
+        "total_minutes_from_last")
+
+
 MODES = {"top_flag": "l_returnflag", "top_priority": "o_orderpriority"}
 
 
@@ -334,6 +343,14 @@ def encoded_unknowns(spark, sf_dir):
     return _encoder(spark, sf_dir, events, 60).encode(events).select("event_id", text("input_ids").alias("input_ids"))
 
 
+def encoder_reload(spark, sf_dir):
+    """Rows encoded by an encoder that was saved and loaded again."""
+    events, folder = activity(spark, sf_dir), shared_folder(spark)
+    _encoder(spark, sf_dir, events).save(folder)
+    loaded = Encoder.load(spark, folder, ACTIVITY.schema)
+    return loaded.encode(events).select("user_id", "event_id", text("input_ids").alias("input_ids"))
+
+
 def decoded_rows(spark, sf_dir):
     events = activity(spark, sf_dir)
     encoder = _encoder(spark, sf_dir, events, 60)
@@ -348,6 +365,14 @@ def change_points(spark, sf_dir):
     return out.select("o_custkey", *LINE_KEY, text("changed").alias("changed"))
 
 
+def change_points_cut(spark, sf_dir):
+    """The same change points with every customer of more than 20 lines cut into cells."""
+    items = lines(spark, sf_dir).select(*LINE_KEY, "l_shipdate", "o_custkey", "l_returnflag", "o_orderpriority")
+    fitted = EntityLayout.fit(items, ["o_custkey"], LINE_ORDER, split_rows=20)
+    out = layout.change_points(items, fitted, ["l_returnflag", "o_orderpriority"])
+    return out.select("o_custkey", *LINE_KEY, text("changed").alias("changed"))
+
+
 def interleaved_words(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus")
@@ -381,6 +406,23 @@ def restored_split(spark, sf_dir):
     return kept.withColumn("side", F.lit("test")).unionByName(rest.withColumn("side", F.lit("train")))
 
 
+def manifest_roundtrip(spark, sf_dir):
+    """The split restored from a manifest that was written and read again."""
+    events, folder = table(spark, sf_dir, "events").select("user_id", "event_id"), shared_folder(spark)
+    tables.write_split_manifest(HashSplit.fit(events, ["user_id"], 0.1, SEED).manifest(events), f"{folder}/manifest")
+    manifest = tables.read_dataset(spark, f"{folder}/manifest")
+    kept = split.restore_split(events, manifest, ["user_id"])
+    rest = split.not_in_keys(events, split.keep_split(manifest, "test"), ["user_id"])
+    return kept.withColumn("side", F.lit("test")).unionByName(rest.withColumn("side", F.lit("train")))
+
+
+def entity_layout(spark, sf_dir):
+    """Events laid out by user and time, written and read again."""
+    events, folder = table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), shared_folder(spark)
+    tables.write_dataset(split.spread_by_entity(events, "user_id", ["ts", "event_id"]), f"{folder}/events")
+    return tables.read_dataset(spark, f"{folder}/events").select("user_id", "event_id", stamp(F.col("ts")).alias("ts"))
+
+
 def run_ranges(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id")
     return layout.run_ranges(events, EntityLayout(["user_id"], ["event_id"]))
@@ -446,7 +488,10 @@ def corpus_size(spark, sf_dir):
 # --- masking -----------------------------------------------------------------------------
 
 def masked_tokens(spark, sf_dir):
-    out = masking.masked_tokens(_sequences(spark, sf_dir), ["user_id", "seq_idx"], 200, SEED)
+    events = activity(spark, sf_dir)
+    encoder = _encoder(spark, sf_dir, events)
+    seqs = sequence_table(events, encoder, LENGTH, seed=SEED)
+    out = masking.masked_tokens(seqs, ["user_id", "seq_idx"], encoder.vocabulary.count(), SEED)
     return _printed(out, "input_ids", "labels")
 
 
@@ -540,7 +585,7 @@ def column_accuracy(spark, sf_dir):
         F.struct(F.lit(label - 1).alias("col_id"), is_error.alias("target"),
                  _hashed_probs(label - 1, is_error, ["False", "True"]).alias("probs")))
     scored = rows.select("user_id", F.explode(both).alias("s")).select("user_id", "s.*")
-    per_column = evaluate.column_accuracy(evaluate.with_class(scored, class_table(spark)))
+    per_column = evaluate.column_accuracy(evaluate.with_class(scored, class_table(spark)), {label: GROUPS})
     overall = evaluate.overall_accuracy(per_column).select(
         F.lit(-1).alias("col_id"), F.lit(0).cast("bigint").alias("rows"), F.col("accuracy_overall").alias("accuracy"))
     out = per_column.unionByName(overall)
@@ -683,7 +728,7 @@ def benchmark_union(spark, sf_dir):
 
 
 def setup_first_rows(spark, sf_dir):
-    """First order of every (customer, setup) by date, then the 100 largest customers' keys."""
+    """First order of every (customer, setup) by date."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate",
         report.setup_key(F.col("o_orderstatus"), F.left("o_orderpriority", F.lit(1))).alias("setup"))
@@ -709,6 +754,36 @@ def io_roundtrip(spark, sf_dir):
     return tables.read_json(spark, f"{base}/json", schema)
 
 
+def gzip_csv(spark, sf_dir):
+    """Orders written as gzipped CSV and scanned."""
+    folder, orders = shared_folder(spark), table(spark, sf_dir, "orders").withColumn("o_orderdate", stamp(F.col("o_orderdate")))
+    orders.write.option("header", True).option("sep", ";").option("compression", "gzip").csv(f"{folder}/csv")
+    return tables.read_events(spark, f"{folder}/csv", "csv", orders.schema, ";")
+
+
+def gzip_json_lines(spark, sf_dir):
+    """Orders written as gzipped JSON lines and scanned into eight partitions."""
+    folder, orders = shared_folder(spark), table(spark, sf_dir, "orders").withColumn("o_orderdate", stamp(F.col("o_orderdate")))
+    orders.write.option("compression", "gzip").json(f"{folder}/json")
+    return tables.read_json_lines(spark, f"{folder}/json", orders.schema, 8)
+
+
+def sample_sink(spark, sf_dir):
+    """The first 1,000 orders by key, from the sample that is written for looking at."""
+    folder, orders = shared_folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    tables.write_sample(orders, f"{folder}/sample", [F.col("o_orderkey")])
+    return tables.read_csv(spark, f"{folder}/sample", orders.schema)
+
+
+def scored_label_sink(spark, sf_dir):
+    """Probabilities and label of every event, written as JSON lines and read again."""
+    folder = shared_folder(spark)
+    scored = label_scores(spark, sf_dir).select("user_id", "pos", "probs", F.col("class_ix").cast("bigint").alias("label"))
+    tables.write_json(scored, f"{folder}/scores")
+    back = tables.read_json(spark, f"{folder}/scores", scored.schema)
+    return back.select("user_id", "pos", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(len(CLASSES))])
+
+
 def metrics_append(spark, sf_dir):
     """Order totals appended per status, the second batch with an extra column."""
     base = shared_folder(spark)
@@ -734,5 +809,6 @@ QUERIES = [
     accuracy_variants, auc_ovr, auc_macro, f1_scores, binary_f1, column_accuracy, consolidated_metrics,
     softmax_scores, softmax_check, batch_metrics, run_row, prompts, label_free_text,
     parsed_runs, latest_runs, metric_summary, metric_pivot, benchmark_union, setup_first_rows, top_rows,
-    io_roundtrip, metrics_append,
+    io_roundtrip, metrics_append, time_gaps_cut, change_points_cut, encoder_reload, manifest_roundtrip, entity_layout,
+    gzip_csv, gzip_json_lines, sample_sink, scored_label_sink,
 ]
