@@ -22,8 +22,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, MOST = 1.001, 20.0, 65_535
 #: Pairs estimated below this are not verified; at similarity 0.8 the estimate's deviation is 0.032.
 ESTIMATE = 0.66
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1_000
+#: Members of a bucket, and shingles of them, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1_000, 500_000
 TEXT_CHUNK = 1 << 19
 
 
@@ -133,12 +133,8 @@ def estimate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def verify_rows(threshold: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), threshold)
+                    for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return rows
 
@@ -148,19 +144,26 @@ def shared_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).reshape(-1, BANDS, ROWS).all(2).argmax(1)
 
 
-def block_pairs(threshold: int):
-    """Pairs of one block that lie in different components and may reach the threshold.
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of ``threshold``/100."""
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def block_links(threshold: int):
+    """Links between components in one block of a bucket.
 
     ``shared`` counts the shingles of a set that any other set in question has too, so the lesser of two such counts bounds their
-    intersection; it rules out most pairs before their registers are compared. A pair is looked at in its first common band only.
+    intersection and rules out pairs before their registers are compared. A pair is looked at in its first common band only.
+    What is left is compared whole, likeliest pairs first; a pair that links found here already join is left out.
     """
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+    def links(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group.i.iat[0], group.j.iat[0]
-        own, band = group.own.to_numpy(), int(group.number.iat[0])
+        own = group.own.to_numpy()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         regs = np.frombuffer(b"".join(group.regs), np.uint16).reshape(-1, REGISTERS)
-        root, n, shared, c = pd.factorize(group.root)[0], group.n.to_numpy(), group.shared.to_numpy(), group.c.to_numpy()
+        root, n, shared, number = pd.factorize(group.root)[0], group.n.to_numpy(), group.shared.to_numpy(), group.number.to_numpy()
         first, second = [], []
         for k, i in enumerate(left):
             others = right[k + 1:] if x == y else right
@@ -173,11 +176,25 @@ def block_pairs(threshold: int):
         if not first:
             return pd.DataFrame({"a": [], "b": []})
         a, b = np.concatenate(first), np.concatenate(second)
-        keep = shared_band(regs[a], regs[b]) == band
+        keep = shared_band(regs[a], regs[b]) == number[a]
         a, b = a[keep], b[keep]
-        keep = compared(regs[a], regs[b], n[a], n[b]) >= ESTIMATE
-        return pd.DataFrame({"a": c[a[keep]], "b": c[b[keep]]})
-    return pairs
+        guess = compared(regs[a], regs[b], n[a], n[b])
+        order = np.argsort(-guess, kind="stable")[: int((guess >= ESTIMATE).sum())]
+        sets, c, up = [np.frombuffer(s, np.uint64) for s in group["set"]], group.c.to_numpy(), list(range(root.max() + 1))
+
+        def find(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        found = []
+        for i, k in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            r, t = find(root[i]), find(root[k])
+            if r != t and similar(sets[i], sets[k], threshold):
+                up[r] = t
+                found.append((c[i], c[k]))
+        return pd.DataFrame(found, columns=["a", "b"])
+    return links
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,21 +260,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     scratch.drop("pairs", "wanted", "sets")
     roots = components(links, scratch).toDF("c", "root")
     placed = inside.select("band", "c").join(small(roots), "c", "left").select("band", "c", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
-    mixed = scratch.save(mixed.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_ = scratch.save(placed.join(small(mixed), "band"), "open")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_ = scratch.save(placed.join(small(scratch.save(mixed.select("band"), "mixed")), "band"), "open")
     sets = whole_sets(open_.select("c").distinct(), classes, rows, shingle, scratch)
     alone = sets.select("rid", "set").mapInArrow(shingle_rows, "rid long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("rid").alias("rid"))
     alone = scratch.save(alone.where("k = 1").groupBy("rid").agg(F.count("*").alias("alone")), "alone")
-    counted = sets.select("c", "rid").join(small(alone), "rid", "left").select("c", F.coalesce("alone", F.lit(0)).alias("alone"))
-    members = scratch.save(classes.join(small(counted), "c").withColumn("shared", F.col("n") - F.col("alone")).where(
-        f"100 * shared >= {threshold} * n").select("c", "n", "shared", "regs", F.posexplode("bands").alias("number", "band")), "members")
-    cells = open_.join(members, ["band", "c"]).select(
-        "band", "number", "c", "root", "n", "shared", "regs", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("own"))
+    counted = sets.select("c", "rid", "set").join(small(alone), "rid", "left").select("c", "set", F.coalesce("alone", F.lit(0)).alias("alone"))
+    members = scratch.save(counted.join(classes, "c").withColumn("shared", F.col("n") - F.col("alone")).where(
+        f"100 * shared >= {threshold} * n").select("c", "n", "shared", "regs", "bands", "set"), "members")
+    sizes = open_.join(members.select("c", "n"), "c").groupBy("band").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "blocks")
+    cells = open_.join(small(scratch.save(sizes, "sizes")), "band").join(members, "c").select(
+        "band", "c", "root", "n", "shared", "regs", "set", "blocks", (F.array_position("bands", F.col("band")) - 1).alias("number"),
+        F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("own"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "number", "c", "root", "n", "shared", "regs")
-    across = scratch.save(cells.groupBy("band", "i", "j").applyInPandas(block_pairs(threshold), "a binary, b binary").distinct(), "across")
-    more = verified(across, sets, threshold, scratch)
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "number", "c", "root", "n", "shared", "regs", "set")
+    more = scratch.save(cells.groupBy("band", "i", "j").applyInPandas(block_links(threshold), "a binary, b binary"), "links")
     roots = components(links.union(more), scratch).toDF("c", "root")
     named = classes.select("c", "id").join(small(roots), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
