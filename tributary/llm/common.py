@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Most rows a table may have to be broadcast by hint; rows here are a few longs, so this is some tens of megabytes.
 BROADCAST_ROWS = 500_000
 #: Text bytes that are hashed at once; a longer text is hashed alone and whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -119,7 +119,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """step**i and step**-i modulo 2**64 for i up to n."""
     if step not in _POWERS or len(_POWERS[step][0]) <= n:
-        size, both = max(n + 1, CHUNK_BYTES + 1), []
+        size, both = 1 << max(16, n.bit_length()), []
         for base in (step, pow(step, -1, 1 << 64)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

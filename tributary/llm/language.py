@@ -200,7 +200,7 @@ def language_rows(crf: Crf, with_words: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*crf.languages, UNKNOWN], object)
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 2 << 20):
                 at, counts, words = crf.rows(part.column("text").to_pylist())
                 p = crf.marginals(at, counts)
                 total = np.zeros((len(part), max(1, p.shape[1])))

@@ -20,6 +20,7 @@ class LibraryBpe(ByteBpe):
         full = PATTERN.replace(r"[^\s", "[^" + SPACE[1:-1]).replace(r"\s", SPACE).replace(r"\S", "[^" + SPACE[1:])
         simple = full[: full.index(SPACE + "+(?!")] + SPACE
         self.full, self.simple = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=self.ids, special_tokens={}) for n, p in (("full", full), ("simple", simple)))
+        self.merged, self.parts = {}, []  # only the library's own tables are used
         self.adjacent = re.compile(r"\s\s")
 
     def spell_out(self) -> None:
