@@ -60,7 +60,7 @@ def logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, features: int) -> np.
     """Weights of word features, then of dense columns, then the constant: logistic regression by adaptive gradient steps."""
     w, grown = np.zeros(features + dense.shape[1] + 1), np.full(features + dense.shape[1] + 1, 1e-8)
     if not len(y) or y.min() == y.max():  # one class only: its smoothed rate
-        rate = (y.sum() + 0.5) / (len(y) + 1)
+        rate = (y.sum() + 0.5) / (len(y) + 2)
         w[-1] = np.log(rate / (1 - rate))
         return w
     w[-1] = np.log(y.mean() / (1 - y.mean()))
@@ -152,8 +152,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str =
 
     ``categories`` maps each name, in the order of the chain, to a condition over ``labels``. Models are fitted on at most SAMPLE
     labelled documents, the ones with the smallest hashes; every document is scored by its whole text. Null and empty texts
-    have no words and get the models' base rates; rows with a null label do not train; with no labels every probability is
-    at most one half; null ids, repeated rows and other columns are carried along; an empty table gives an empty result.
+    have no words and get the models' base rates; rows with a null label do not train; with no labels every
+    probability is a quarter and no category holds; null ids, repeated rows and other columns are carried along; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("__id"), *(c.alias(n) for n, c in categories.items())).dropna()
