@@ -72,6 +72,15 @@ def test_url_rules(spark, scratch):
     assert judged(rows.limit(0), spark.createDataFrame(RULES, RULE_DDL), scratch).count() == 0
 
 
+def test_host_rules_stay_in_the_host(spark, scratch):
+    """A host in the path is no host; one with a line break has its subdomains' rules."""
+    urls = ["http://example.com/go/foo.net/x", "http://other.org/web/www.example.net/en/1", "http://o.org/x.net/", "http:///x.net/", "http://a\n.net/x", "http://a\nb.example.net/en/",
+            "http://o.org\n/x.net/en/", "http://a.net/x.example.net/en/"]
+    rows = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    by = {r.page_id: r.rule for r in judged(rows, spark.createDataFrame(RULES, RULE_DDL), scratch).collect()}
+    assert [by[i] for i in range(len(urls))] == [None, None, None, None, "net/", "example.net/en/", None, "net/"]
+
+
 def test_archives(spark, scratch):
     big, r = "é" * 600, random.Random(1)
     html = [big, big, big, "x" * 999, "x" * 999, None, "", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 100, "😀\r\n" * 300, "z" * 200_000]

@@ -23,7 +23,7 @@ def quoted(text: str) -> str:
 
 def host_rule(host: str, path: str, action: str) -> tuple[str, str, str, str]:
     """A rule for a host and its subdomains, where the path starts with ``path`` ("/" at least)."""
-    return host + path, action, rf"^(?:.*\.)?{quoted(host)}{quoted(path)}(?s:.*)", f"{host} {path.rsplit('/', 1)[0]}"
+    return host + path, action, rf"^(?:[^/]*\.)?{quoted(host)}{quoted(path)}(?s:.*)", f"{host} {path.rsplit('/', 1)[0]}"
 
 
 def glob_rule(glob: str, action: str) -> tuple[str, str, str, str]:
