@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch, keyed, small
+from tributary.llm.common import Scratch, keyed, one_of_each, small
 from tributary.llm.exact import drop_exact
 from tributary.llm.language import UNKNOWN, held_out, identified
 from tributary.llm.minhash import near_duplicates
@@ -28,18 +28,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts one row, with the largest doc_id."""
     return drop_exact(docs, Scratch(spark))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest doc_id."""
+    """Of each group of near-duplicates (five-word shingles, 0.8) one row, with the smallest doc_id; of repeated rows one."""
     scratch = Scratch(spark)
     found = near_duplicates(docs, scratch, shingle=5, threshold=80, carry=["doc_id"])
-    copies = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("r1", "r2").distinct()
-    copies = small(scratch.save(copies, "copies"))
-    scratch.keep("copies")
-    return keyed(docs, "text", ["doc_id"]).join(copies, ["r1", "r2"], "left_anti").select("row.*")
+    counted = found.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.bool_or("first").alias("first"))
+    odd = scratch.save(counted.where("n > 1 OR NOT first"), "odd")
+    scratch.keep("odd")
+    rows, odd = keyed(docs, "text", ["doc_id"]), small(odd)
+    alone = rows.join(odd, ["r1", "r2"], "left_anti").select("row")
+    return alone.union(one_of_each(rows.join(odd.where("first"), ["r1", "r2"]), "r1", "r2")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,11 @@ def keyed(docs: DataFrame, text_col: str, identity: list[str], carry: list[str]
                        F.xxhash64(text, *identity, F.lit(1)).alias("r2"))
 
 
+def one_of_each(rows: DataFrame, *key: str) -> DataFrame:
+    """Column row of one row for each value of the columns ``key``, by a hash of its columns; repeated rows meet in map-side partial results."""
+    return rows.groupBy(*key).agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+
+
 #: Odd multipliers and seeds of the hashes.
 WORD_STEP, WINDOW_STEP, SECOND_STEP = 0x9E3779B97F4A7C15 | 3, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F | 3
 SEED = 20_240_607

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch, small
+from tributary.llm.common import Scratch, one_of_each, small
 
 #: Distinct keys that a bucket of the index holds before it splits.
 CAPACITY = 16_384
@@ -47,8 +47,9 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", key=None,
-            capacity: int = CAPACITY) -> DataFrame:
-    """Columns row (all columns of ``docs``), keep_id, group_size and text of every row; see ``exact_groups``.
+            capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """Columns row (all columns of ``docs``), id, keep_id, group_size and text of every row: first the rows whose key occurs once, then
+    the others; see ``exact_groups``.
 
     Keys are counted with map-side sums and only keys that occur twice enter the index, each in the bucket of its directory slot.
     The text of a row moves only if its key is in the index; owner tasks aggregate by (bucket, key, text), so a text that a
@@ -69,7 +70,7 @@ def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     found = chained.join(owners, same).select("row", "id", "keep_id", "group_size", "text")
     single = rows.join(index, "key", "left_anti").select("row", "id", F.col("id").alias("keep_id"),
                                                          F.lit(1).cast("long").alias("group_size"), "text")
-    return single.unionByName(found)
+    return single, found
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", key=None,
@@ -81,11 +82,17 @@ def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     id, same text) are all kept or all dropped; a null id wins only where all ids of a group are null; an empty table gives an
     empty result; other columns of ``docs``, whatever their names, are ignored.
     """
-    return grouped(docs.select(id_col, text_col), scratch, id_col, text_col, key, capacity).select(
+    single, found = grouped(docs.select(id_col, text_col), scratch, id_col, text_col, key, capacity)
+    return single.unionByName(found).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.sha2("text", 256).alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has; all columns stay as they are."""
-    return grouped(docs, scratch, id_col, text_col).where(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    """One row of ``docs`` for each text, that with the largest id; all columns stay as they are.
+
+    Rows that share text and id, or texts whose ids are all null, leave one row too (see ``one_of_each``).
+    """
+    single, found = grouped(docs, scratch, id_col, text_col)
+    kept = one_of_each(found.where(F.col("id").eqNullSafe(F.col("keep_id"))), "text")
+    return single.select("row").union(kept).select("row.*")

@@ -222,12 +222,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     threshold: int = 80, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: row (the columns ``carry``, default all), r1 and r2 (see ``keyed``), id, n_shingles, component_id.
+    """One row per row of ``docs``: row (the columns ``carry``, default all), r1 and r2 (see ``keyed``), id, n_shingles, component_id, first.
 
     Texts whose sets of ``shingle`` successive lower-cased words have a Jaccard similarity of at least ``threshold``/100 are
     linked; component_id is the least id that links reach. A text with fewer words has its whole sequence as one shingle; null, empty
     and blank texts have none, stay alone and get their own id. Equal sets form one class before any comparison, so
     copies cost nothing. Null ids lose against others (component_id is null where all are); repeated rows get the same values;
+    first holds for the rows of one r1 and r2 of each component, those with the least id (ties: the least r1 and r2);
     other columns are carried along; an empty table gives an empty result.
 
     Classes that share a band are compared in two steps, neither of which pairs up a whole bucket: first each class with its
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     sketches = scratch.save(rows.mapInArrow(sketch_rows(shingle), schema), "sketches")
     ids = F.col("row")[id_col]
     classes = scratch.save(sketches.where("c IS NOT NULL").groupBy("c").agg(
-        F.min(ids).alias("id"), F.first("n").alias("n"), F.min(F.struct("r1", "r2")).alias("rep"), F.first("regs").alias("regs"),
+        F.min(F.struct(ids.isNull().alias("none"), ids.alias("id"), "r1", "r2")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"),
         F.first("bands").alias("bands")), "classes")
     banded = classes.select("c", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("c").alias("a"), F.count("*").alias("members")).where("members > 1")
@@ -278,10 +279,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "number", "c", "root", "n", "shared", "regs", "set")
     more = scratch.save(cells.groupBy("band", "i", "j").applyInPandas(block_links(threshold), "a binary, b binary"), "links")
     roots = components(links.union(more), scratch).toDF("c", "root")
-    named = classes.select("c", "id").join(small(roots), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
-    least = scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    named = scratch.save(named.join(least, "root").select("c", "component_id"), "named")
+    named = classes.select("c", "rep").join(small(roots), "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
+    least = scratch.save(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    named = scratch.save(named.join(least, "root").select("c", "least"), "named")
     scratch.keep("sketches", "named")
     out = sketches.select("row", "r1", "r2", "n", "c").join(named, "c", "left")
     return out.select("row", "r1", "r2", ids.alias("id"), F.col("n").alias("n_shingles"),
-                      F.when(F.col("c").isNull(), ids).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(F.col("c").isNull(), ids).otherwise(F.col("least.id")).alias("component_id"),
+                      (F.col("c").isNull() | ((F.col("r1") == F.col("least.r1")) & (F.col("r2") == F.col("least.r2")))).alias("first"))
