@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.llm.ann import nearest
-from tributary.llm.language import held_out, identified
+from tributary.llm.language import LONGEST, PER_LANGUAGE, held_out, identified, training_texts
 from tributary.llm.toxicity import toxicity
 from tributary.llm.url_filter import RULE_DDL, glob_rule, host_rule, judged
 from tributary.llm.warc import LoserTree, archived, captures, capture_index, order, range_borders, records, write_archives
@@ -36,6 +36,23 @@ def test_code_switched_words(spark, documents):
     assert [r.lang_pred for r in identified(documents([(1, "some words")], lang=None), F.lit(True)).collect()] == ["und"]
 
 
+def test_languages_of_long_texts_and_copies(spark):
+    """A language with long documents only is learnt, and copies take no more than one place of a language's sample."""
+    r = random.Random(5)
+    say = lambda letters, n: " ".join("".join(r.choices(letters, k=5)) for _ in range(n))
+    rows = [(i, "12 " * 9_000 + say("abcde", 8_000), "aa") for i in range(6)] + [(100 + i, say("vwxyz", 30), "zz") for i in range(40)]
+    rows += [(200 + i, say("lmnop", 30) if i < 40 else "lone copy", "ll") for i in range(40 + 5 * PER_LANGUAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    texts = training_texts(docs, F.lit(True), "doc_id", "text", "lang")
+    by = {lang: [t for t, x in texts if x == lang] for lang in ("aa", "ll", "zz")}
+    assert {k: (len(v), len(set(v))) for k, v in by.items()} == {"aa": (6, 6), "ll": (41, 41), "zz": (40, 40)}
+    assert max(map(len, by["aa"])) <= LONGEST and all(w == "12" or len(w) == 5 for t in by["aa"] for w in t.split())
+    out = identified(docs, F.lit(True)).where("row.text <> 'lone copy'").collect()
+    assert all(x.lang_pred == x.row.lang for x in out)
+    many = docs.unionByName(spark.createDataFrame([(5_000 + i, say("abcde", 5), "aa") for i in range(2 * PER_LANGUAGE)], docs.schema))
+    assert all(len(t) < 100 for t, x in training_texts(many, F.lit(True), "doc_id", "text", "lang") if x == "aa")
+
+
 def test_toxicity(spark, documents):
     r = random.Random(3)
     word = lambda k: f"{k}{'abcdefghij'[r.randrange(10)]}"

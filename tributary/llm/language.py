@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import SEED, bounded_batches, chunks, mix, small
+from tributary.llm.common import SEED, bounded_batches, chunks, mix
 
-#: Training documents per language, and the longest text that is one. Everything else sees whole texts of all rows.
-PER_LANGUAGE, LONGEST = 200, 20_000
+#: Training texts per language, the characters that one has at most, and from how many places of a longer text they come. Everything
+#: else sees whole texts of all rows.
+PER_LANGUAGE, LONGEST, PLACES = 200, 20_000, 20
 #: Training sequences, their length, mean words between switches; rounds and step of the fit, weight decay.
 SEQUENCES, STEPS, SPAN, ROUNDS, RATE, DECAY = 1_500, 64, 20, 30, 0.5, 1e-4
 #: Hash buckets of affixes and n-grams (of up to GRAM bytes), and how often a word must occur to enter the lexicon.
@@ -185,15 +186,27 @@ def fit(texts: list[tuple[str, str]]) -> Crf:
     return crf
 
 
+def excerpt(text):
+    """A text of at most LONGEST characters as it is; of a longer one the whole words of PLACES pieces that lie evenly in it."""
+    size = LONGEST // PLACES
+    place = lambda i: F.substring(text, (1 + i * (F.length(text) - size) / (PLACES - 1)).cast("int"), F.lit(size))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.regexp_replace(place(i), r"^\S+\s|\s\S+$", ""))
+    return F.when(F.length(text) <= LONGEST, text).otherwise(F.concat_ws(" ", pieces))
+
+
 def training_texts(docs: DataFrame, usable, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """PER_LANGUAGE labelled documents of each language, the ones with the smallest hashes."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)).select(
-        F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    """PER_LANGUAGE different labelled texts of each language, the ones with the smallest hashes; longer ones than LONGEST only where
+    the others are too few, and of these an excerpt."""
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.xxhash64(text_col).alias("h"), (F.length(text_col) > LONGEST).alias("long"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    marks = rows.select("lang", "long", "h").distinct()
+    counts = docs.sparkSession.createDataFrame(marks.groupBy("lang", "long").agg(F.count("*").alias("n")).collect(), "lang string, long boolean, n long")
     spread = F.pmod("h", F.lit(1_000_000)) * F.col("n") < 1_000_000 * 3 * PER_LANGUAGE
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    picked = rows.join(small(counts), "lang").where(spread).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
-    return [(r.text, r.lang) for r in picked.orderBy("lang", "r").select("text", "lang").collect()]
+    order = Window.partitionBy("lang").orderBy("long", "h")
+    few = marks.join(F.broadcast(counts), ["lang", "long"]).where(spread).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
+    picked = docs.sparkSession.createDataFrame(few.select("lang", "long", "h", "r").collect(), "lang string, long boolean, h long, r int")
+    found = rows.join(F.broadcast(picked), ["lang", "long", "h"]).groupBy("lang", "r").agg(F.min(excerpt(F.col("text"))).alias("text"))
+    return [(r.text, r.lang) for r in found.orderBy("lang", "r").select("text", "lang").collect()]
 
 
 def language_rows(crf: Crf, with_words: bool):
