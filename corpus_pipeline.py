@@ -59,7 +59,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
           ("substring_dedup", substring_dedup), ("packing", packing)]
 
-#: A trained model, connected components and token windows have no SQL; tests compare the stages with brute force.
+#: A trained model, connected components and token windows have no SQL; tests run the three dedup stages on small hand-made tables.
 ORACLE_SQL = None
 
 
