@@ -63,10 +63,10 @@ class Scratch:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
         path = self.path(name)
         self.paths.setdefault(name, []).append(path)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partitions)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

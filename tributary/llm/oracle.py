@@ -26,4 +26,16 @@ m AS (SELECT page_id, h || f AS rule, verdict, row_number() OVER (PARTITION BY p
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND n = 1
 """
 
-ORACLE = {"op2_url_filter": URLS, "op6_warc": WARC, "op7_exact_dedup": EXACT}
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, count(DISTINCT r) AS docs FROM k GROUP BY key),
+m AS (SELECT k.*, length(key) >= 1 AND docs >= 10 AS gone FROM k JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+ORACLE = {"op2_url_filter": URLS, "op6_warc": WARC, "op7_exact_dedup": EXACT, "op11_line_dedup": LINES}

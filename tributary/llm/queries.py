@@ -11,6 +11,7 @@ from tributary.llm.bpe import encoded
 from tributary.llm.common import Scratch
 from tributary.llm.exact import exact_groups
 from tributary.llm.language import held_out, identified
+from tributary.llm.lines import without_shared_lines
 from tributary.llm.minhash import near_duplicates
 from tributary.llm.packing import packed
 from tributary.llm.substring import without_repeats
@@ -89,5 +90,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of every document once those that ten documents share are gone."""
+    found = without_shared_lines(table(spark, sf_dir, "documents"), Scratch(spark), min_docs=10, min_chars=1, carry=["doc_id"])
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = [op1_minhash_dedup, op2_url_filter, op3_bpe_round_trip, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_nearest_vectors,
-           op9_language, op10_substring_dedup]
+           op9_language, op10_substring_dedup, op11_line_dedup]
