@@ -14,6 +14,7 @@ from tributary.llm.language import held_out, identified
 from tributary.llm.lines import without_shared_lines
 from tributary.llm.minhash import near_duplicates
 from tributary.llm.packing import packed
+from tributary.llm.periodic import periodic_runs
 from tributary.llm.substring import without_repeats
 from tributary.llm.toxicity import toxicity
 from tributary.llm.url_filter import RULE_DDL, host_rule, judged
@@ -96,5 +97,32 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of documents whose h = crc32(doc_id) divides by ten, every word i from a on becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    few = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    few = few.select("doc_id", "text", "w", "g", F.size("w").alias("n"), F.when(F.size("w") > 0, (F.col("g") % F.size("w")).cast("int")).alias("a"))
+    rest = F.col("n") - F.col("a")
+    p = (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int")
+    times = F.ceil(rest / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, p), times)), F.lit(1), rest)
+    return few.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of words that repeat with a period, and what is left of every document without the repeats."""
+    found = periodic_runs(with_periods(table(spark, sf_dir, "documents")), carry=["doc_id"])
+    more = lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), more)
+    found = found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "runs", "collapsed")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = [op1_minhash_dedup, op2_url_filter, op3_bpe_round_trip, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_nearest_vectors,
-           op9_language, op10_substring_dedup, op11_line_dedup]
+           op9_language, op10_substring_dedup, op11_line_dedup,
+           op12_periodic_runs]
