@@ -38,4 +38,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY r, doc_id
 """
 
-ORACLE = {"op2_url_filter": URLS, "op6_warc": WARC, "op7_exact_dedup": EXACT, "op11_line_dedup": LINES}
+
+
+def centroid_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Rounds written out: a<i> assigns to the centroids c<i>, which follow from a<i-1>."""
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INTEGER) AS c, v AS m FROM v
+  WHERE vec_id IS NOT NULL QUALIFY c < {clusters})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, c AS cluster, d AS distance FROM
+  (SELECT *, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS BIGINT) AS d FROM v, c{i})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT cluster, k, CAST(sum(v[k]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(k) GROUP BY cluster, k),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(u, m) AS m FROM c{i} LEFT JOIN
+  (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS u FROM s{i} GROUP BY cluster) ON c = cluster)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = cluster"""
+
+
+ORACLE = {"op2_url_filter": URLS, "op6_warc": WARC, "op7_exact_dedup": EXACT, "op11_line_dedup": LINES, "op13_centroid_clusters": centroid_sql()}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.ann import nearest
 from tributary.llm.bpe import encoded
+from tributary.llm.centroid import clustered, with_inertia
 from tributary.llm.common import Scratch
 from tributary.llm.exact import exact_groups
 from tributary.llm.language import held_out, identified
@@ -123,6 +126,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds from eight centroids."""
+    scratch = Scratch(spark)
+    found, centroids = clustered(table(spark, sf_dir, "embeddings"), scratch)
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return with_inertia(found, scratch).withColumn("centroid_sha256", F.get(F.array(*map(F.lit, digests or [""])), F.col("cluster")))
+
+
 QUERIES = [op1_minhash_dedup, op2_url_filter, op3_bpe_round_trip, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_nearest_vectors,
            op9_language, op10_substring_dedup, op11_line_dedup,
-           op12_periodic_runs]
+           op12_periodic_runs, op13_centroid_clusters]
