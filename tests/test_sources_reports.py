@@ -57,6 +57,9 @@ def test_metrics_grow_columns(spark, tmp_path):
     path = str(tmp_path / "metrics")
     runs.append_metrics(spark.createDataFrame([(1,)], "a int"), path)
     runs.append_metrics(spark.createDataFrame([(2, "x")], "a int, b string"), path)
+    runs.append_json(spark.createDataFrame([(1,)], "a int"), path + "-json")
+    runs.append_json(spark.createDataFrame([(2, "x")], "a int, b string"), path + "-json")
+    assert sorted(map(tuple, tables.read_json(spark, path + "-json", "a int, b string").collect())) == [(1, None), (2, "x")]
     assert sorted(map(tuple, runs.read_metrics(spark, path).select("a", "b").collect())) == [(1, None), (2, "x")]
 
 
@@ -70,6 +73,47 @@ def test_latest_results(spark, tmp_path):
     assert runs.read_results(spark, str(tmp_path / "notes.csv")).first()["filename"] == "notes.csv"
 
 
+def test_results_with_different_headers(spark, tmp_path):
+    """Columns by name, whatever their place; ragged rows, repeated and quoted names, empty files; other files of the folder stay closed."""
+    files = {"a.csv": "x\ty\n1\t2\n3\n4\t5\t6\n", "b.csv": "y\t x \tx\n7\t\"8\t9\"\t0\n", "c.csv": "", "d.csv": "\"z\tz\"\tx\n", "e.csv": "y\nx\ny\n"}
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    out = runs.read_results(spark, str(tmp_path))
+    assert out.columns == ["x", "y", "z\tz", "filename"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("1", "2", None, "a.csv"), ("3", None, None, "a.csv"), ("4", "5", None, "a.csv"),
+                                                                ("8\t9", "7", None, "b.csv"), (None, "x", None, "e.csv"), (None, "y", None, "e.csv")], key=str)
+    few = runs.read_results(spark, str(tmp_path), chosen=spark.createDataFrame([("a.csv",), ("none.csv",)], "filename string"))
+    assert few.columns == ["x", "y", "filename"] and few.count() == 3
+    with pytest.raises(ValueError, match="no eval results"):
+        runs.latest_results(spark, str(tmp_path), "eval")
+
+
+@pytest.mark.parametrize("listed", [1_000, 0])
+def test_chosen_files_are_named_in_the_scan_or_joined(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(runs, "LISTED_FILES", listed)
+    rows = spark.createDataFrame([(f"f{i % 3}.csv", i, None if i == 4 else f"v\t{i}") for i in range(9)], "file string, n int, v string")
+    runs.write_results(rows, str(tmp_path), "file")
+    chosen = spark.createDataFrame([("f0.csv",), ("f1.csv",), ("f1.csv",)], "filename string")
+    out = runs.read_results(spark, str(tmp_path), chosen=chosen)
+    assert sorted((r.filename, int(r.n), r.v) for r in out.collect()) == sorted((f"f{i % 3}.csv", i, None if i == 4 else f"v\t{i}") for i in range(9) if i % 3 < 2)
+    with pytest.raises(FileExistsError):
+        runs.write_results(rows, str(tmp_path), "file")
+
+
+def test_settings_of_many_runs_in_one_scan(spark, tmp_path):
+    """Old and new files side by side; ids lie in several lines; a stored share wins over the name; a run may lack a side."""
+    rows = [("always_x", i, "test" if i < 3 else "train") for i in range(25)] + [("plain", 7, "train")]
+    users = spark.createDataFrame(rows, "run string, u int, split string")
+    tables.write_stored_split(users, str(tmp_path / "r"), "u", 4, old_names=True)
+    tables.write_stored_split(spark.createDataFrame([("sometimes_y", 1, "test", 0.75)], "run string, u int, split string, mask_all_pct double"), str(tmp_path / "r"), "u")
+    found = tables.read_run_settings(spark, str(tmp_path / "r"))
+    assert found.where("run = 'always_x'").count() > 3
+    assert {(r.run, r.mask_all_pct, r.mask_each_pct, r.randomize_order) for r in found.collect()} == {
+        ("always_x", 1.0, 0.0, False), ("plain", 0.0, 0.0, False), ("sometimes_y", 0.75, 0.25, False)}
+    ids = tables.stored_manifest_ids(found, ["run"]).collect()
+    assert sorted((r.run, int(r["key"]), r.split) for r in ids) == sorted(rows + [("sometimes_y", 1, "test")])
+
+
 def test_run_file_names(spark):
     names = ["table-a_b_c_d_e-2024-07-07-02-01-eval_stats.csv", "table-a_b_c-2024-07-07-02-01-train_stats.csv", "other.csv",
              "table-a_b_c_d-2024-07-07-02-01-test_stats.csv"]

@@ -522,6 +522,29 @@ rs AS MATERIALIZED (SELECT user_id, event_id, CASE WHEN rn <= greatest(1, floor(
     return q
 
 
+CHURN_ROWS = LINES + """,
+raw AS MATERIALIZED (SELECT o_custkey, l_linenumber, l_linestatus, l_suppkey, floor(epoch(date_trunc('second', l_shipdate)) / 60)::BIGINT AS m, l_extendedprice,
+  o_orderpriority, l_returnflag, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS line_no FROM lines)"""
+
+RESULTS = """
+named AS (SELECT *, 'final_' || CASE o_orderpriority WHEN '1-URGENT' THEN 'amazon_electronics' WHEN '2-HIGH' THEN 'amazon_movies'
+    WHEN '3-MEDIUM' THEN 'ibm' WHEN '4-NOT SPECIFIED' THEN 'loans' ELSE 'churn' END ||
+    CASE o_orderstatus WHEN 'F' THEN '_masked_randomized' ELSE '' END AS name FROM orders),
+results AS MATERIALIZED (SELECT o_orderkey AS step, name, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE o_custkey END AS rows,
+  CASE WHEN o_orderstatus = 'F' THEN 'a "b"' || chr(9) || o_orderpriority ELSE '' END AS note, year(o_orderdate) AS y, o_orderstatus = 'O' AS training,
+  'table-' || name || '-' || year(o_orderdate) || '-01-01-00-00-' || CASE WHEN o_orderstatus = 'O' THEN 'train' ELSE 'eval' END || '_stats.csv' AS filename FROM named)"""
+
+#: Task and experiment: the first three words of a run's name, and the rest.
+LATEST_RESULTS = """,
+parted AS (SELECT *, array_to_string(string_split(name, '_')[1:3], '_') AS task, array_to_string(string_split(name, '_')[4:], '_') AS experiment FROM results
+  WHERE NOT training)"""
+
+MANIFESTS = f"""
+runs_ AS MATERIALIZED (SELECT DISTINCT CASE event_type WHEN 'click' THEN 'always_click' WHEN 'error' THEN 'sometimes_randomize_error'
+  WHEN 'view' THEN 'randomize_view' ELSE event_type END AS run, user_id FROM events),
+{SPLIT},
+told AS (SELECT *, run IN ('always_click', 'sometimes_randomize_error', 'view') AS old FROM runs_ JOIN users USING (user_id))"""
+
 #: Queries whose result is that of another one, reached by another way.
 SAME = {"time_gaps_cut": "time_gaps", "change_points_cut": "change_points", "encoder_reload": "encoded_rows",
         "manifest_roundtrip": "restored_split", "gzip_csv": "io_roundtrip", "gzip_json_lines": "io_roundtrip"}
@@ -533,4 +556,14 @@ def oracle() -> dict[str, str]:
     return found | {new: found[old] for new, old in SAME.items()} | {
         "entity_layout": f"SELECT user_id, event_id, {stamp('ts')} AS ts FROM events",
         "sample_sink": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000",
+        "churn_rows": with_(CHURN_ROWS, """SELECT o_custkey::BIGINT AS "User", replace(o_orderpriority, ' ', '') AS trx_category, l_linenumber::VARCHAR AS "MCC", l_linestatus AS channel_type,
+  l_suppkey::VARCHAR AS currency, l_extendedprice AS amount, coalesce(m - lag(m) OVER (PARTITION BY o_custkey ORDER BY m, line_no), 0)::DOUBLE AS total_minutes_from_last,
+  (l_returnflag = 'R')::INTEGER AS target_flag, m AS total_minutes FROM raw"""),
+        "all_results": with_(RESULTS, "SELECT step, name, rows, note, filename FROM results"),
+        "latest_results": with_(RESULTS + LATEST_RESULTS, """SELECT step, name, rows, note, filename, CASE WHEN experiment = '' THEN 'Base' ELSE experiment END AS experiment_name
+FROM parted QUALIFY y = max(y) OVER (PARTITION BY task, experiment)"""),
+        "stored_manifests": with_(MANIFESTS, """SELECT run, CASE WHEN old THEN run ELSE 'saved_' || run END AS saved_name,
+  (old AND contains(run, 'randomize'))::INTEGER AS randomize_order,
+  CASE WHEN NOT old THEN 0.5 WHEN contains(run, 'always') THEN 1.0 WHEN contains(run, 'sometimes') THEN 0.25 ELSE 0.0 END::DOUBLE AS mask_all_pct,
+  CASE WHEN NOT old THEN 0.125 WHEN contains(run, 'sometimes') THEN 0.25 ELSE 0.0 END::DOUBLE AS mask_each_pct, user_id, split FROM told"""),
         "scored_label_sink": with_(scores_ctes(), "SELECT user_id, pos, t::BIGINT AS label, p0, p1, p2, p3, p4 FROM scores")}

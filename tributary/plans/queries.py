@@ -6,8 +6,6 @@ across engines; the operators themselves return arrays and unrounded doubles.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +15,11 @@ from tributary.operators import evaluate, layout, masking, normalize, report, se
 from tributary.operators.discretize import BinEdges, MedianCodes
 from tributary.operators.layout import EntityLayout
 from tributary.operators.split import HashSplit
-from tributary.plans.datasets import ACTIVITY
+from tributary.plans.datasets import ACTIVITY, CHURN
 from tributary.plans.jobs import Encoder, sequence_table, text_table
 from tributary.schema import EventSchema
 from tributary.sources import runs, tables
+from tributary.sources.shared import shared_folder
 
 SEED = 42
 LENGTH = 10
@@ -55,14 +54,6 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, which must be configured: executors do not share local ones."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # --- normalisation -----------------------------------------------------------------------
 
 def time_gaps(spark, sf_dir):
@@ -186,6 +177,20 @@ def masked_last_event(spark, sf_dir):
     return layout.mask_last_event(events, fitted, ["event_type", "props"]).drop("ts")
 
 
+def churn_rows(spark, sf_dir):
+    """Order lines in the layout of raw account histories, written, scanned and normalised; the account becomes the entity key."""
+    folder, line = shared_folder(spark), lines(spark, sf_dir)
+    raw = line.select(
+        F.col("l_orderkey").cast("string").alias("PERIOD"), F.col("o_custkey").cast("bigint").alias("cl_id"), F.col("l_linenumber").cast("int").alias("MCC"),
+        F.col("l_linestatus").alias("channel_type"), F.col("l_suppkey").cast("int").alias("currency"),
+        F.upper(F.date_format("l_shipdate", "ddMMMyy:HH:mm:ss")).alias("TRDATETIME"), F.col("l_extendedprice").alias("amount"),
+        F.col("o_orderpriority").alias("trx_category"), (F.col("l_returnflag") == "R").cast("int").alias("target_flag"), F.col("l_tax").alias("target_sum"))
+    raw.write.option("header", True).option("sep", CHURN.sep).csv(f"{folder}/raw")
+    found = tables.read_events(spark, f"{folder}/raw", CHURN.fmt, CHURN.read_schema, CHURN.sep)
+    found = found.withColumn("line_no", F.concat_ws("-", "PERIOD", "MCC", "currency", "amount"))
+    return CHURN.normalise(found).drop("line_no")
+
+
 # --- profile -----------------------------------------------------------------------------
 
 def profile(spark, sf_dir):
@@ -416,6 +421,23 @@ def manifest_roundtrip(spark, sf_dir):
     return kept.withColumn("side", F.lit("test")).unionByName(rest.withColumn("side", F.lit("train")))
 
 
+def stored_manifests(spark, sf_dir):
+    """Splits of five runs, some stored in the present layout, others in the old one without masking shares, read in one scan."""
+    folder, events = shared_folder(spark), table(spark, sf_dir, "events").select("user_id", "event_type")
+    name = C.mapped(F.col("event_type"), {"click": "always_click", "error": "sometimes_randomize_error", "view": "randomize_view"}, F.col("event_type"))
+    users = events.select(name.alias("run"), "user_id").distinct()
+    split_of = HashSplit.fit(users, ["user_id"], 0.1, SEED).transform(users)
+    old = F.col("run").isin("always_click", "sometimes_randomize_error", "view")
+    new = split_of.where(~old).withColumns({"saved_name": F.concat(F.lit("saved_"), "run"), "randomize_order": F.lit(False),
+                                            "mask_all_pct": F.lit(0.5), "mask_each_pct": F.lit(0.125)})
+    tables.write_stored_split(new, f"{folder}/runs", "user_id", 100)
+    tables.write_stored_split(split_of.where(old), f"{folder}/runs", "user_id", 100, old_names=True)
+    found = tables.read_run_settings(spark, f"{folder}/runs")
+    keep = ["run", "saved_name", "randomize_order", "mask_all_pct", "mask_each_pct"]
+    out = tables.stored_manifest_ids(found, keep)
+    return out.select(*keep[:2], F.col(keep[2]).cast("int").alias(keep[2]), *keep[3:], F.col("key").cast("bigint").alias("user_id"), "split")
+
+
 def entity_layout(spark, sf_dir):
     """Events laid out by user and time, written and read again."""
     events, folder = table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), shared_folder(spark)
@@ -688,6 +710,35 @@ def latest_runs(spark, sf_dir):
     return out.select("task_name", "experiment_name", "filename", stamp(F.col("creation_time")).alias("creation_time"))
 
 
+def _result_folder(spark, sf_dir) -> str:
+    """Result files of runs per priority, status and year, with a row per order: a phase and two statuses, each with columns of its own."""
+    folder, d = shared_folder(spark), F.col("o_orderdate")
+    phase = F.when(F.col("o_orderstatus") == "O", "train").otherwise("eval")
+    setting = F.when(F.col("o_orderstatus") == "F", "_masked_randomized").otherwise("")
+    name = F.concat(F.lit("final_"), C.mapped(F.col("o_orderpriority"), PRIORITY), setting)
+    file = F.concat(F.lit("table-"), name, F.lit("-"), F.date_format(F.date_trunc("year", d), "yyyy-MM-dd-HH-mm"), F.lit("-"), phase, F.lit("_stats.csv"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderstatus", file.alias("file"), name.alias("name"), F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("rows"),
+        F.concat(F.lit('a "b"\t'), "o_orderpriority").alias("note"))
+    for status, columns in {"F": ["name", "step", "note"], "O": ["step", "rows", "name"], "P": ["rows", "name", "step"]}.items():
+        runs.write_results(rows.where(F.col("o_orderstatus") == status).select("file", *columns), folder, "file")
+    return folder
+
+
+def _result_columns(df: DataFrame) -> DataFrame:
+    return df.withColumns({"step": F.col("step").cast("bigint"), "rows": F.coalesce(F.col("rows").cast("bigint"), F.lit(-1)), "note": F.coalesce("note", F.lit(""))})
+
+
+def all_results(spark, sf_dir):
+    """All result files of a folder, columns by the names in their own headers."""
+    return _result_columns(runs.read_results(spark, _result_folder(spark, sf_dir)))
+
+
+def latest_results(spark, sf_dir):
+    """Rows of the newest evaluation file of every task and experiment."""
+    return _result_columns(runs.latest_results(spark, _result_folder(spark, sf_dir), "eval"))
+
+
 def _run_metrics(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     dataset = F.concat(F.lit("EVAL_pretrain_"), C.mapped(F.col("o_orderpriority"), PRIORITY))
@@ -810,5 +861,5 @@ QUERIES = [
     softmax_scores, softmax_check, batch_metrics, run_row, prompts, label_free_text,
     parsed_runs, latest_runs, metric_summary, metric_pivot, benchmark_union, setup_first_rows, top_rows,
     io_roundtrip, metrics_append, time_gaps_cut, change_points_cut, encoder_reload, manifest_roundtrip, entity_layout,
-    gzip_csv, gzip_json_lines, sample_sink, scored_label_sink,
+    gzip_csv, gzip_json_lines, sample_sink, scored_label_sink, churn_rows, stored_manifests, all_results, latest_results,
 ]

@@ -132,9 +132,36 @@ def with_named_masking(runs: DataFrame, name: str = "name") -> DataFrame:
     return runs.withColumns({k: F.coalesce(quoted(k), v) if k in runs.columns else v for k, v in implied.items()})
 
 
-def stored_manifest_ids(settings: DataFrame) -> DataFrame:
-    """Train and test id arrays of a settings file as a (key, split) table."""
+# Fields of a run's settings file; train and test are the names of the ids in old files.
+SETTINGS = ("saved_name string, randomize_order boolean, mask_all_pct double, mask_each_pct double, train_ids array<string>, "
+            "test_ids array<string>, train array<string>, test array<string>")
+
+
+def write_stored_split(manifest: DataFrame, path: str, key: str, ids_per_line: int = 10_000, old_names: bool = False) -> None:
+    """Splits of many runs (``run``, key, ``split``, further settings) as JSON settings under ``run=<name>``.
+
+    A line holds some ``ids_per_line`` ids of a run, however many the run has. ``old_names`` writes ``train`` and ``test``.
+    """
+    settings = [c for c in manifest.columns if c not in ("run", key, "split")]
+    sizes = manifest.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / ids_per_line).alias("__lines"))
+    line = F.pmod(F.xxhash64(quoted(key)), F.col("__lines"))
+    side = lambda name: F.collect_list(F.when(F.col("split") == name, quoted(key).cast("string"))).alias(name if old_names else f"{name}_ids")
+    rows = manifest.join(sizes, "run").groupBy("run", line.alias("__line"), *map(quoted, settings)).agg(side("train"), side("test"))
+    rows.drop("__line").write.mode("append").partitionBy("run").json(path)
+
+
+def read_run_settings(spark: SparkSession, path: str) -> DataFrame:
+    """Settings of all runs under ``path``, old and new files in one scan: run, saved_name, randomize_order, the masking shares, and the
+    ids. What a file does not store follows from the run's name; lines of one run hold different ids."""
+    raw = spark.read.schema(f"{SETTINGS}, run string").json(path)
+    ids = {f"{side}_ids": F.coalesce(f"{side}_ids", side, F.array().cast("array<string>")) for side in ("train", "test")}
+    stored = with_named_masking(raw, "run").withColumns({"saved_name": F.coalesce("saved_name", "run"), **ids})
+    return stored.select("run", "saved_name", "randomize_order", "mask_all_pct", "mask_each_pct", "train_ids", "test_ids")
+
+
+def stored_manifest_ids(settings: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Train and test id arrays of settings files as a (key, split) table, beside the columns ``keep``."""
     sides = F.array(F.struct(F.lit("train").alias("split"), F.col("train_ids").alias("ids")),
                     F.struct(F.lit("test").alias("split"), F.col("test_ids").alias("ids")))
-    return (settings.select(F.explode(sides).alias("s"))
-            .select(F.explode("s.ids").alias("key"), F.col("s.split").alias("split")))
+    own = [quoted(c) for c in keep]
+    return settings.select(*own, F.explode(sides).alias("s")).select(*own, F.explode("s.ids").alias("key"), F.col("s.split").alias("split"))
