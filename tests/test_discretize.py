@@ -8,8 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators.cumulative import RankedColumns, running_total
-from tributary.operators.discretize import BinEdges, MedianCodes
+import __spark_entry__ as entry
+from compare import connect, difference
+from tributary.operators import cumulative
+from tributary.operators.cumulative import RankedColumns, carried_forward, running_total
+from tributary.operators.discretize import BinEdges, MedianCodes, MedianTree, median_codes, stored_codes
 
 
 def brute(values, depth):
@@ -29,9 +32,9 @@ def brute(values, depth):
     return None if known and not code(known[0], known, depth) and statistics.median(known) == max(known) else out
 
 
-def fit_codes(spark, values, depth, bins=1024):
+def fit_codes(spark, values, depth, range_rows=None):
     df = spark.createDataFrame([(i, float(v) if v is not None else None) for i, v in enumerate(values)], "i int, v double").repartition(3)
-    fitted = MedianCodes.fit(df, ["v"], depth, bins)
+    fitted = median_codes(df, ["v"], depth, range_rows)
     return fitted, [r["v"] for r in fitted.transform(df).orderBy("i").collect()]
 
 
@@ -45,19 +48,43 @@ def test_worked_examples(spark, values, depth, want):
     assert fit_codes(spark, values, depth)[1] == want
 
 
-@pytest.mark.parametrize("seed,bins", [(1, 1024), (2, 8), (3, 2)])
-def test_random_columns_match_recursion(spark, seed, bins):
+@pytest.mark.parametrize("seed,range_rows", [(1, None), (2, 40), (3, 7)])
+def test_random_columns_match_recursion(spark, seed, range_rows):
     rng = random.Random(seed)
     values = [rng.choice([None, rng.randint(-5, 5), rng.gauss(0, 1), 0.0, -0.0]) for _ in range(700)]
-    assert fit_codes(spark, values, 5, bins)[1] == brute(values, 5)
+    assert fit_codes(spark, values, 5, range_rows)[1] == brute(values, 5)
 
 
-def test_unlimited_depth_and_reload(spark):
-    values = [1, 2, 2, 3, 5, 8, 13, 21, 21]
-    fitted, got = fit_codes(spark, values, -1)
-    assert got == brute(values, -1)
-    again = MedianCodes.from_table(fitted.table(spark))
-    assert again.nodes == fitted.nodes
+@pytest.mark.parametrize("values,depth,range_rows", [
+    ([1, 2, 2, 3, 5, 8, 13, 21, 21], -1, None), ([1, 2, 2, 3, 5, 8, 13, 21, 21, None, -0.0, 0.0], -1, 2), ([7, 7, 7], -1, None), ([None], -1, None),
+    ([2.0 ** k for k in range(60)] * 2 + [None], -1, 10), ([5, 5, 5, 1], -1, None), (list(range(500)), -1, 30), (list(range(9000)), 13, None)])
+def test_trees_of_any_depth(spark, values, depth, range_rows):
+    fitted, got = fit_codes(spark, values, depth, range_rows)
+    want = brute(values, depth)
+    assert isinstance(fitted, MedianTree) and got == (want if fitted.splits("v") else [None if v is None else float(v) for v in values])
+    assert fitted.splits("v") == (want is not None and want != ["nan"] * len(want))
+    again = stored_codes(fitted.table(spark))
+    assert isinstance(again, MedianTree) and again.splits("v") == fitted.splits("v")
+
+
+def test_a_tree_codes_new_values_like_a_small_one(spark):
+    """Values between and beyond the fitted ones; several columns, a leaf root and a null among them."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(float(rng.randint(0, 60)), rng.gauss(0, 1), 4.0, None) for _ in range(300)], "a double, b double, c double, d double")
+    new = spark.createDataFrame([(rng.uniform(-9, 70), rng.gauss(0, 2), None if rng.random() < 0.1 else 5.0, 1.0) for _ in range(200)]
+                                + [(float("nan"), float("inf"), -float("inf"), None)], "a double, b double, c double, d double")
+    small, tree = MedianCodes.fit(df, ["a", "b", "c", "d"], 9), MedianTree.fit(df, ["a", "b", "c", "d"], 9, 25)
+    assert [tree.splits(c) for c in "abcd"] == [small.splits(c) for c in "abcd"] == [True, True, False, False]
+    assert sorted(map(repr, tree.transform(new).collect())) == sorted(map(repr, small.transform(new).collect()))
+    with pytest.raises(ValueError, match="MedianTree"):
+        MedianCodes.fit(df, ["a"], -1)
+    nodes = {(r["column"], r["path"]): r["threshold"] for r in tree.table(spark).collect()}
+    assert nodes == {(c, p): t for c, own in small.nodes.items() for p, t in own.items()}
+
+
+def test_small_codes_reload(spark):
+    fitted, _ = fit_codes(spark, [1, 2, 2, 3, 5, 8, 13, 21, 21], 5)
+    assert stored_codes(fitted.table(spark)).nodes == fitted.nodes
 
 
 def test_codes_are_monotone_and_at_most_two_to_the_depth(spark):
@@ -67,27 +94,51 @@ def test_codes_are_monotone_and_at_most_two_to_the_depth(spark):
     assert got == sorted(got) and len(set(got)) <= 32
 
 
-@pytest.mark.parametrize("bins", [4, 1024])
-def test_ranks(spark, bins):
+@pytest.mark.parametrize("range_rows", [4, None])
+def test_ranks(spark, range_rows):
     rng = random.Random(9)
     values = [rng.randint(0, 40) for _ in range(500)] + [1e300, -1e300]
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    with RankedColumns(df, ["v"], bins) as ranked:
+    with RankedColumns(df, ["v"], range_rows) as ranked:
         found = ranked.at({"v": set(range(len(values)))})["v"]
     ordered = sorted(values)
     assert [found[i].value for i in range(len(values))] == ordered
     assert all(ordered[f.below] == f.value == ordered[f.upto - 1] and f.below <= i < f.upto for i, f in found.items())
 
 
-def test_running_total(spark):
+@pytest.mark.parametrize("range_rows", [None, 30, 3])
+def test_scans_in_order(spark, range_rows):
+    """Also where the ranges are so many that their summaries are cut into ranges themselves."""
     rng = random.Random(4)
-    rows = [(f"k{i}", rng.randint(0, 9), rng.randint(1, 5)) for i in range(400)]
+    rows = [(f"k{i}" if i else None, rng.randint(0, 9), rng.choice([None, None, rng.randint(1, 5)])) for i in range(400)]
     df = spark.createDataFrame(rows, "a string, b int, n int").repartition(7)
-    got = {(r["a"], r["b"]): r["end"] for r in running_total(df, ["a", "b"], "n", "end", bins=16).collect()}
-    total = 0
-    for a, b, n in sorted(rows):
-        total += n
-        assert got[(a, b)] == total
+    sums = {(r["a"], r["b"]): r["end"] for r in running_total(df, ["a", "b"], "n", "end", range_rows).collect()}
+    lasts = {(r["a"], r["b"]): r["was"] for r in carried_forward(df, ["a", "b"], "n", "was", range_rows).collect()}
+    total = last = None
+    for a, b, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        if n is not None:
+            total, last = (total or 0) + n, n
+        assert (sums[(a, b)] or 0, lasts[(a, b)]) == (total or 0, last)
+
+
+def test_no_window_holds_many_rows(spark, monkeypatch):
+    """The number of ranges follows the row count; no range holds more than some of its share, and no summary window either."""
+    seen = []
+    monkeypatch.setattr(cumulative, "Written", lambda df, make=cumulative.Written: seen.append(make(df)) or seen[-1])
+    df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.lit(1).alias("n"))
+    out = running_total(df, ["k"], "n", "end", 100)
+    assert out.agg(F.max("end")).first()[0] == 20_000
+    sizes = [one.table.groupBy("__range").count().agg(F.max("count"), F.count("*")).first() for one in seen]
+    assert len(sizes) == 2 and sizes[0][1] > 150 and all(most <= 300 for most, _ in sizes)
+    assert out._jdf.queryExecution().executedPlan().toString().count("SinglePartition") <= 1
+
+
+@pytest.mark.parametrize("name", ["run_ranges", "column_vocabulary", "quantile_bins", "apply_bins", "median_codes", "median_codes_unlimited"])
+def test_queries_with_tiny_ranges(spark, monkeypatch, name):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(cumulative, "RANGE_ROWS", 97)
+    got = entry.queries()[name](spark, sf).toPandas()
+    assert difference(got, connect(sf).execute(entry.oracle_sql()[name]).df()) is None
 
 
 @pytest.mark.parametrize("values,n", [([0.0, 5.0, 10.0], 2), ([3.0, 3.0, 3.0], 4), ([0.0, 0.0], 3),
@@ -104,7 +155,7 @@ def test_uniform_bins_match_pandas(spark, values, n):
                                       (list(np.random.default_rng(3).normal(size=301)), 8)])
 def test_quantile_bins_match_pandas(spark, values, n):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
-    fitted = BinEdges.quantile(df, ["v"], n, bins=8)
+    fitted = BinEdges.quantile(df, ["v"], n, range_rows=20)
     codes, edges = pd.qcut(pd.Series(values), q=n, retbins=True, labels=False, duplicates="drop")
     assert [r["v"] for r in fitted.transform(df).orderBy("i").collect()] == codes.tolist()
     assert np.allclose(fitted.edges["v"], edges)

@@ -1,41 +1,25 @@
-"""Exact order statistics and running totals without sorting a table in one task.
+"""Exact order statistics and scans in order (running totals, values carried forward) without sorting a table in one task.
 
-Values are cut into bins at approximate edges. Bin totals are a few thousand rows; they give the
-offset of every bin, and only rows inside a bin are ever sorted together. The edges decide
-how even the bins are, never the result.
+A scan has two levels. Rows are cut into ranges of some RANGE_ROWS rows, as many as the row count asks for; a window runs inside each
+range, and what the ranges before it add up to comes from one summary row per range, scanned the same way. The cuts decide
+how even the ranges are, never the result.
 """
 
 from __future__ import annotations
 
 import bisect
-import json
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tributary.functions.columns import quoted
-from tributary.functions.local import local_table
+from tributary.functions.local import hinted
+from tributary.sources.shared import Written
 
-BINS = 1024
-# Sampled values per wanted edge: more make the bins more even.
-OVERSAMPLE = 4
-SAMPLE_SEED = 7
-
-
-def _pick_edges(values: list, bins: int) -> list:
-    """At most ``bins - 1`` split points out of a sorted sample, padded to exactly that many."""
-    want = bins - 1
-    values = sorted(set(values))
-    if not values:
-        return []
-    if len(values) > want:
-        step = len(values) / want
-        values = [values[int(i * step)] for i in range(want)]
-    return values + [values[-1]] * (want - len(values))
+#: Rows that one window task sorts.
+RANGE_ROWS = 500_000
 
 
 def bin_of(value: Column, edges: Column, bins: int) -> Column:
@@ -49,30 +33,42 @@ def bin_of(value: Column, edges: Column, bins: int) -> Column:
     return F.coalesce(F.aggregate(steps, F.lit(0), below), F.lit(0))
 
 
-def running_total(df: DataFrame, order: list[str], amount: str, out: str, bins: int = BINS) -> DataFrame:
-    """Inclusive running sum of ``amount`` over rows in ascending ``order`` (unique, not null)."""
-    key = F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(order)])
-    n = df.count()
-    fraction = min(1.0, bins * OVERSAMPLE / max(n, 1))
-    sample = df.select(key.alias("k")).sample(fraction, seed=SAMPLE_SEED).collect()
-    edges = _pick_edges([tuple(r["k"]) for r in sample], bins)
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    if not edges:
-        binned = df.withColumn("__bin", F.lit(0))
-    else:
-        # As JSON the edges are one literal; a bound that does not survive the trip only makes
-        # bins less even.
-        names = [f.name for f in key_type.fields]
-        listed = F.from_json(F.lit(json.dumps([dict(zip(names, e)) for e in edges], default=str)), T.ArrayType(key_type))
-        binned = df.withColumn("__bin", bin_of(key, listed, bins))
-    sums = binned.groupBy("__bin").agg(F.sum(quoted(amount)).alias("__sum"))
-    # At most ``bins`` rows: the only window without a partition key.
-    before = sums.select("__bin", (F.sum("__sum").over(W.orderBy("__bin")) - F.col("__sum")).alias("__before"))
-    within = F.sum(quoted(amount)).over(
-        W.partitionBy("__bin").orderBy(*map(quoted, order)).rowsBetween(W.unboundedPreceding, 0))
-    return (binned.withColumn("__within", within)
-            .join(F.broadcast(before), "__bin")
-            .select(*[quoted(c) for c in df.columns], (F.col("__within") + F.col("__before")).alias(out)))
+def _scan(df: DataFrame, order: list[str], value: str, out: str, range_rows: int | None, last: bool) -> DataFrame:
+    """Adds ``out``: the sum (``last``: the last non-null) of ``value`` over the rows up to each one in ascending ``order``."""
+    size = range_rows or RANGE_ROWS
+    kinds = [quoted(c) for c in order]
+    upto = lambda v, w: F.last(v, True).over(w) if last else F.sum(v).over(w)
+    ranges = -(-df.count() // size)
+    if ranges <= 1:  # at most ``size`` rows: the only window without a partition key
+        return df.withColumn(out, upto(quoted(value), W.orderBy(*kinds).rowsBetween(W.unboundedPreceding, 0)))
+    # Written, a range keeps its rows, whatever happens to the executors.
+    cut = Written(df.repartitionByRange(ranges, *kinds).withColumn("__range", F.spark_partition_id())).table
+    newest = F.max_by(quoted(value), F.when(quoted(value).isNotNull(), F.struct(*kinds)))
+    sums = cut.groupBy(F.col("__range").alias("__at")).agg((newest if last else F.sum(quoted(value))).alias("__sum"))
+    before = _scan(sums, ["__at"], "__sum", "__upto", size, last)
+    # The summary of a range counts from the next one on.
+    before = _shifted(before, size) if last else before.select("__at", (F.col("__upto") - F.coalesce("__sum", F.lit(0))).alias("__before"))
+    within = upto(quoted(value), W.partitionBy("__range").orderBy(*kinds).rowsBetween(W.unboundedPreceding, 0))
+    whole = F.coalesce("__within", "__before") if last else F.coalesce(F.col("__within") + F.coalesce("__before", F.lit(0)), "__before")
+    return (cut.withColumn("__within", within).join(hinted(before.withColumnRenamed("__at", "__range")), "__range", "left")
+            .select(*[quoted(c) for c in df.columns], whole.alias(out)))
+
+
+def _shifted(sums: DataFrame, size: int) -> DataFrame:
+    """What is carried into each range: the value up to the end of the one before. Ranges without rows have no summary."""
+    numbered = _scan(sums.withColumn("__one", F.lit(1).cast("bigint")), ["__at"], "__one", "__n", size, False)
+    earlier = numbered.select((F.col("__n") + 1).alias("__n"), F.col("__upto").alias("__before"))
+    return numbered.select("__at", "__n").join(earlier, "__n", "left").select("__at", "__before")
+
+
+def running_total(df: DataFrame, order: list[str], amount: str, out: str, range_rows: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``amount`` over rows in ascending ``order`` (unique)."""
+    return _scan(df, order, amount, out, range_rows, False)
+
+
+def carried_forward(df: DataFrame, order: list[str], value: str, out: str, range_rows: int | None = None) -> DataFrame:
+    """The last non-null ``value`` up to each row in ascending ``order`` (unique), null before the first."""
+    return _scan(df, order, value, out, range_rows, True)
 
 
 @dataclass(frozen=True)
@@ -87,39 +83,31 @@ class Found:
 class RankedColumns:
     """Values at given ranks of several numeric columns, nulls and NaN left out.
 
-    One shuffle counts distinct values of all columns together, a second one sorts them bin by
-    bin and gives every value its rank interval. Each call of ``at`` only scans that table. The
-    driver keeps ``bins`` counts per column and the values it asked for.
+    One shuffle counts distinct values of all columns together, a scan over ranges gives every value its rank interval: ``table`` has
+    column (number), value, below and upto. It lies in the shared folder until ``close``. Each call of ``at`` only scans it;
+    the driver keeps the values it asked for.
     """
 
-    def __init__(self, df: DataFrame, cols: list[str], bins: int = BINS):
+    def __init__(self, df: DataFrame, cols: list[str], range_rows: int | None = None):
         self.cols = list(cols)
-        self.bins = bins
         self.spark = df.sparkSession
         pairs = F.array(*[F.struct(F.lit(i).alias("column"), quoted(c).cast("double").alias("value"))
                           for i, c in enumerate(self.cols)])
         long = (df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
                 .where(F.col("value").isNotNull() & ~F.isnan("value")))
         # -0.0 and 0.0 are one value.
-        self._hist = (long.groupBy("column", (F.col("value") + F.lit(0.0)).alias("value"))
-                      .agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK))
-        # One parsed expression: a thousand literal columns would be a thousand calls to the JVM.
-        cuts = F.expr("array(" + ", ".join(f"{i / bins!r}D" for i in range(1, bins)) + ")")
-        edges = self._hist.groupBy("column").agg(
-            F.sum("n").alias("n"), F.percentile_approx("value", cuts, bins * 4).alias("edges")).collect()
-        self.n = {c: 0 for c in self.cols} | {self.cols[r["column"]]: int(r["n"]) for r in edges}
-        table = local_table(self.spark, [(r["column"], r["edges"]) for r in edges], "column int, edges array<double>")
-        binned = self._hist.join(F.broadcast(table), "column").select(
-            "column", bin_of(F.col("value"), F.col("edges"), bins).alias("bin"), "value", "n")
-        # At most ``bins`` rows per column.
-        totals = binned.groupBy("column", "bin").agg(F.sum("n").alias("t"))
-        before = F.sum("t").over(W.partitionBy("column").orderBy("bin")) - F.col("t")
-        offsets = totals.select("column", "bin", before.alias("start"))
-        within = F.sum("n").over(W.partitionBy("column", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-        ranked = (binned.withColumn("within", within).join(F.broadcast(offsets), ["column", "bin"])
-                  .withColumn("upto", F.col("within") + F.col("start")))
-        self._ranked = ranked.select("column", "value", (F.col("upto") - F.col("n")).alias("below"), "upto").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        hist = Written(long.groupBy("column", (F.col("value") + F.lit(0.0)).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+        rows = {r["column"]: int(r["n"]) for r in hist.table.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        self.n = {c: rows.get(i, 0) for i, c in enumerate(self.cols)}
+        # One scan over all columns, one after the other; ranks of a column start behind the rows of those before it.
+        start, before = 0, F.lit(0).cast("bigint")
+        for i, c in enumerate(self.cols):
+            before, start = F.when(F.col("column") == i, F.lit(start)).otherwise(before), start + self.n[c]
+        total = running_total(hist.table, ["column", "value"], "n", "upto", range_rows)
+        ranked = total.select("column", "value", "n", (F.col("upto") - before).alias("upto"))
+        self._written = Written(ranked.select("column", "value", (F.col("upto") - F.col("n")).alias("below"), "upto"))
+        self.table = self._written.table
+        hist.remove()
 
     def at(self, ranks: dict[str, set[int]]) -> dict[str, dict[int, Found]]:
         """The value at each 0-based rank of each column; one scan without a shuffle."""
@@ -137,7 +125,7 @@ class RankedColumns:
         # A value holds an asked rank when the number of asked ranks below its end exceeds the
         # number below its start.
         hit = bin_of(F.col("upto"), F.col("wanted"), size) > bin_of(F.col("below"), F.col("wanted"), size)
-        found = (self._ranked.where(F.col("column").isin(list(asked))).withColumn("wanted", wanted)
+        found = (self.table.where(F.col("column").isin(list(asked))).withColumn("wanted", wanted)
                  .where(hit).select("column", "value", "below", "upto").collect())
         for r in found:
             spots = asked[r["column"]]
@@ -146,8 +134,7 @@ class RankedColumns:
         return out
 
     def close(self) -> None:
-        self._ranked.unpersist()
-        self._hist.unpersist()
+        self._written.remove()
 
     def __enter__(self) -> "RankedColumns":
         return self

@@ -1,7 +1,7 @@
 """Numeric columns to codes: recursive-median bit strings, equal-width and quantile bins.
 
-Every method is fitted once into a table of at most a few thousand rows and applied as a
-column expression, so applying it never shuffles.
+Bins and trees of a fixed, small depth are fitted into a table of at most a few thousand rows and applied as a column expression, so
+applying them never shuffles. Trees of any other depth grow with the data: they stay tables, split level by level and applied by a scan.
 """
 
 from __future__ import annotations
@@ -10,16 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import quoted
-from tributary.functions.local import local_table
-from tributary.operators.cumulative import RankedColumns
+from tributary.functions.local import hinted, local_table
+from tributary.operators.cumulative import RankedColumns, carried_forward
+from tributary.sources.shared import Written
 
 NULL_CODE = "nan"
-# Nodes one tree level may hold; deeper trees no longer fit a small table.
-MAX_LEVEL_NODES = 1 << 16
+#: Depth up to which a tree is a column expression: at most 4,095 nodes.
+SMALL_DEPTH = 12
 THRESHOLD_SCHEMA = "column string, path string, threshold double, is_leaf boolean"
 EDGE_SCHEMA = "column string, edge_ix int, edge double"
 
 
+def median_codes(df: DataFrame, cols: list[str], depth: int = -1, range_rows: int | None = None) -> MedianCodes | MedianTree:
+    """Codes of ``cols`` from their recursive medians; ``depth=-1`` splits until nothing can be split any more."""
+    return (MedianCodes if 0 <= depth <= SMALL_DEPTH else MedianTree).fit(df, cols, depth, range_rows)
+
+
+def stored_codes(table: DataFrame) -> MedianCodes | MedianTree:
+    """The codes whose ``table`` was stored."""
+    return (MedianTree if "above" in table.columns else MedianCodes).from_table(table)
+
+
 class MedianCodes:
     """Bit-string codes of depth ``depth``: 0 up to the median of a node, 1 above it."""
 
@@ -28,15 +39,16 @@ class MedianCodes:
         self.nodes = nodes
 
     @classmethod
-    def fit(cls, df: DataFrame, cols: list[str], depth: int = 5, bins: int = 1024) -> "MedianCodes":
+    def fit(cls, df: DataFrame, cols: list[str], depth: int = 5, range_rows: int | None = None) -> "MedianCodes":
         """Exact medians of every node, all columns together, one small job per level.
 
         A node is a run of ranks of the sorted column, so its median is one or two order
-        statistics. ``depth=-1`` splits until nothing can be split any more; that is only
-        possible while a level stays small enough for a driver-side table.
+        statistics. The driver holds all nodes, hence the limit on ``depth``; see ``median_codes``.
         """
+        if not 0 <= depth <= SMALL_DEPTH:
+            raise ValueError(f"a tree of depth {depth} is a MedianTree")
         nodes: dict[str, dict[str, float | None]] = {c: {} for c in cols}
-        with RankedColumns(df, cols, bins) as ranked:
+        with RankedColumns(df, cols, range_rows) as ranked:
             level = []
             for c in cols:
                 if ranked.n[c]:
@@ -49,8 +61,6 @@ class MedianCodes:
                     for c, path, _, _ in level:
                         nodes[c][path] = None
                     break
-                if len(level) > MAX_LEVEL_NODES * len(cols):
-                    raise ValueError("too many distinct values for unlimited depth; set a depth")
                 ranks: dict[str, set[int]] = {}
                 for c, _, lo, hi in level:
                     mid = hi - lo - 1
@@ -69,7 +79,7 @@ class MedianCodes:
                     below.append((c, path + "0", lo, cut))
                     below.append((c, path + "1", cut, hi))
                 level = below
-                left = max(left - 1, -1)
+                left -= 1
         return cls(nodes)
 
     def splits(self, col: str) -> bool:
@@ -105,6 +115,119 @@ class MedianCodes:
         return cls(nodes)
 
 
+class MedianTree:
+    """Bit-string codes of any depth. ``nodes`` (column, path, threshold, is_leaf, above, until) is a table: a node takes the values over
+    ``above`` up to ``until``, null where it has no bound on that side."""
+
+    def __init__(self, nodes: DataFrame, cols: list[str], range_rows: int | None = None):
+        self.nodes, self.cols, self.range_rows = nodes, list(cols), range_rows
+        self.roots = {r["column"] for r in nodes.where("path = '' AND NOT is_leaf").select("column").collect()}
+
+    @classmethod
+    def fit(cls, df: DataFrame, cols: list[str], depth: int = -1, range_rows: int | None = None) -> "MedianTree":
+        """Level by level, all columns and nodes at once; nothing of a level is gathered.
+
+        Every distinct value knows the rank interval (lo, hi) of its node. One aggregate per level finds the values at the
+        middle ranks of each node; a join brings the cut back to its values. Values of finished nodes leave, so a level
+        only costs what is still open. Levels are written to the shared folder; there are at most twice log2(rows) of them.
+        """
+        cols = list(cols)
+        with RankedColumns(df, cols, range_rows) as ranked:
+            count = F.lit(0)
+            for i, c in enumerate(cols):
+                count = F.when(F.col("column") == i, F.lit(ranked.n[c])).otherwise(count)
+            bound = F.lit(None).cast("double")
+            open_ = Written(ranked.table.select("column", "value", "below", "upto", F.lit(0).cast("bigint").alias("lo"), count.cast("bigint").alias("hi"),
+                                                F.lit("").alias("path"), bound.alias("above"), bound.alias("until")))
+            levels, left = [], depth
+            while True:
+                level = Written(cls._level(open_.table, left == 0))
+                levels.append(level)
+                inner = level.table.where("NOT is_leaf")
+                if inner.isEmpty():
+                    open_.remove()
+                    break
+                deeper = Written(cls._descend(open_.table, inner))
+                open_.remove()
+                open_, left = deeper, left - 1
+        nodes = levels[0].table
+        for one in levels[1:]:
+            nodes = nodes.unionByName(one.table)
+        names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("column") + 1)
+        empty = [(c, "", None, True, None, None) for c in cols if not ranked.n[c]]
+        nodes = nodes.select(names.alias("column"), "path", "threshold", "is_leaf", "above", "until")
+        if empty:
+            nodes = nodes.unionByName(local_table(df.sparkSession, empty, THRESHOLD_SCHEMA + ", above double, until double"))
+        whole = Written(nodes).table
+        for one in levels:
+            one.remove()
+        return cls(whole, cols, range_rows)
+
+    @staticmethod
+    def _level(values: DataFrame, last: bool) -> DataFrame:
+        """The nodes of a level with their median and the rank at which they are cut."""
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("below") <= rank) & (rank < F.col("upto")), F.struct("value", "upto")))
+        middle = F.col("lo") + F.floor((F.col("hi") - F.col("lo") - 1) / 2), F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2)
+        nodes = values.groupBy("column", "lo", "hi", "path", "above", "until").agg(
+            at(middle[0]).alias("a"), at(middle[1]).alias("b"), F.max("value").alias("top"))
+        a, b = F.col("a.value"), F.col("b.value")
+        nodes = nodes.withColumn("median", F.when(a == b, a).otherwise((a + b) / 2))
+        leaf = F.lit(last) | (F.col("median") == F.col("top"))
+        return nodes.select("column", "lo", "path", "above", "until", F.when(~leaf, F.col("median")).alias("threshold"), leaf.alias("is_leaf"),
+                            F.when(F.col("median") >= b, F.col("b.upto")).otherwise(F.col("a.upto")).alias("cut"))
+
+    @staticmethod
+    def _descend(values: DataFrame, inner: DataFrame) -> DataFrame:
+        """The values of split nodes, in their half. The first nodes hold many values and are broadcast; where they are too many for
+        that, each holds few."""
+        cuts = hinted(inner.select("column", "lo", "threshold", "cut"))
+        low = F.col("value") <= F.col("threshold")
+        return values.join(cuts, ["column", "lo"]).select(
+            "column", "value", "below", "upto", F.when(low, F.col("lo")).otherwise(F.col("cut")).alias("lo"),
+            F.when(low, F.col("cut")).otherwise(F.col("hi")).alias("hi"), F.concat("path", F.when(low, "0").otherwise("1")).alias("path"),
+            F.when(low, F.col("above")).otherwise(F.col("threshold")).alias("above"),
+            F.when(low, F.col("threshold")).otherwise(F.col("until")).alias("until"))
+
+    def splits(self, col: str) -> bool:
+        """False when the root is a leaf; such a column keeps its raw values."""
+        return col in self.roots
+
+    def codes(self, df: DataFrame) -> DataFrame:
+        """column, value, path of every distinct value of the split columns of ``df``, seen in the fit or not.
+
+        Leaves tile the axis of each column: sorted together with the values, the last leaf that begins below a value is its own.
+        """
+        cols = [c for c in self.cols if self.splits(c)]
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in cols])
+        values = df.select(F.explode(pairs).alias("p")).select("p.column", (F.col("p.value") + F.lit(0.0)).alias("value"))
+        values = values.where(F.col("value").isNotNull() & ~F.isnan("value")).distinct()
+        both = values.select("column", "value", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("path")).unionByName(
+            self.nodes.where("is_leaf").select("column", F.col("above").alias("value"), F.lit(1).alias("kind"), "path"))
+        placed = carried_forward(Written(both).table, ["column", "value", "kind"], "path", "code", self.range_rows)
+        return Written(placed.where("kind = 0").select("column", "value", F.col("code").alias("path"))).table
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Replace every fitted column that splits by its code. One join per column, by value; frequent values are left to adaptive
+        execution, which splits their rows."""
+        cols = [c for c in self.cols if self.splits(c)]
+        if not cols:
+            return df
+        codes, out = self.codes(df), df
+        for i, c in enumerate(cols):
+            side = hinted(codes.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("path").alias(f"__p{i}")))
+            out = out.join(side, (quoted(c).cast("double") + F.lit(0.0)) == F.col(f"__v{i}"), "left")
+        code = {c: F.coalesce(F.col(f"__p{i}"), F.lit(NULL_CODE)).alias(c) for i, c in enumerate(cols)}
+        return out.select(*[code.get(c, quoted(c)) for c in df.columns])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return self.nodes
+
+    @classmethod
+    def from_table(cls, table: DataFrame) -> "MedianTree":
+        return cls(table, [r["column"] for r in table.where("path = ''").select("column").orderBy("column").collect()])
+
+
 def _edge_search(x: Column, edges: list[float], first: int = 0) -> Column:
     """Index of the last edge below x, as a balanced tree of comparisons; x is above edges[0]."""
     if len(edges) == 1:
@@ -144,9 +267,9 @@ class BinEdges:
         return cls(edges, include_lowest=False)
 
     @classmethod
-    def quantile(cls, df: DataFrame, cols: list[str], n: int, bins: int = 1024) -> "BinEdges":
+    def quantile(cls, df: DataFrame, cols: list[str], n: int, range_rows: int | None = None) -> "BinEdges":
         """Equal-count bins from exact interpolated quantiles; equal edges are merged."""
-        with RankedColumns(df, cols, bins) as ranked:
+        with RankedColumns(df, cols, range_rows) as ranked:
             spots = {}
             for c in cols:
                 top = ranked.n[c] - 1

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.functions.columns import quoted
-from tributary.operators.discretize import MedianCodes
+from tributary.operators.discretize import MedianCodes, MedianTree, median_codes, stored_codes
 from tributary.operators.layout import EntityLayout, with_ordinal
 from tributary.operators.sequence import sequences, shuffle_columns, text_sequences
 from tributary.operators.split import HashSplit
@@ -17,6 +16,7 @@ from tributary.operators.tokens import (VOCABULARY_SIZE, cell_tokens, encode_row
                                         pinned, row_text, token_array)
 from tributary.plans.datasets import Dataset
 from tributary.schema import EventSchema
+from tributary.sources.shared import Written
 
 
 @dataclass
@@ -24,7 +24,7 @@ class Encoder:
     """Fitted codes and vocabulary of one event table."""
 
     schema: EventSchema
-    codes: MedianCodes
+    codes: MedianCodes | MedianTree
     vocabulary: DataFrame
 
     @classmethod
@@ -32,20 +32,19 @@ class Encoder:
             size: int = VOCABULARY_SIZE, persist: bool = False) -> "Encoder":
         """Fit thresholds, then the vocabulary over the coded cells: two passes over the events.
 
-        ``persist`` keeps the data columns on the executors between the passes. Use it when
-        ``events`` ends in the gap window, so that the window's shuffle is not repeated; leave
-        it off when ``events`` is read from a written table.
+        ``persist`` writes the data columns to the shared folder between the passes and deletes them afterwards. Use it when
+        ``events`` ends in the gap window, so that the window's shuffle is not repeated; leave it off when ``events`` is
+        read from a written table. ``depth`` -1 splits numbers until nothing can be split any more.
         """
         cells = events.select(*map(quoted, schema.data_cols))
-        if persist:
-            cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            codes = MedianCodes.fit(cells, schema.numeric, depth)
-            tokens = cell_tokens(codes.transform(cells), schema)
-            return cls(schema, codes, pinned(fit_vocabulary(tokens, token_array(tokens, schema), size)))
-        finally:
-            if persist:
-                cells.unpersist()
+        kept = Written(cells) if persist else None
+        cells = kept.table if kept else cells
+        codes = median_codes(cells, schema.numeric, depth)
+        tokens = cell_tokens(codes.transform(cells), schema)
+        vocabulary = pinned(fit_vocabulary(tokens, token_array(tokens, schema), size))
+        if kept:
+            kept.remove()
+        return cls(schema, codes, vocabulary)
 
     def tokens(self, events: DataFrame) -> DataFrame:
         return cell_tokens(self.codes.transform(events), self.schema)
@@ -65,7 +64,7 @@ class Encoder:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, schema: EventSchema) -> "Encoder":
-        return cls(schema, MedianCodes.from_table(spark.read.parquet(f"{path}/thresholds")),
+        return cls(schema, stored_codes(spark.read.parquet(f"{path}/thresholds")),
                    spark.read.parquet(f"{path}/vocabulary"))
 
 

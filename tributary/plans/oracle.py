@@ -53,6 +53,19 @@ def median_levels(long: str, depth: int = 5) -> str:
     return ",\n".join(ctes)
 
 
+def unlimited_levels(source: str, cols: list[str], levels: int = 48) -> str:
+    """(col, path, above, until): the leaves of median trees without a limit, more levels than twice the logarithm of any row count here."""
+    inf = "'infinity'::DOUBLE"
+    ctes = ["v0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v, '' AS path, -{inf} AS above, {inf} AS until FROM {source}" for c in cols) + ")"]
+    for k in range(levels):
+        ctes.append(f"m{k} AS MATERIALIZED (SELECT col, path, above, until, median(v) AS med, max(v) AS mx FROM v{k} GROUP BY ALL)")
+        ctes.append(f"v{k + 1} AS MATERIALIZED (SELECT v.col, v.v, v.path || CASE WHEN v.v <= med THEN '0' ELSE '1' END AS path, "
+                    f"CASE WHEN v.v <= med THEN v.above ELSE med END AS above, CASE WHEN v.v <= med THEN med ELSE v.until END AS until "
+                    f"FROM v{k} v JOIN m{k} m ON v.col = m.col AND v.path = m.path WHERE med < mx)")
+    ends = " UNION ALL ".join(f"SELECT col, path, above, until FROM m{k} WHERE NOT med < mx" for k in range(levels))
+    return ",\n".join([*ctes, f"leaves AS MATERIALIZED ({ends})"])
+
+
 EVENT_CODES = EV + """,
 long AS MATERIALIZED (
   SELECT 'value' AS col, event_id AS rid, value AS v FROM gaps UNION ALL
@@ -554,6 +567,12 @@ def oracle() -> dict[str, str]:
     stamp = lambda e: f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
     found = _oracle()
     return found | {new: found[old] for new, old in SAME.items()} | {
+        "median_codes_unlimited": with_(unlimited_levels("lineitem", ["l_extendedprice", "l_quantity"]),
+            f"SELECT {LINE_KEY}, p.path AS l_extendedprice, q.path AS l_quantity FROM lineitem i "
+            "JOIN leaves p ON p.col = 'l_extendedprice' AND i.l_extendedprice > p.above AND i.l_extendedprice <= p.until "
+            "JOIN leaves q ON q.col = 'l_quantity' AND i.l_quantity > q.above AND i.l_quantity <= q.until"),
+        "median_codes_unseen": with_(unlimited_levels("(SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01')", ["l_extendedprice"]),
+            f"SELECT {LINE_KEY}, p.path AS l_extendedprice FROM lineitem i JOIN leaves p ON i.l_extendedprice > p.above AND i.l_extendedprice <= p.until"),
         "entity_layout": f"SELECT user_id, event_id, {stamp('ts')} AS ts FROM events",
         "sample_sink": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000",
         "churn_rows": with_(CHURN_ROWS, """SELECT o_custkey::BIGINT AS "User", replace(o_orderpriority, ' ', '') AS trx_category, l_linenumber::VARCHAR AS "MCC", l_linestatus AS channel_type,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tributary.functions import columns as C
 from tributary.functions.local import local_table
 from tributary.operators import evaluate, layout, masking, normalize, report, sequence, split, stats, tokens
-from tributary.operators.discretize import BinEdges, MedianCodes
+from tributary.operators.discretize import BinEdges, MedianCodes, MedianTree
 from tributary.operators.layout import EntityLayout
 from tributary.operators.split import HashSplit
 from tributary.plans.datasets import ACTIVITY, CHURN
@@ -228,6 +228,19 @@ def median_thresholds(spark, sf_dir):
     return out.select("column", "path", F.round("threshold", 6).alias("threshold"), F.col("is_leaf").cast("int").alias("is_leaf"))
 
 
+def median_codes_unlimited(spark, sf_dir):
+    """Codes that are split until nothing can be split any more."""
+    items = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_extendedprice", "l_quantity")
+    return MedianTree.fit(items, ["l_extendedprice", "l_quantity"]).transform(items)
+
+
+def median_codes_unseen(spark, sf_dir):
+    """Codes of all prices from the tree of those before 1997: new prices fall between the known ones or beyond them."""
+    items = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_shipdate", "l_extendedprice")
+    early = items.where(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    return MedianTree.fit(early, ["l_extendedprice"]).transform(items).drop("l_shipdate")
+
+
 def event_codes(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "value")
     return MedianCodes.fit(events, ["value"], 5).transform(events).withColumnRenamed("value", "code")
@@ -850,7 +863,7 @@ QUERIES = [
     time_gaps, entity_stats, dataset_stats, entity_stats_joined, typed_columns, rejected_numbers, money_parse,
     timestamp_parse, value_mapping, suffix_keys, equality_filter, flatten_struct, masked_last_event,
     profile, distinct_counts, binary_rule, events_per_year,
-    median_codes, median_thresholds, event_codes, uniform_bins, quantile_bins, apply_bins, bin_edges, zscore,
+    median_codes, median_thresholds, median_codes_unlimited, median_codes_unseen, event_codes, uniform_bins, quantile_bins, apply_bins, bin_edges, zscore,
     cell_tokens, row_text, row_text_named, separator_tokens, composite_token, atomic_layout, record_output,
     vocabulary, column_vocabulary, tokens_by_column, label_options, vocabulary_metrics, encoded_rows,
     encoded_unknowns, decoded_rows, change_points, interleaved_words,
