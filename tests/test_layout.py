@@ -71,14 +71,33 @@ def test_change_points_with_nulls(spark):
     assert got == {1: ["a", "b"], 2: ["b"], 3: ["a"]}
 
 
-def test_entities_with_few_first_values_are_cut_along_the_second(spark):
+def shapes(rng, n=3000):
+    """Rows of one hot entity by what they are ordered by: text, one shared time, few first values, nulls, a decimal and a date."""
+    same = [(1, 7, None, i) for i in range(n)]
+    cards = [(1, rng.choice([None, 3, 3, 3, 5]), str(rng.choice([None, rng.randint(0, 10000)])), i) for i in range(n)]
+    words = [(1, None, rng.choice([None, "", "a", "zz", f"w{rng.randint(0, 10000)}"]), i) for i in range(n)]
+    return {"same": (same, ["a", "id"]), "cards": (cards, ["a", "t", "id"]), "words": (words, ["t", "id"])}
+
+
+@pytest.mark.parametrize("shape", ["same", "cards", "words"])
+def test_any_order_cuts(spark, shape):
+    """Cells stay small whatever the order columns are, and the result is that of a plain window."""
     rng = random.Random(6)
-    rows = [(1, rng.choice([None, 3, 3, 3, 5]), rng.choice([None, rng.randint(0, 10000)]) if i % 50 == 0 else rng.randint(0, 10000), i)
-            for i in range(3000)]
-    df = spark.createDataFrame(rows, "u int, card int, m bigint, id int").repartition(4)
-    plain = EntityLayout(["u"], ["card", "m", "id"])
-    cut = EntityLayout.fit(df, ["u"], ["card", "m", "id"], split_rows=500)
-    assert cut.hot.first()["__few"]
-    assert cut._with_cell(df, "left").groupBy("__cell").count().agg(F.max("count")).first()[0] < 100
-    a, b = (sorted(map(repr, l.number(df, "pos", {"was": "m"}, "last", "prev").collect())) for l in (plain, cut))
+    rows, order = shapes(rng)[shape]
+    df = spark.createDataFrame([*rows, (2, 1, "x", -1), (None, 1, "x", -2)], "u int, a int, t string, id int").repartition(4)
+    plain, cut = EntityLayout(["u"], order), EntityLayout.fit(df, ["u"], order, split_rows=500, cell_rows=100)
+    sizes = cut._with_cell(df, "inner").groupBy("__cell").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 400 and sizes[1] > 20
+    a, b = (sorted(map(repr, l.number(df, "pos", {"was": "a", "w2": "t"}, "last", "prev").collect())) for l in (plain, cut))
+    assert a == b
+
+
+def test_cells_are_bounded_over_all_entities(spark, monkeypatch):
+    """More hot entities than the driver lists, and fewer cells than they ask for."""
+    monkeypatch.setattr(L, "MAX_HOT", 3)
+    monkeypatch.setattr(L, "ALL_CELLS", 10)
+    df = spark.range(2000).select((F.col("id") % 8).alias("u"), F.col("id").cast("string").alias("t"))
+    plain, cut = EntityLayout(["u"], ["t"]), EntityLayout.fit(df, ["u"], ["t"], split_rows=100, cell_rows=5)
+    assert cut.hot.agg(F.sum(F.size("__edges"))).first()[0] <= 18
+    a, b = (sorted(map(repr, l.number(df, "pos", {"was": "t"}, "last").collect())) for l in (plain, cut))
     assert a == b

@@ -3,9 +3,9 @@
 Window functions put all rows of a key into one task. That is right for millions of ordinary
 entities and wrong for one entity that holds a large share of the table. A layout is fitted
 once per table: it counts rows per entity, and entities above ``split_rows`` are cut into
-cells along their first order columns. Windows then run per (entity, cell) and are stitched
-with one summary row per cell, so no task ever sees a whole hot entity. Results are the same
-either way.
+cells of about ``cell_rows`` rows between sampled values of their whole order, so columns of any type cut and so do events that share
+one time. Windows then run per (entity, cell) and are stitched with one summary row per cell: no task ever sees a whole hot
+entity. Results are the same either way.
 """
 
 from __future__ import annotations
@@ -14,76 +14,69 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tributary.functions.columns import quoted
-from tributary.functions.local import local_table
-
-# An entity is cut when it holds more rows than this, however many such entities there are. A list of
-# at most MAX_HOT is broadcast; a longer one stays a table and is joined as Spark sees fit.
-SPLIT_ROWS = 5_000_000
+from tributary.functions.local import BROADCAST_ROWS, local_table
+from tributary.sources.shared import Written
+
+#: An entity is cut when it holds more rows than this, however many such entities there are, into cells of about so many rows.
+SPLIT_ROWS, CELL_ROWS = 5_000_000, 500_000
+#: Most cells of an entity, and most cells of all entities beside one for each: the splitters are broadcast.
+MAX_CELLS, ALL_CELLS = 65_536, BROADCAST_ROWS
+#: Sampled rows per cell: more make the cells more even.
+OVERSAMPLE = 8
+#: A list of at most so many entities is held by the driver; a longer one is a table in the shared folder.
 MAX_HOT = 8192
-# Cells per hot entity. The summary has at most one row per cell.
-CELLS = 65_536
-# A first order column with at most this many whole values (a card number) gets a cell per
-# value, each cut further along the second order column.
-FEW_VALUES = 4_096
 
 _CELL = "__cell"
 
 
-def _can_cut(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampNTZType, T.TimestampType, T.DateType))
-
-
-def _position(df: DataFrame, name: str) -> Column:
-    """The first order column as a number on which an entity can be cut."""
-    dtype = df.schema[name].dataType
-    c = quoted(name)
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return F.unix_timestamp(c.cast("timestamp_ntz")).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    raise ValueError(f"cannot cut entities along {name} of type {dtype.simpleString()}")
+def _cell_of(order: Column, edges: Column) -> Column:
+    """Number of edges below the order, by binary search in an ascending array; 0 without edges."""
+    steps = F.expr("array(" + ", ".join(str(1 << k) for k in reversed(range(MAX_CELLS.bit_length()))) + ")")
+    # Past the end there is no edge, and a comparison with null keeps the place.
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda b, s: F.when(order > F.get(edges, b + s - 1), b + s).otherwise(b)), F.lit(0))
 
 
 @dataclass
 class EntityLayout:
+    """``hot`` has the keys of cut entities and the array ``__edges`` of orders between their cells."""
+
     keys: list[str]
     order: list[str]
     hot: DataFrame | None = None
-    few: bool = True
 
     @classmethod
-    def fit(cls, df: DataFrame, keys, order, split_rows: int | None = None) -> "EntityLayout":
-        """Find the entities that need cutting; most tables have none.
+    def fit(cls, df: DataFrame, keys, order, split_rows: int | None = None, cell_rows: int | None = None) -> "EntityLayout":
+        """Find the entities that need cutting; most tables have none. One count per entity, whatever the size of the input.
 
-        One count per entity over the key and the first order columns, whatever the size of the input.
+        Rows of hot entities are sampled by a hash of entity and order, so a retry takes the same ones; only their orders are
+        gathered, at most OVERSAMPLE for each cell.
         """
         keys, order = list(keys), list(order)
         split_rows = SPLIT_ROWS if split_rows is None else split_rows
+        cell_rows = min(CELL_ROWS, max(1, split_rows // 10)) if cell_rows is None else cell_rows
         if not order:
             raise ValueError("an event order is needed")
-        cuts = [c for c in order[:2] if _can_cut(df, c)]
-        if not cuts or cuts[0] != order[0]:
-            return cls(keys, order)
-        bounds = [f(_position(df, c)).alias(f"__{name}{i}") for i, c in enumerate(cuts)
-                  for name, f in (("lo", F.min), ("hi", F.max))]
-        counts = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("__n"), *bounds)
-        two = len(cuts) == 2 and isinstance(df.schema[cuts[0]].dataType, T.IntegralType)
-        lo, hi = F.col("__lo0"), F.col("__hi0")
-        # Beyond 2^53 neighbouring whole numbers are the same double.
-        few = F.coalesce(F.lit(two) & (hi - lo < FEW_VALUES) & (F.greatest(F.abs(lo), F.abs(hi)) < 2.0 ** 53), F.lit(False))
-        second = [F.when(F.col("__few"), F.col(c) if two else F.lit(None).cast("double")).alias(c) for c in ("__lo1", "__hi1")]
-        big = counts.where(F.col("__n") > split_rows).withColumn("__few", few).select(
-            *map(quoted, keys), "__lo0", "__hi0", *second, "__few")
+        names = [f"__hot{i}" for i in range(len(keys))]
+        counts = df.groupBy(*[quoted(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("__n"))
+        big = counts.where(F.col("__n") > split_rows)
         rows = big.limit(MAX_HOT + 1).collect()
         if not rows:
             return cls(keys, order)
-        if len(rows) > MAX_HOT:
-            return cls(keys, order, big, False)
-        return cls(keys, order, local_table(df.sparkSession, [tuple(r) for r in rows], big.schema))
+        big = local_table(df.sparkSession, [tuple(r) for r in rows], big.schema) if len(rows) <= MAX_HOT else Written(big).table
+        total = big.agg(F.sum("__n")).first()[0]
+        cells = F.least(F.lit(MAX_CELLS), F.ceil(F.col("__n") / max(cell_rows, -(-total // ALL_CELLS)))).cast("int")
+        big = big.withColumn("__cells", cells)
+        layout = cls(keys, order, big)
+        place = F.pmod(F.xxhash64(*map(quoted, [*keys, *order])), F.lit(1 << 31)) / float(1 << 31)
+        sample = df.join(F.broadcast(big), layout._match(names)).where(place < F.col("__cells") * OVERSAMPLE / F.col("__n"))
+        edges = sample.groupBy(*names, "__cells").agg(F.sort_array(F.collect_list(layout._place())).alias("__sample"))
+        every = F.size("__sample") / F.col("__cells")
+        edges = edges.where("__cells > 1").select(*names, F.transform(
+            F.sequence(F.lit(1), F.col("__cells") - 1), lambda i: F.get("__sample", F.floor(i * every).cast("int"))).alias("__edges"))
+        return cls(keys, order, Written(edges).table)
 
     @property
     def is_split(self) -> bool:
@@ -92,33 +85,22 @@ class EntityLayout:
     def _order(self) -> list[Column]:
         return [quoted(c) for c in self.order]
 
+    def _place(self) -> Column:
+        """The order of a row as one value."""
+        return F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(self.order)])
+
+    def _match(self, names: list[str]) -> Column:
+        match = F.lit(True)
+        for k, n in zip(self.keys, names, strict=True):
+            match = match & quoted(k).eqNullSafe(F.col(n))
+        return match
+
     def _with_cell(self, df: DataFrame, how: str) -> DataFrame:
         """Tag rows of hot entities with their cell; other rows get cell 0 or are dropped."""
-        hot = self.hot
         names = [f"__hot{i}" for i in range(len(self.keys))]
-        bounds = ["__lo0", "__hi0", "__lo1", "__hi1", "__few"]
-        hot = hot.toDF(*names, *bounds)
-        match = None
-        for k, n in zip(self.keys, names):
-            same = quoted(k).eqNullSafe(F.col(n))
-            match = same if match is None else match & same
-
-        def along(i: int, cells: Column) -> Column:
-            """1-based cell of equal width; null, which sorts first, is cell 0."""
-            x, lo, hi = _position(df, self.order[i]), F.col(f"__lo{i}"), F.col(f"__hi{i}")
-            step = F.floor((x - lo) / ((hi - lo) / cells))
-            # ``least`` skips nulls, hence the explicit test.
-            return (F.when(x.isNull() | lo.isNull(), F.lit(0))
-                    .when(hi > lo, F.least(cells - 1, step) + 1).otherwise(F.lit(1))).cast("bigint")
-
-        cell = along(0, F.lit(CELLS))
-        if len(self.order) > 1 and _can_cut(df, self.order[1]):
-            first = _position(df, self.order[0])
-            value = F.when(first.isNull(), F.lit(0)).otherwise(first - F.col("__lo0") + 1).cast("bigint")
-            inner = F.greatest(F.lit(16), F.floor(F.lit(CELLS) / (F.col("__hi0") - F.col("__lo0") + 1)))
-            cell = F.when(F.col("__few"), value * F.lit(2 * CELLS) + along(1, inner)).otherwise(cell)
-        return (df.join(F.broadcast(hot) if self.few else hot, match, how)
-                .withColumn(_CELL, F.coalesce(cell, F.lit(0)).cast("bigint")).drop(*names, *bounds))
+        # At most ALL_CELLS edges, and one for each entity.
+        return (df.join(F.broadcast(self.hot), self._match(names), how)
+                .withColumn(_CELL, _cell_of(self._place(), F.col("__edges")).cast("bigint")).drop(*names, "__edges"))
 
     def _cells(self, df: DataFrame, lags: dict[str, str]) -> DataFrame:
         """One row per (hot entity, cell): rows before it, values just before it, is it last."""

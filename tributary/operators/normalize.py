@@ -97,8 +97,8 @@ def clean_categories(df: DataFrame, schema: EventSchema) -> DataFrame:
     return df.withColumns({c: C.without_spaces(quoted(c)) for c in schema.categorical})
 
 
-def normalise(df: DataFrame, schema: EventSchema, ts: Column, layout: EntityLayout | None = None) -> DataFrame:
-    """Type the columns, add time columns and the gap, clean categories, keep the role columns.
+def normalise_with_layout(df: DataFrame, schema: EventSchema, ts: Column, layout: EntityLayout | None = None) -> tuple[DataFrame, EntityLayout]:
+    """Type the columns, add time columns and the gap, clean categories, keep the role columns; and the layout of the events.
 
     ``ts`` may use any input column. The order columns stay in the result: rows of a DataFrame
     have no order of their own, so later steps need them.
@@ -110,7 +110,12 @@ def normalise(df: DataFrame, schema: EventSchema, ts: Column, layout: EntityLayo
     if "total_minutes_from_last" in schema.numeric:
         out = with_gap(typed, layout, schema.minutes)
         out = out.withColumn("total_minutes_from_last", F.col("total_minutes_from_last").cast("double"))
-    return select_data(clean_categories(out, schema), schema, schema.order)
+    return select_data(clean_categories(out, schema), schema, schema.order), layout
+
+
+def normalise(df: DataFrame, schema: EventSchema, ts: Column, layout: EntityLayout | None = None) -> DataFrame:
+    """The normalised events alone."""
+    return normalise_with_layout(df, schema, ts, layout)[0]
 
 
 def sort_events(df: DataFrame, schema: EventSchema) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions import columns as C
 from tributary.functions.columns import quoted
-from tributary.operators.normalize import normalise, select_raw
+from tributary.operators.layout import EntityLayout
+from tributary.operators.normalize import normalise_with_layout, select_raw
 from tributary.schema import EventSchema
 
 
@@ -33,7 +34,11 @@ class Dataset:
 
     def normalise(self, raw: DataFrame) -> DataFrame:
         """Normalised events; columns the tie needs are kept beside the configured raw ones."""
-        return normalise(self.prepare(select_raw(raw, self.schema)), self.schema, self.timestamp())
+        return self.normalise_with_layout(raw)[0]
+
+    def normalise_with_layout(self, raw: DataFrame) -> tuple[DataFrame, EntityLayout]:
+        """Normalised events and the layout that was fitted for their gaps."""
+        return normalise_with_layout(self.prepare(select_raw(raw, self.schema)), self.schema, self.timestamp())
 
 
 def _cards(df: DataFrame) -> DataFrame:

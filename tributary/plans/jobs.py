@@ -68,19 +68,24 @@ class Encoder:
                    spark.read.parquet(f"{path}/vocabulary"))
 
 
-def numbered(events: DataFrame, schema: EventSchema) -> DataFrame:
-    """Events with their ordinal among the events of the sequence key."""
-    layout = EntityLayout.fit(events, [schema.sequence_key], schema.order)
+def numbered(events: DataFrame, schema: EventSchema, layout: EntityLayout | None = None) -> DataFrame:
+    """Events with their ordinal among the events of the sequence key.
+
+    A ``layout`` that was fitted for the gaps serves here too if the entity has no other index column.
+    """
+    key, order = [schema.sequence_key], schema.order
+    if layout is None or (layout.keys, layout.order) != (key, order):
+        layout = EntityLayout.fit(events, key, order)
     return with_ordinal(events, layout)
 
 
 def sequence_table(events: DataFrame, encoder: Encoder, length: int = 10, test_share: float = 0.1,
                    seed: int = 42, randomize: bool = False, epoch: int = 0, fixed: int = 1,
-                   label: str | None = None, moved_to: int | None = None) -> DataFrame:
-    """Normalised events to (entity, seq_idx, split, n_rows, input_ids, mask)."""
+                   label: str | None = None, moved_to: int | None = None, layout: EntityLayout | None = None) -> DataFrame:
+    """Normalised events to (entity, seq_idx, split, n_rows, input_ids, mask); ``layout`` as in ``numbered``."""
     schema = encoder.schema
     key = schema.sequence_key
-    rows = encoder.encode(numbered(events, schema))
+    rows = encoder.encode(numbered(events, schema, layout))
     rows = HashSplit.fit(events, [key], test_share, seed).transform(rows)
     mask = None
     if randomize:
@@ -90,9 +95,9 @@ def sequence_table(events: DataFrame, encoder: Encoder, length: int = 10, test_s
     return sequences(rows, key, length, schema.n_cols, mask=mask, keep=["split"])
 
 
-def text_table(events: DataFrame, schema: EventSchema, length: int = 10) -> DataFrame:
+def text_table(events: DataFrame, schema: EventSchema, length: int = 10, layout: EntityLayout | None = None) -> DataFrame:
     """Readable rows of each chunk of events as one text."""
-    rows = named_row_text(numbered(events, schema), schema)
+    rows = named_row_text(numbered(events, schema, layout), schema)
     return text_sequences(rows, schema.sequence_key, length)
 
 

@@ -578,6 +578,10 @@ def oracle() -> dict[str, str]:
         "churn_rows": with_(CHURN_ROWS, """SELECT o_custkey::BIGINT AS "User", replace(o_orderpriority, ' ', '') AS trx_category, l_linenumber::VARCHAR AS "MCC", l_linestatus AS channel_type,
   l_suppkey::VARCHAR AS currency, l_extendedprice AS amount, coalesce(m - lag(m) OVER (PARTITION BY o_custkey ORDER BY m, line_no), 0)::DOUBLE AS total_minutes_from_last,
   (l_returnflag = 'R')::INTEGER AS target_flag, m AS total_minutes FROM raw"""),
+        "time_gaps_by_text": with_(EV, """SELECT user_id, event_id, coalesce(m - lag(m) OVER (PARTITION BY user_id ORDER BY event_type, event_id::VARCHAR), 0)::BIGINT
+  AS total_minutes_from_last FROM ev"""),
+        "last_event_of_a_day": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN last THEN '?' ELSE event_type END AS event_type,
+  CASE WHEN last THEN '?' ELSE props END AS props FROM (SELECT *, event_id = max(event_id) OVER (PARTITION BY ts::DATE) AS last FROM events)""",
         "all_results": with_(RESULTS, "SELECT step, name, rows, note, filename FROM results"),
         "latest_results": with_(RESULTS + LATEST_RESULTS, """SELECT step, name, rows, note, filename, CASE WHEN experiment = '' THEN 'Base' ELSE experiment END AS experiment_name
 FROM parted QUALIFY y = max(y) OVER (PARTITION BY task, experiment)"""),

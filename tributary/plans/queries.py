@@ -48,6 +48,11 @@ def activity(spark, sf_dir) -> DataFrame:
     return ACTIVITY.normalise(table(spark, sf_dir, "events"))
 
 
+def laid_out(spark, sf_dir) -> tuple[DataFrame, EntityLayout]:
+    """Normalised events and their layout."""
+    return ACTIVITY.normalise_with_layout(table(spark, sf_dir, "events"))
+
+
 def lines(spark, sf_dir) -> DataFrame:
     """Order lines with their customer, the sub-entity being the line number."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -73,6 +78,27 @@ def time_gaps_cut(spark, sf_dir):
         "total_minutes_from_last")
 
 
+def _minutes(spark, sf_dir) -> DataFrame:
+    """Events with a text order: the kind of event, then its number as text."""
+    events = normalize.add_time(table(spark, sf_dir, "events"), F.col("ts"))
+    return events.withColumn("number", F.col("event_id").cast("string"))
+
+
+def time_gaps_by_text(spark, sf_dir):
+    """Gaps of events ordered by texts, every user of more than 20 events cut into cells of about 5."""
+    events = _minutes(spark, sf_dir)
+    fitted = EntityLayout.fit(events, ["user_id"], ["event_type", "number"], split_rows=20, cell_rows=5)
+    return layout.with_gap(events, fitted).select("user_id", "event_id", "total_minutes_from_last")
+
+
+def last_event_of_a_day(spark, sf_dir):
+    """The last event per day hidden, all events of a day at one time; days of more than 10 events are cut into cells of about 5."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), "event_id", "event_type", "props")
+    events = events.withColumn("time", F.to_date("day"))
+    fitted = EntityLayout.fit(events, ["day"], ["time", "event_id"], split_rows=10, cell_rows=5)
+    return layout.mask_last_event(events, fitted, ["event_type", "props"]).drop("time")
+
+
 MODES = {"top_flag": "l_returnflag", "top_priority": "o_orderpriority"}
 
 
@@ -466,8 +492,8 @@ def run_ranges(spark, sf_dir):
 # --- sequences ---------------------------------------------------------------------------
 
 def _sequences(spark, sf_dir, **options) -> DataFrame:
-    events = activity(spark, sf_dir)
-    return sequence_table(events, _encoder(spark, sf_dir, events), LENGTH, seed=SEED, **options)
+    events, fitted = laid_out(spark, sf_dir)
+    return sequence_table(events, _encoder(spark, sf_dir, events), LENGTH, seed=SEED, layout=fitted, **options)
 
 
 def _printed(seqs: DataFrame, *arrays: str) -> DataFrame:
@@ -523,9 +549,9 @@ def corpus_size(spark, sf_dir):
 # --- masking -----------------------------------------------------------------------------
 
 def masked_tokens(spark, sf_dir):
-    events = activity(spark, sf_dir)
+    events, fitted = laid_out(spark, sf_dir)
     encoder = _encoder(spark, sf_dir, events)
-    seqs = sequence_table(events, encoder, LENGTH, seed=SEED)
+    seqs = sequence_table(events, encoder, LENGTH, seed=SEED, layout=fitted)
     out = masking.masked_tokens(seqs, ["user_id", "seq_idx"], encoder.vocabulary.count(), SEED)
     return _printed(out, "input_ids", "labels")
 
@@ -680,7 +706,8 @@ def run_row(spark, sf_dir):
 
 
 def _prompt_source(spark, sf_dir) -> DataFrame:
-    return text_table(activity(spark, sf_dir), ACTIVITY.schema, 5)
+    events, fitted = laid_out(spark, sf_dir)
+    return text_table(events, ACTIVITY.schema, 5, fitted)
 
 
 def prompts(spark, sf_dir):
@@ -875,4 +902,5 @@ QUERIES = [
     parsed_runs, latest_runs, metric_summary, metric_pivot, benchmark_union, setup_first_rows, top_rows,
     io_roundtrip, metrics_append, time_gaps_cut, change_points_cut, encoder_reload, manifest_roundtrip, entity_layout,
     gzip_csv, gzip_json_lines, sample_sink, scored_label_sink, churn_rows, stored_manifests, all_results, latest_results,
+    time_gaps_by_text, last_event_of_a_day,
 ]
