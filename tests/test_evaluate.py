@@ -121,3 +121,37 @@ def test_prompts(spark):
     assert [m["content"] for m in row["messages"]][1:] == ["y:1 x:2 [ROW] y:3", "x:"]
     row = E.prompts(df, exclude_labels=True, replace_question="the x").first()
     assert [m["content"] for m in row["messages"]][1:] == ["y:1 [ROW] y:3", "the x:"] and row["answer"] == "4"
+
+
+def test_class_lists_too_large_to_broadcast(spark):
+    """The same scores by both ways; a target that is no class, a column without positions, extreme logits."""
+    classes = spark.createDataFrame([(0, 0, "a", 5, 0), (0, 1, "b", 2, 0), (0, 2, "c", 7, 0), (1, 0, "x", 1, 0), (9, 0, "z", 0, 0)], E.CLASS_SCHEMA)
+    targets = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 0, 3), (1, 2, 1, 1), (2, 0, 0, 7)], "k int, pos int, col_id int, target_id int")
+    logits = spark.createDataFrame([(1, 0, [float(i) for i in range(8)]), (1, 1, [-800.0, 0.0, -900.0, 0.0, 0.0, 900.0, 0.0, 1.0]), (1, 2, [3.0] * 8), (2, 0, [900.0, 0.0, 0.0, 0.0, 0.0, -900.0, 0.0, -901.0])],
+                                   "k int, pos int, logits array<double>")
+    near, spread = (sorted(map(tuple, E.softmax_scores(targets, logits, classes, ["k"], rows).collect())) for rows in (10, 3))
+    assert near == spread and [r[3] for r in near] == [1, -1, 0, 2]
+    for r in near:
+        own = {0: [5, 2, 7], 1: [1]}[r[2]]
+        x = logits.where(f"k = {r[0]} AND pos = {r[1]}").first()["logits"]
+        powers = [math.exp(x[i] - max(x[j] for j in own)) for i in own]
+        assert r[4] == pytest.approx([p / sum(powers) for p in powers])
+
+
+def test_auc_of_scores_is_that_of_expanded_variants(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(1, 9), i, 0, rng.choice([-1, 0, 1, 2]), None, [round(rng.random(), 1) for _ in range(3)]) for i in range(300)]
+    rows = [(*r[:4], {-1: -1, 0: 0, 1: 4, 2: 4}[r[3]], r[5]) for r in rows]
+    scores = spark.createDataFrame(rows, "s int, pos int, col_id int, class_ix int, group_ix int, probs array<double>")
+    ours = {(r.variant, r.class_ix): tuple(r)[2:] for r in E.scores_auc(scores, ["s"], [0, 4, 4]).collect()}
+    plain = {(r.variant, r.class_ix): tuple(r)[2:] for r in E.auc_per_class(E.known_targets(E.metric_variants(scores, ["s"], [0, 4, 4]))).collect()}
+    assert ours == plain and len(ours) == 10
+    plan = E.scores_auc(scores, ["s"], [0, 4, 4])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(flatten") == 1
+
+
+def test_groups_must_cover_the_classes(spark):
+    classes = spark.createDataFrame([(2, i, v, i, None) for i, v in enumerate("abc")] + [(3, 0, "x", 9, None)], E.CLASS_SCHEMA)
+    groups = E.class_groups(spark, {"label": {"a": 0, "b": 1, "z": 1}}, {"label": 2, "other": 3})
+    assert sorted(map(tuple, E.group_mismatches(classes, groups).collect())) == [(2, "c", "no group"), (2, "z", "no class")]
+    assert E.group_mismatches(classes, E.class_groups(spark, {"label": {v: 0 for v in "abc"}}, {"label": 2})).isEmpty()

@@ -7,13 +7,15 @@ the vocabulary; everything of event size is grouped with map-side partial sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tributary.functions.columns import bound, mapped, quoted
+from tributary.functions.local import BROADCAST_ROWS, hinted, local_table
 
 CLASS_SCHEMA = "col_id int, class_ix int, value string, id int, group_ix int"
+GROUP_SCHEMA = "col_id int, value string, group_ix int"
 # Parts of metric names that are logged.
 LOGGED = ["batches", "rows", "epoch_time", "total_elapsed_time", "step_avg_time", "loss", "accuracy", "auc", "f1"]
 # Fixed value: the instruction of the prompt data set.
@@ -33,10 +35,23 @@ def class_order(vocabulary: DataFrame, groups: DataFrame | None = None) -> DataF
     classes = vocabulary.where(F.col("col_id").isNotNull()).select("col_id", ix.alias("class_ix"), "value", "id")
     if groups is None:
         return classes.withColumn("group_ix", F.lit(None).cast("int"))
-    return classes.join(F.broadcast(groups), ["col_id", "value"], "left").select(
+    return classes.join(hinted(groups), ["col_id", "value"], "left").select(
         "col_id", "class_ix", "value", "id", "group_ix")
 
 
+def class_groups(spark: SparkSession, consolidate: dict[str, dict[str, int]], col_ids: dict[str, int]) -> DataFrame:
+    """(col_id, value, group_ix) of a data set's consolidation map {column: {value: group}}."""
+    return local_table(spark, [(col_ids[c], v, g) for c, own in consolidate.items() for v, g in own.items()], GROUP_SCHEMA)
+
+
+def group_mismatches(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(col_id, value, problem): classes of a consolidated column without a group, and groups of values that are no class."""
+    ours = classes.join(hinted(groups.select("col_id").distinct()), "col_id", "left_semi").select("col_id", "value")
+    lacking = ours.join(hinted(groups), ["col_id", "value"], "left_anti").withColumn("problem", F.lit("no group"))
+    unknown = groups.select("col_id", "value").join(ours, ["col_id", "value"], "left_anti").withColumn("problem", F.lit("no class"))
+    return lacking.unionByName(unknown)
+
+
 def aligned_targets(seqs: DataFrame, key: list[str], label: int, ids: str = "input_ids",
                     mask: str = "mask") -> DataFrame:
     """Label positions of each sequence with the position whose output predicts them.
@@ -51,29 +66,43 @@ def aligned_targets(seqs: DataFrame, key: list[str], label: int, ids: str = "inp
                     F.element_at("__ids", F.col("c.i") + 1).alias("target_id")))
 
 
-def restricted_softmax(logits: Column, class_ids: Column) -> Column:
-    """Probabilities over the classes of one column only; ``logits`` is indexed by token id."""
-    own = F.transform(class_ids, lambda i: F.element_at(logits, i + 1))
+def softmax(own: Column) -> Column:
+    """Probabilities of an array of logits."""
     powers = lambda o, top: F.transform(o, lambda x: F.exp(x - top))
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
     shares = lambda p: bound(total(p), lambda t: F.transform(p, lambda x: x / t))
     return bound(own, lambda o: bound(F.array_max(o), lambda top: bound(powers(o, top), shares)))
 
 
+def restricted_softmax(logits: Column, class_ids: Column) -> Column:
+    """Probabilities over the classes of one column only; ``logits`` is indexed by token id."""
+    return softmax(F.transform(class_ids, lambda i: F.element_at(logits, i + 1)))
+
+
 def class_index(class_ids: Column, target_id: Column) -> Column:
     """Position of the target in the class list, -1 when it is not a class of the column."""
     return (F.array_position(class_ids, target_id) - 1).cast("int")
 
 
-def softmax_scores(targets: DataFrame, logits: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
-    """Join logits to aligned targets and score them over the classes of their column."""
-    lists = classes.groupBy("col_id").agg(
-        F.array_sort(F.collect_list(F.struct("class_ix", "id"))).alias("__c"))
-    joined = (targets.join(logits, [*key, "pos"])
-              .join(F.broadcast(lists), "col_id").withColumn("__ids", F.col("__c.id")))
-    return joined.select(*map(quoted, key), "pos", "col_id",
-                         class_index(F.col("__ids"), F.col("target_id")).alias("target_ix"),
-                         restricted_softmax(F.col("logits"), F.col("__ids")).alias("probs"))
+def softmax_scores(targets: DataFrame, logits: DataFrame, classes: DataFrame, key: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join logits to aligned targets and score them over the classes of their column.
+
+    Class lists of ``rows`` classes together are broadcast as one array per column. Larger ones are not: logits are spread by token,
+    meet their class in a join, and each label position gathers its own classes, which its result holds anyway.
+    """
+    joined = targets.join(logits, [*key, "pos"])
+    if classes.limit(rows + 1).count() <= rows:
+        lists = classes.groupBy("col_id").agg(F.array_sort(F.collect_list(F.struct("class_ix", "id"))).alias("__c"))
+        joined = joined.join(F.broadcast(lists), "col_id").withColumn("__ids", F.col("__c.id"))
+        return joined.select(*map(quoted, key), "pos", "col_id",
+                             class_index(F.col("__ids"), F.col("target_id")).alias("target_ix"),
+                             restricted_softmax(F.col("logits"), F.col("__ids")).alias("probs"))
+    at = [*map(quoted, key), F.col("pos"), F.col("col_id")]
+    spread = joined.select(*at, "target_id", F.posexplode("logits").alias("id", "__x"))
+    own = spread.join(classes.select("col_id", "id", "class_ix"), ["col_id", "id"]).groupBy(*at).agg(
+        F.array_sort(F.collect_list(F.struct("class_ix", "__x"))).alias("__own"),
+        F.coalesce(F.max(F.when(F.col("id") == F.col("target_id"), F.col("class_ix"))), F.lit(-1)).alias("target_ix"))
+    return own.select(*map(quoted, key), "pos", "col_id", "target_ix", softmax(F.col("__own.__x")).alias("probs"))
 
 
 def probability_violations(scores: DataFrame, tolerance: float = 1e-3, probs: str = "probs") -> DataFrame:
@@ -84,7 +113,7 @@ def probability_violations(scores: DataFrame, tolerance: float = 1e-3, probs: st
 def with_class(scores: DataFrame, classes: DataFrame, target: str = "target") -> DataFrame:
     """Add the class index and consolidated group of the target; -1 for values that are no class."""
     side = classes.select(F.col("col_id").alias("__c"), F.col("value").alias("__v"), "class_ix", "group_ix")
-    joined = scores.join(F.broadcast(side), (F.col("col_id") == F.col("__c")) & (quoted(target) == F.col("__v")), "left")
+    joined = scores.join(hinted(side), (F.col("col_id") == F.col("__c")) & (quoted(target) == F.col("__v")), "left")
     return joined.drop("__c", "__v").withColumns(
         {"class_ix": F.coalesce("class_ix", F.lit(-1)), "group_ix": F.coalesce("group_ix", F.lit(-1))})
 
@@ -154,34 +183,64 @@ def score_bin(p: Column) -> Column:
     return F.when(p < 0.5, low).otherwise(high).cast("int")
 
 
-def auc_per_class(variants: DataFrame) -> DataFrame:
-    """Exact one-vs-rest AUC per (variant, class); ties count half.
+def _ranked(lines: DataFrame, by: list[str], sides: dict[str, Column]) -> DataFrame:
+    """Exact one-vs-rest AUC per ``by``, class and side out of lines (by, class_ix, p, hit); ties count half.
 
-    Scores are counted per distinct value, then ranked inside score bins only. Pairs that cross
-    bins follow from bin totals, of which there are at most some 283,000 per class. Classes
-    without positives or without negatives yield null.
+    ``sides`` names conditions on the lines; each is a pair of counters, so rows that several sides count are ranked once. Scores
+    are counted per distinct value, then ranked inside score bins only. Pairs that cross bins follow from bin totals, of
+    which there are at most some 283,000 per class. Classes without positives or without negatives yield null.
     """
-    lines = variants.select("variant", "target_ix", F.posexplode("probs").alias("class_ix", "p"))
-    hit = (F.col("target_ix") == F.col("class_ix")).cast("bigint")
-    counts = lines.groupBy("variant", "class_ix", score_bin(F.col("p")).alias("bin"), "p").agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
-    above = W.partitionBy("variant", "class_ix", "bin").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, -1)
+    key = [*by, "class_ix"]
+    ix, hit = range(len(sides)), F.col("hit")
+    n = lambda cond: F.sum(F.when(cond, F.lit(1)).otherwise(0).cast("bigint"))
+    flags = list(sides.values())
+    counts = lines.groupBy(*key, score_bin(F.col("p")).alias("bin"), "p").agg(
+        *[n(flags[i] & hit).alias(f"pos{i}") for i in ix], *[n(flags[i] & ~hit).alias(f"neg{i}") for i in ix])
+    above = W.partitionBy(*key, "bin").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, -1)
+    higher = W.partitionBy(*key).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
     # As doubles: a product of two counts can pass the range of a bigint.
-    neg = F.col("neg").cast("double")
-    within = neg * (F.coalesce(F.sum("pos").over(above), F.lit(0)) + F.col("pos") / 2)
-    bins = (counts.withColumn("within", within).groupBy("variant", "class_ix", "bin")
-            .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("within").alias("within")))
-    higher = W.partitionBy("variant", "class_ix").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    pairs = F.col("within") + neg * F.coalesce(F.sum("pos").over(higher), F.lit(0))
-    total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return (bins.withColumn("pairs", pairs).groupBy("variant", "class_ix")
-            .agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
-                 F.when(total > 0, F.sum("pairs") / total).alias("auc")))
+    before = lambda i, w: F.coalesce(F.sum(f"pos{i}").over(w), F.lit(0))
+    neg = lambda i: F.col(f"neg{i}").cast("double")
+    counts = counts.select("*", *[(neg(i) * (before(i, above) + F.col(f"pos{i}") / 2)).alias(f"within{i}") for i in ix])
+    bins = counts.groupBy(*key, "bin").agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in ix for c in ("pos", "neg", "within")])
+    bins = bins.select("*", *[(F.col(f"within{i}") + neg(i) * before(i, higher)).alias(f"pairs{i}") for i in ix])
+    whole = bins.groupBy(*key).agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in ix for c in ("pos", "neg", "pairs")])
+    total = lambda i: F.col(f"pos{i}").cast("double") * F.col(f"neg{i}").cast("double")
+    found = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"pos{i}").alias("positives"), F.col(f"neg{i}").alias("negatives"),
+                               F.when(total(i) > 0, F.col(f"pairs{i}") / total(i)).alias("auc")) for i, s in enumerate(sides)])
+    return whole.select(*key, F.explode(found).alias("s")).where("s.positives + s.negatives > 0").select(*key, "s.*")
 
 
-def auc(variants: DataFrame) -> DataFrame:
+def auc_per_class(variants: DataFrame) -> DataFrame:
+    """AUC per (variant, class) of rows that are expanded already; see ``metric_variants``."""
+    lines = variants.select("variant", "target_ix", F.posexplode("probs").alias("class_ix", "p"))
+    return _ranked(lines.withColumn("hit", F.col("target_ix") == F.col("class_ix")), ["variant"], {"": F.lit(True)}).drop("side")
+
+
+def scores_auc(scores: DataFrame, key: list[str], groups: list[int] | None = None) -> DataFrame:
+    """AUC per (variant, class) straight from the scores: every row is spread once, over its classes and its groups, and the variants
+    of all labels and of last labels are counters of the same lines. Targets that are no class are left out."""
+    last = F.col("pos") == F.max("pos").over(W.partitionBy(*map(quoted, key), "col_id"))
+    line = lambda kind, target: lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("class_ix"), p.alias("p"), (target == i).alias("hit"))
+    known = lambda target, kind, probs: F.when(target >= 0, F.transform(probs, line(kind, target)))
+    parts = [known(F.col("class_ix"), "", F.col("probs"))]
+    if groups and len(set(groups)) > 1:
+        order = {g: i for i, g in enumerate(sorted(set(groups)))}
+        target = F.coalesce(mapped(F.col("group_ix"), order), F.lit(-1)).cast("int")
+        parts.append(known(target, "_consolidated", group_probabilities(F.col("probs"), groups)))
+    spread = F.flatten(F.array_compact(F.array(*parts)))
+    lines = scores.withColumn("__last", last).select("__last", F.explode(spread).alias("l")).select("__last", "l.*")
+    found = _ranked(lines, ["kind"], {"": F.lit(True), "_last": F.col("__last")})
+    return found.select(F.concat("side", "kind").alias("variant"), "class_ix", "positives", "negatives", "auc")
+
+
+def macro_auc(per_class: DataFrame) -> DataFrame:
     """Macro mean over the classes that have an AUC."""
-    return auc_per_class(variants).groupBy("variant").agg(F.avg("auc").alias("auc"))
+    return per_class.groupBy("variant").agg(F.avg("auc").alias("auc"))
+
+
+def auc(variants: DataFrame) -> DataFrame:
+    return macro_auc(auc_per_class(variants))
 
 
 def class_counts(variants: DataFrame) -> DataFrame:

@@ -228,15 +228,19 @@ def scores_ctes() -> str:
         f"1.0::DOUBLE + {u(*key, chr(39) + c + chr(39), str(SEED))} * 9 + CASE WHEN {likes} AND event_type = '{c}' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS w{i}"
         for i, c in enumerate(CLASSES))
     total = "(((w0 + w1) + w2) + w3) + w4"
-    probs = ", ".join(f"round(w{i} / ({total}), 6) AS p{i}" for i in range(5))
-    target = "CASE event_type " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSES)) + " END"
+    raw = ", ".join(f"round(w{i} / ({total}), 6)" for i in range(5))
+    ps = ", ".join(f"sorted[{i + 1}] AS p{i}" for i in range(5))
     group = "CASE event_type " + " ".join(f"WHEN '{c}' THEN {g}" for c, g in zip(CLASSES, GROUPS)) + " END"
+    # Classes come in the order of the vocabulary: by falling count, then by value.
+    summed = lambda g: f"list_reduce([sorted[i] FOR i IN range(1, 6) IF list_extract({GROUPS}, list_position({CLASSES}, names[i])) = {g}], lambda a, b: a + b)"
     return EV + f""",
+ordered AS MATERIALIZED (SELECT list(event_type ORDER BY n DESC, event_type) AS names FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)),
 lab AS MATERIALIZED (SELECT user_id, pos, (pos - 1) // {LENGTH} AS seq_idx, event_type FROM gaps),
 wts AS MATERIALIZED (SELECT *, {weights} FROM lab),
-scores AS MATERIALIZED (SELECT user_id, pos, seq_idx, {target} AS t, {group} AS g, {probs} FROM wts),
-flagged AS MATERIALIZED (SELECT *, pos = max(pos) OVER (PARTITION BY user_id, seq_idx) AS is_last,
-  p0 + p4 AS q0, p1 + p2 + p3 AS q1 FROM scores),
+raw AS MATERIALIZED (SELECT user_id, pos, seq_idx, event_type, names, [{raw}] AS byname FROM wts, ordered),
+listed AS MATERIALIZED (SELECT *, [byname[list_position({CLASSES}, names[i])] FOR i IN range(1, 6)] AS sorted FROM raw),
+scores AS MATERIALIZED (SELECT user_id, pos, seq_idx, list_position(names, event_type) - 1 AS t, {group} AS g, {ps}, {summed(0)} AS q0, {summed(1)} AS q1 FROM listed),
+flagged AS MATERIALIZED (SELECT *, pos = max(pos) OVER (PARTITION BY user_id, seq_idx) AS is_last FROM scores),
 variants AS MATERIALIZED (
   SELECT '' AS variant, t AS target, [p0, p1, p2, p3, p4] AS probs FROM flagged UNION ALL
   SELECT '_last', t, [p0, p1, p2, p3, p4] FROM flagged WHERE is_last UNION ALL
@@ -560,7 +564,7 @@ told AS (SELECT *, run IN ('always_click', 'sometimes_randomize_error', 'view')
 
 #: Queries whose result is that of another one, reached by another way.
 SAME = {"time_gaps_cut": "time_gaps", "change_points_cut": "change_points", "encoder_reload": "encoded_rows",
-        "manifest_roundtrip": "restored_split", "gzip_csv": "io_roundtrip", "gzip_json_lines": "io_roundtrip"}
+        "manifest_roundtrip": "restored_split", "softmax_scores_spread": "softmax_scores", "gzip_csv": "io_roundtrip", "gzip_json_lines": "io_roundtrip"}
 
 
 def oracle() -> dict[str, str]:
@@ -578,6 +582,12 @@ def oracle() -> dict[str, str]:
         "churn_rows": with_(CHURN_ROWS, """SELECT o_custkey::BIGINT AS "User", replace(o_orderpriority, ' ', '') AS trx_category, l_linenumber::VARCHAR AS "MCC", l_linestatus AS channel_type,
   l_suppkey::VARCHAR AS currency, l_extendedprice AS amount, coalesce(m - lag(m) OVER (PARTITION BY o_custkey ORDER BY m, line_no), 0)::DOUBLE AS total_minutes_from_last,
   (l_returnflag = 'R')::INTEGER AS target_flag, m AS total_minutes FROM raw"""),
+        "class_table": with_(vocabulary_ctes() + f", parts AS (SELECT id, {PARTS} FROM vocab)",
+            """SELECT col_id, row_number() OVER (PARTITION BY col_id ORDER BY id) - 1 AS class_ix, id::BIGINT AS id, value,
+  CASE WHEN col_id = 5 AND value IN ('click', 'view') THEN 0 WHEN col_id = 5 THEN 1 ELSE -1 END::BIGINT AS group_ix FROM parts WHERE col_id IS NOT NULL"""),
+        "group_mismatches": """SELECT 5::BIGINT AS col_id, event_type AS value, 'no group' AS problem FROM events
+WHERE event_type NOT IN ('click', 'error', 'view', 'signup', 'refund') GROUP BY event_type UNION ALL
+SELECT 5, v, 'no class' FROM (VALUES ('click'), ('error'), ('view'), ('signup'), ('refund')) m(v) WHERE v NOT IN (SELECT event_type FROM events)""",
         "time_gaps_by_text": with_(EV, """SELECT user_id, event_id, coalesce(m - lag(m) OVER (PARTITION BY user_id ORDER BY event_type, event_id::VARCHAR), 0)::BIGINT
   AS total_minutes_from_last FROM ev"""),
         "last_event_of_a_day": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN last THEN '?' ELSE event_type END AS event_type,

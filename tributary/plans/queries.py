@@ -24,7 +24,6 @@ from tributary.sources.shared import shared_folder
 SEED = 42
 LENGTH = 10
 CLASSES = ["click", "error", "purchase", "signup", "view"]
-GROUPS = [0, 1, 1, 1, 0]
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -574,11 +573,39 @@ def target_positions(spark, sf_dir):
 
 # --- evaluation --------------------------------------------------------------------------
 
-def class_table(spark: SparkSession) -> DataFrame:
-    label = ACTIVITY.schema.label_position()
-    rows = [(label, i, v, i + 6, g) for i, (v, g) in enumerate(zip(CLASSES, GROUPS))]
-    rows += [(label - 1, i, v, i + 1, i) for i, v in enumerate(["False", "True"])]
-    return local_table(spark, rows, evaluate.CLASS_SCHEMA)
+LABEL = ACTIVITY.schema.label_position()
+
+
+def _groups(spark) -> DataFrame:
+    return evaluate.class_groups(spark, ACTIVITY.consolidate, ACTIVITY.schema.col_ids)
+
+
+def _classes(spark, sf_dir) -> DataFrame:
+    """Classes of the label and of the flag before it, in the order of a vocabulary over these two columns, with their groups."""
+    cells = ACTIVITY.prepare(table(spark, sf_dir, "events")).select(
+        F.concat(F.lit(f"{LABEL}_"), "event_type").alias("label"), F.concat(F.lit(f"{LABEL - 1}_"), C.boolean_text(F.col("is_error"))).alias("flag"))
+    vocabulary = tokens.pinned(tokens.fit_vocabulary(cells, F.array("label", "flag")))
+    return evaluate.class_order(vocabulary, _groups(spark))
+
+
+def class_table(spark, sf_dir):
+    """Classes and groups of all columns out of a fitted encoder's vocabulary."""
+    found = evaluate.class_order(_encoder(spark, sf_dir).vocabulary, _groups(spark))
+    return found.select(*[F.col(c).cast("bigint").alias(c) for c in ("col_id", "class_ix", "id")], "value",
+                        F.coalesce("group_ix", F.lit(-1)).cast("bigint").alias("group_ix"))
+
+
+def group_mismatches(spark, sf_dir):
+    """What a consolidation map that lacks a value of the label, and has one too many, does not cover."""
+    groups = evaluate.class_groups(spark, {"event_type": {"click": 0, "error": 1, "view": 0, "signup": 1, "refund": 1}}, ACTIVITY.schema.col_ids)
+    found = evaluate.group_mismatches(_classes(spark, sf_dir), groups)
+    return found.select(F.col("col_id").cast("bigint").alias("col_id"), "value", "problem")
+
+
+def _column_classes(classes: DataFrame, col_id: int) -> tuple[list[str], list[int]]:
+    """Values and groups of one column's classes, in class order: what a model's output layer is made of."""
+    rows = classes.where(F.col("col_id") == col_id).orderBy("class_ix").collect()
+    return [r["value"] for r in rows], [r["group_ix"] for r in rows]
 
 
 def _labels(spark, sf_dir) -> DataFrame:
@@ -602,30 +629,40 @@ def _hashed_probs(col_id: int, target: Column, values: list[str]) -> Column:
 
 def label_scores(spark, sf_dir) -> DataFrame:
     """One scored row per event for the label column."""
-    label = ACTIVITY.schema.label_position()
+    return _label_scores(spark, sf_dir)[0]
+
+
+def _label_scores(spark, sf_dir) -> tuple[DataFrame, list[int]]:
+    """The scores, and the group of each class."""
+    classes = _classes(spark, sf_dir)
+    values, groups = _column_classes(classes, LABEL)
     scored = _labels(spark, sf_dir).select(
-        "user_id", "seq_idx", "pos", F.lit(label).alias("col_id"), F.col("event_type").alias("target"),
-        _hashed_probs(label, F.col("event_type"), CLASSES).alias("probs"))
-    return evaluate.with_class(scored, class_table(spark))
+        "user_id", "seq_idx", "pos", F.lit(LABEL).alias("col_id"), F.col("event_type").alias("target"),
+        _hashed_probs(LABEL, F.col("event_type"), values).alias("probs"))
+    return evaluate.with_class(scored, classes), groups
 
 
 def _variants(spark, sf_dir) -> DataFrame:
-    return evaluate.known_targets(
-        evaluate.metric_variants(label_scores(spark, sf_dir), ["user_id", "seq_idx"], GROUPS))
+    scores, groups = _label_scores(spark, sf_dir)
+    return evaluate.known_targets(evaluate.metric_variants(scores, ["user_id", "seq_idx"], groups))
 
 
 def accuracy_variants(spark, sf_dir):
     return evaluate.accuracy(_variants(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
 
 
+def _auc(spark, sf_dir) -> DataFrame:
+    scores, groups = _label_scores(spark, sf_dir)
+    return evaluate.scores_auc(scores, ["user_id", "seq_idx"], groups)
+
+
 def auc_ovr(spark, sf_dir):
-    out = evaluate.auc_per_class(_variants(spark, sf_dir))
-    return out.select("variant", F.col("class_ix").cast("bigint").alias("class_ix"), "positives", "negatives",
-                      F.round("auc", 9).alias("auc"))
+    return _auc(spark, sf_dir).select("variant", F.col("class_ix").cast("bigint").alias("class_ix"), "positives", "negatives",
+                                      F.round("auc", 9).alias("auc"))
 
 
 def auc_macro(spark, sf_dir):
-    return evaluate.auc(_variants(spark, sf_dir)).withColumn("auc", F.round("auc", 9))
+    return evaluate.macro_auc(_auc(spark, sf_dir)).withColumn("auc", F.round("auc", 9))
 
 
 def f1_scores(spark, sf_dir):
@@ -637,16 +674,16 @@ def binary_f1(spark, sf_dir):
 
 
 def column_accuracy(spark, sf_dir):
-    label = ACTIVITY.schema.label_position()
-    rows = _labels(spark, sf_dir)
+    rows, classes = _labels(spark, sf_dir), _classes(spark, sf_dir)
+    (values, groups), (flags, _) = (_column_classes(classes, c) for c in (LABEL, LABEL - 1))
     is_error = C.boolean_text(F.col("event_type") == "error")
     both = F.array(
-        F.struct(F.lit(label).alias("col_id"), F.col("event_type").alias("target"),
-                 _hashed_probs(label, F.col("event_type"), CLASSES).alias("probs")),
-        F.struct(F.lit(label - 1).alias("col_id"), is_error.alias("target"),
-                 _hashed_probs(label - 1, is_error, ["False", "True"]).alias("probs")))
+        F.struct(F.lit(LABEL).alias("col_id"), F.col("event_type").alias("target"),
+                 _hashed_probs(LABEL, F.col("event_type"), values).alias("probs")),
+        F.struct(F.lit(LABEL - 1).alias("col_id"), is_error.alias("target"),
+                 _hashed_probs(LABEL - 1, is_error, flags).alias("probs")))
     scored = rows.select("user_id", F.explode(both).alias("s")).select("user_id", "s.*")
-    per_column = evaluate.column_accuracy(evaluate.with_class(scored, class_table(spark)), {label: GROUPS})
+    per_column = evaluate.column_accuracy(evaluate.with_class(scored, classes), {LABEL: groups})
     overall = evaluate.overall_accuracy(per_column).select(
         F.lit(-1).alias("col_id"), F.lit(0).cast("bigint").alias("rows"), F.col("accuracy_overall").alias("accuracy"))
     out = per_column.unionByName(overall)
@@ -654,8 +691,8 @@ def column_accuracy(spark, sf_dir):
 
 
 def consolidated_metrics(spark, sf_dir):
-    scores = label_scores(spark, sf_dir)
-    grouped = evaluate.group_probabilities(F.col("probs"), GROUPS)
+    scores, groups = _label_scores(spark, sf_dir)
+    grouped = evaluate.group_probabilities(F.col("probs"), groups)
     out = scores.select("user_id", "pos", F.col("group_ix").cast("bigint").alias("group_ix"), grouped.alias("g"))
     return out.select("user_id", "pos", "group_ix", F.round(F.col("g")[0], 9).alias("p0"), F.round(F.col("g")[1], 9).alias("p1"))
 
@@ -667,19 +704,29 @@ def _logits(targets: DataFrame) -> DataFrame:
     return targets.select("user_id", "seq_idx", "pos", value.alias("logits"))
 
 
-def softmax_scores(spark, sf_dir):
+def _softmax(spark, sf_dir, **options) -> DataFrame:
     """Compact sequences of two cells per event (label id, row marker) aligned and scored."""
     rows = _labels(spark, sf_dir)
+    groups = ACTIVITY.consolidate["event_type"]
     ids = F.array(C.mapped(F.col("event_type"), {v: i + 6 for i, v in enumerate(CLASSES)}).cast("int"), F.lit(5))
     seqs = sequence.sequences(rows.withColumn("input_ids", ids), "user_id", LENGTH, 2)
     targets = evaluate.aligned_targets(seqs, ["user_id", "seq_idx"], 0)
-    classes = local_table(spark, [(0, i, v, i + 6, g) for i, (v, g) in enumerate(zip(CLASSES, GROUPS))], evaluate.CLASS_SCHEMA)
-    out = evaluate.softmax_scores(targets, _logits(targets), classes, ["user_id", "seq_idx"])
+    classes = local_table(spark, [(0, i, v, i + 6, groups[v]) for i, v in enumerate(CLASSES)], evaluate.CLASS_SCHEMA)
+    out = evaluate.softmax_scores(targets, _logits(targets), classes, ["user_id", "seq_idx"], **options)
     return out.select("user_id", F.col("seq_idx").cast("bigint").alias("seq_idx"), F.col("pos").cast("bigint").alias("pos"),
                       F.col("target_ix").cast("bigint").alias("target_ix"),
                       *[F.round(F.col("probs")[i], 9).alias(f"p{i}") for i in range(len(CLASSES))])
 
 
+def softmax_scores(spark, sf_dir):
+    return _softmax(spark, sf_dir)
+
+
+def softmax_scores_spread(spark, sf_dir):
+    """The same scores where class lists are taken as too large to broadcast."""
+    return _softmax(spark, sf_dir, rows=1)
+
+
 def softmax_check(spark, sf_dir):
     """Scores whose rounded probabilities miss 1 by more than the tolerance."""
     loose = evaluate.probability_violations(label_scores(spark, sf_dir), 1e-6)
@@ -902,5 +949,5 @@ QUERIES = [
     parsed_runs, latest_runs, metric_summary, metric_pivot, benchmark_union, setup_first_rows, top_rows,
     io_roundtrip, metrics_append, time_gaps_cut, change_points_cut, encoder_reload, manifest_roundtrip, entity_layout,
     gzip_csv, gzip_json_lines, sample_sink, scored_label_sink, churn_rows, stored_manifests, all_results, latest_results,
-    time_gaps_by_text, last_event_of_a_day,
+    time_gaps_by_text, last_event_of_a_day, class_table, group_mismatches, softmax_scores_spread,
 ]
