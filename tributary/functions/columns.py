@@ -20,10 +20,6 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def data_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 def to_number(c: Column) -> Column:
     """Double, with NaN and unreadable text as null."""
     v = c.try_cast("double")

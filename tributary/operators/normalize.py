@@ -116,9 +116,3 @@ def normalise_with_layout(df: DataFrame, schema: EventSchema, ts: Column, layout
 def normalise(df: DataFrame, schema: EventSchema, ts: Column, layout: EntityLayout | None = None) -> DataFrame:
     """The normalised events alone."""
     return normalise_with_layout(df, schema, ts, layout)[0]
-
-
-def sort_events(df: DataFrame, schema: EventSchema) -> DataFrame:
-    """Events in (index, minutes, tie) order: range partitions that are sorted inside."""
-    keys = [quoted(c) for c in dict.fromkeys([*schema.index, schema.minutes, *schema.tie])]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tributary.functions.columns import quoted
 from tributary.schema import EventSchema
+from tributary.sources.shared import Written
 
 
 def _mode_counts(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -84,20 +85,20 @@ def join_entity_stats(df: DataFrame, history: DataFrame, keys: list[str], amount
     """Add the entity statistics of ``history``; gaps are filled with its table-wide values.
 
     Table-wide values are merged from the moments and value counts of the entities, so both come from the same two
-    exchanges of ``history``. The join carries no broadcast hint: the entity table grows with the data, so adaptive
+    exchanges of ``history``; these are written to the shared folder once, and the one row of table-wide values is read from there. The
+    join carries no broadcast hint: the entity table grows with the data, so adaptive
     execution broadcasts it only when its measured size allows and splits skewed partitions otherwise.
     """
     names = [mean, std, *modes]
-    moments = _moments(history, keys, amount)
+    moments = Written(_moments(history, keys, amount)).table
     stats, whole = _entity_numbers(moments, keys, mean, std), _whole_numbers(moments, mean, std)
     if modes:
-        counts = _mode_counts(history, keys, list(modes.values()))
+        counts = Written(_mode_counts(history, keys, list(modes.values()))).table
         stats = stats.join(_tops(counts, keys, list(modes)), keys, "left")
         whole = _with_whole_modes(whole, counts, list(modes))
-    fill = whole.agg(F.first(F.struct(*map(quoted, names)))).scalar()
+    fill = whole.first()
     joined = df.join(stats, keys, "left")
-    return joined.select(*[quoted(c) for c in df.columns],
-                         *[F.coalesce(quoted(n), fill.getField(n)).alias(n) for n in names])
+    return joined.select(*[quoted(c) for c in df.columns], *[F.coalesce(quoted(n), F.lit(fill[n])).alias(n) for n in names])
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
