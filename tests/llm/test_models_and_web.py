@@ -11,7 +11,7 @@ from tributary.llm.ann import nearest
 from tributary.llm.language import LONGEST, PER_LANGUAGE, held_out, identified, training_texts
 from tributary.llm.toxicity import toxicity
 from tributary.llm.url_filter import RULE_DDL, glob_rule, host_rule, judged
-from tributary.llm.warc import LoserTree, archived, captures, capture_index, order, range_borders, records, write_archives
+from tributary.llm.warc import LoserTree, archived, captures, capture_index, order, records, write_archives
 
 SF = "/root/testdata/sf0.01"
 
@@ -116,10 +116,22 @@ def test_merge_over_several_ranges(spark, scratch):
     pages = spark.read.parquet(f"{SF}/pages.parquet").repartition(5)
     rows = captures(pages, scratch)
     path = scratch.path("warc")
-    write_archives(rows, path)
+    write_archives(rows, path, 200_000)
     keys = sorted(order(r.asDict()) for r in rows.select("urlkey", "date", "page_id").collect())
-    out = capture_index(spark, path, keys[20::40]).collect()
-    assert [order(x.asDict()) for x in out] == keys and range_borders(rows) == []
+    index = capture_index(spark, path, scratch, 40)
+    assert index.rdd.getNumPartitions() == -(-len(keys) // 40) and [order(x.asDict()) for x in index.collect()] == keys
+    assert index.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_archives_are_cut_by_bytes(spark, scratch):
+    """Large pages that stand together do not fill one file; a page above the limit has a file of its own."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.when(
+        F.col("id").between(1000, 1030), F.repeat(F.lit("x"), 90_000)).when(F.col("id") == 2000, F.repeat(F.lit("y"), 400_000)).otherwise(F.repeat(F.lit("z"), 500)).alias("html"))
+    rows, path = captures(pages.coalesce(1), scratch, 10**9), scratch.path("warc")
+    write_archives(rows, path, 200_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert sorted(sizes)[-2] <= 200_000 < sorted(sizes)[-1] < 402_000 and len(sizes) > 30
+    assert capture_index(spark, path, scratch).count() == 3000
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 8])

@@ -7,8 +7,6 @@ hashes wherever they stand.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,24 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.sources.shared import remove, shared_folder
+
 #: Most rows a table may have to be broadcast by hint; rows here are a few longs, so this is some tens of megabytes.
 BROADCAST_ROWS = 500_000
+#: Bytes of a row group of scratch tables: writers of wide rows hold one per core.
+ROW_GROUP = 16 << 20
 #: Text bytes that are hashed at once; a longer text is hashed alone and whole.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of its own only for a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tributary-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 #: Rows and bytes of an Arrow batch between Spark and Python, where the session names none: texts are long, so fewer than usual.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
@@ -51,7 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         bounded_batches(spark)
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.spark, self.root = spark, shared_folder(spark)
         self.paths: dict[str, list[str]] = {}
         self.made = 0
 
@@ -66,13 +56,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
         path = self.path(name)
         self.paths.setdefault(name, []).append(path)
-        df.write.parquet(path, partitionBy=partitions)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path, partitionBy=partitions)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for path in [p for name in names for p in self.paths.pop(name, [])]:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(self.spark, path)
 
     def keep(self, *names: str) -> None:
         """Drops all other tables."""
@@ -118,20 +107,19 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return space, lower
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Values that are hashed at once: tables of powers and what is summed up in between have this size, whatever the length of a text.
+HASH_BLOCK = 1 << 16
 
 
-def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """step**i and step**-i modulo 2**64 for i up to n."""
-    if step not in _POWERS or len(_POWERS[step][0]) <= n:
-        size, both = 1 << max(16, n.bit_length()), []
-        for base in (step, pow(step, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS[step] = tuple(both)
-    up, down = _POWERS[step]
-    return up, down
+@cache
+def powers(step: int) -> tuple[np.ndarray, np.ndarray]:
+    """step**i and step**-i modulo 2**64 for i below HASH_BLOCK."""
+    both = []
+    for base in (step, pow(step, -1, 1 << 64)):
+        x = np.full(HASH_BLOCK, base, np.uint64)
+        x[0] = 1
+        both.append(np.cumprod(x, dtype=np.uint64))
+    return both[0], both[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,12 +132,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
-    """A hash of values[start:end], the same wherever the range stands."""
-    up, down = powers(step, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:], dtype=np.uint64)
-    return mix((sums[end] - sums[start]) * down[start])
+def ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: int, table: np.ndarray | None = None) -> np.ndarray:
+    """A hash of values[start:end], the same wherever the range stands; starts and ends ascend. With ``table`` the values are its entries at
+    ``values``. Sums run block by block and only stay where a range begins or ends."""
+    up, down = powers(step)
+    places, sums = (start, end), (np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64))
+    total = np.uint64(0)
+    for begin in range(0, len(values), HASH_BLOCK):
+        part = values[begin:begin + HASH_BLOCK]
+        scale = np.uint64(pow(step, begin, 1 << 64))
+        part = np.cumsum((part if table is None else table[part]) * up[: len(part)], dtype=np.uint64) * scale + total
+        for at, out in zip(places, sums, strict=True):
+            f, t = np.searchsorted(at, (begin + 1, begin + len(part) + 1))
+            out[f:t] = part[at[f:t] - begin - 1]
+        total = part[-1]
+    back = np.array([pow(step, -i, 1 << 64) for i in range(0, len(values) + 1, HASH_BLOCK)], np.uint64)
+    return mix((sums[1] - sums[0]) * down[start % HASH_BLOCK] * back[start // HASH_BLOCK])
 
 
 class Words:
@@ -164,16 +162,20 @@ class Words:
         space, lowered = byte_tables()
         self.data = data = lowered[data] if lower else data
         ink = ~space[data]
-        begins, ends = ink.copy(), ink.copy()
+        edge = ink.copy()
         if len(data):
-            begins[1:] &= ~ink[:-1]
-            ends[:-1] &= ~ink[1:]
             full = np.flatnonzero(offsets[1:] > offsets[:-1])
-            begins[offsets[full]] = ink[offsets[full]]
-            ends[offsets[full + 1] - 1] = ink[offsets[full + 1] - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            edge[1:] &= ~ink[:-1]
+            edge[offsets[full]] = ink[offsets[full]]
+            self.start = np.flatnonzero(edge)
+            edge[:] = ink
+            edge[:-1] &= ~ink[1:]
+            edge[offsets[full + 1] - 1] = ink[offsets[full + 1] - 1]
+        else:
+            self.start = np.empty(0, np.int64)
+        self.end = np.flatnonzero(edge) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hashes = ranges(byte_values()[data], self.start, self.end, WORD_STEP)
+        self.hashes = ranges(data, self.start, self.end, WORD_STEP, byte_values())
 
     def windows(self, n: int, step: int = WINDOW_STEP) -> tuple[np.ndarray, np.ndarray]:
         """Starts (as words of all texts) of windows of ``n`` words that stay in one text, and their hashes."""
@@ -183,11 +185,20 @@ class Words:
         return starts, ranges(self.hashes, starts, starts + n, step)
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch of about ``limit`` text bytes, null texts as empty ones."""
+def text_rows(docs: DataFrame, text_col: str, carry: list[str] | None) -> DataFrame:
+    """Column row (a struct of the columns ``carry``, default all) and, unless row holds it, text: Python reads a text that is carried
+    along anyway out of row (see ``chunks``), so it is sent once."""
+    row = F.struct(*carry) if carry else F.struct("*")
+    return docs.select(row.alias("row"), *([] if not carry else [F.col(text_col).alias("text")]))
+
+
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES, inside: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of about ``limit`` text bytes, null texts as empty ones. Where the batch has no column ``text``, it is the field
+    ``inside`` of row."""
     at = batch.schema.get_field_index(text)
-    column = batch.column(at).cast(pa.large_string()).fill_null("")
-    batch = batch.set_column(at, pa.field(text, pa.large_string()), column)
+    column = batch.column(at) if at >= 0 else pa.compute.struct_field(batch.column("row"), [[f.name for f in batch.schema.field("row").type].index(inside)])
+    column = column.cast(pa.large_string()).fill_null("")
+    batch = batch.set_column(at, pa.field(text, pa.large_string()), column) if at >= 0 else batch.append_column(pa.field(text, pa.large_string()), column)
     sizes = np.cumsum(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), np.int64)) if len(column) else np.empty(0, np.int64)
     begin = 0
     while begin < len(column):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import SEED, bounded_batches, chunks, mix
+from tributary.llm.common import SEED, bounded_batches, chunks, mix, text_rows
 
 #: Training texts per language, the characters that one has at most, and from how many places of a longer text they come. Everything
 #: else sees whole texts of all rows.
@@ -23,7 +23,7 @@ SEQUENCES, STEPS, SPAN, ROUNDS, RATE, DECAY = 1_500, 64, 20, 30, 0.5, 1e-4
 #: Hash buckets of affixes and n-grams (of up to GRAM bytes), and how often a word must occur to enter the lexicon.
 BUCKETS, GRAM, LEXICON = 1 << 16, 4, 2
 #: Distinct words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 
 
@@ -209,11 +209,11 @@ def training_texts(docs: DataFrame, usable, id_col: str, text_col: str, lang_col
     return [(r.text, r.lang) for r in found.orderBy("lang", "r").select("text", "lang").collect()]
 
 
-def language_rows(crf: Crf, with_words: bool):
+def language_rows(crf: Crf, with_words: bool, text_col: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*crf.languages, UNKNOWN], object)
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text", 1 << 20, text_col):
                 at, counts, words = crf.rows(part.column("text").to_pylist())
                 p = crf.marginals(at, counts)
                 total = np.zeros((len(part), max(1, p.shape[1])))
@@ -222,35 +222,42 @@ def language_rows(crf: Crf, with_words: bool):
                     total[full] = summed(p.astype(np.float64), counts[full]) / counts[full, None]
                 best = np.where(full, total.argmax(1), len(crf.languages)) if crf.languages else np.zeros(len(part), int)
                 score = np.where(full, np.clip(total.max(1), 0, 1), 0.0)
-                out = [part.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+                sure = np.zeros(len(part))
+                if full.any():
+                    even = 1 / len(crf.languages)
+                    top = summed(p.max(1, keepdims=True).astype(np.float64), counts[full])[:, 0] / counts[full]
+                    sure[full] = np.clip((top - even) / (1 - even), 0, 1) if len(crf.languages) > 1 else 1.0
+                out = [part.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(sure)]
                 if with_words:
                     tags = names[p.argmax(1)] if len(p) else np.full(int(counts.sum()), UNKNOWN, object)
                     ends = np.cumsum(counts)
                     spoken = [[w for w in ws if crf.place[w] >= 0] for ws in words]
                     out.append(pa.array([[{"word": w, "lang": g} for w, g in zip(ws, tags[e - c:e], strict=True)] for ws, e, c in zip(spoken, ends, counts, strict=True)],
                                         pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string())]))))
-                yield pa.record_batch(out, names=["row", "lang_pred", "score", "words"][: len(out)])
+                yield pa.record_batch(out, names=["row", "lang_pred", "score", "certainty", "words"][: len(out)])
     return rows
 
 
 def identified(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                carry: list[str] | None = None, with_words: bool = False) -> DataFrame:
-    """row (the columns ``carry``, default all), lang_pred, score and, if asked for, words with the language of each.
+    """row (the columns ``carry``, default all), lang_pred, score, certainty and, if asked for, words with the language of each.
 
     The field learns from rows that the condition ``usable`` takes; predictions use the text alone. lang_pred is the language with
-    the largest mean probability over the text's words, score that mean; a null text or one without a letter is ``und`` with score 0,
-    and so is everything when nothing can be learnt. Null ids, repeated rows and other columns are carried along; an empty table
+    the largest mean probability over the text's words, score that mean. certainty is the mean over the words of their likeliest
+    language's probability, from 0 where all languages are as likely to 1: it is high in a text whose words are clear, also
+    if they are of several languages. A null text or one without a letter is ``und`` with score and certainty 0, and so is
+    everything when nothing can be learnt; with one language every word is certain. Null ids, repeated rows and other columns are carried along; an empty table
     gives an empty result. Scoring needs no shuffle; the model's size is fixed by its parameters.
     """
     bounded_batches(docs.sparkSession)
     crf = fit(training_texts(docs, usable, id_col, text_col, lang_col))
-    rows = docs.select((F.struct(*carry) if carry else F.struct("*")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fields = [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    rows = text_rows(docs, text_col, carry)
+    fields = [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())]
     if with_words:
         fields.append(T.StructField("words", T._parse_datatype_string("array<struct<word:string,lang:string>>")))
-    return rows.mapInArrow(language_rows(crf, with_words), T.StructType(fields))
+    return rows.mapInArrow(language_rows(crf, with_words, text_col), T.StructType(fields))
 
 
 def held_out(id_col: str = "doc_id"):
-    """Documents that never train: a third, by checksum of the id."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
+    """Documents that never train: a third, by checksum of the id, and those without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import Scratch, chunks, small
+from tributary.llm.common import Scratch, chunks, small, text_rows
 
 #: Labelled documents that the models are fitted on, by their whole texts. Scoring sees whole texts of all rows.
 SAMPLE = 6_000
@@ -23,7 +23,7 @@ SAMPLE = 6_000
 #: TELLING (one in a thousand by chance). Folds of the chain.
 FEATURES, FREQUENT, TELLING, FOLDS = 600, 3, 10.83, 3
 #: Rounds, step and weight decay of the fit. Distinct tokens that a worker remembers. Probability from which a category holds.
-ROUNDS, RATE, DECAY, REMEMBERED, THRESHOLD = 200, 0.5, 1e-4, 400_000, 0.5
+ROUNDS, RATE, DECAY, REMEMBERED, THRESHOLD = 200, 0.5, 1e-4, 100_000, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the affixes of a word that are features beside it.
 AFFIXES = range(3, 7)
@@ -194,10 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str, text_
     return Chain(list(categories), presence, models)
 
 
-def chain_rows(model: Chain):
+def chain_rows(model: Chain, text_col: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", inside=text_col):
                 p = model.probabilities(part.column("text").to_pylist())
                 yield pa.record_batch([part.column("row"), *(pa.array(c) for c in p.T)], names=["row", *(f"p_{c}" for c in model.categories)])
     return rows
@@ -216,6 +216,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str =
     """
     scratch = Scratch(docs.sparkSession)
     model = fit(docs, labels, categories, id_col, text_col, scratch, sample)
-    rows = docs.select((F.struct(*carry) if carry else F.struct("*")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(chain_rows(model), T.StructType([rows.schema["row"], *(T.StructField(f"p_{n}", T.DoubleType()) for n in categories)]))
+    rows = text_rows(docs, text_col, carry)
+    scored = rows.mapInArrow(chain_rows(model, text_col), T.StructType([rows.schema["row"], *(T.StructField(f"p_{n}", T.DoubleType()) for n in categories)]))
     return scored.select("*", *((F.col(f"p_{n}") >= THRESHOLD).alias(n) for n in categories))

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.llm.common import Scratch, small
 
-#: Shorter payloads are never revisits. Payload bytes meant for one archive file. Captures in one range of the merged index.
-LEAST_BYTES, FILE_BYTES, RANGE_ROWS = 1000, 32 << 20, 200_000
-#: Captures of a run that travel in one row; sampled captures per range for the borders.
-SLICE, SAMPLED = 5_000, 20
+#: Shorter payloads are never revisits. Most bytes of an archive file, unless one record has more. Captures in one range of the index.
+LEAST_BYTES, FILE_BYTES, RANGE_ROWS = 1000, 32 << 20, 50_000
+#: Records and captures in one batch.
+SLICE = 5_000
 #: Fixed values of the format.
 VERSION, END, PROFILE = "WARC/1.1", "\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -60,11 +60,28 @@ def record(row: DataFrame) -> Column:
     return F.concat(head, block)
 
 
-def write_archives(rows: DataFrame, path: str) -> None:
-    """WARC files of ``captures`` rows; the records of each file are sorted by URL key, time and page."""
-    mean = rows.agg(F.avg("payload_bytes")).first()[0] or 1.0
-    rows.sortWithinPartitions("urlkey", "date", "page_id").select(record(rows).alias("value")).write.option("lineSep", END).option(
-        "maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 500)))).text(path)
+def slot_rows(most: int):
+    """Numbers the files of a task: a record that would take a file beyond ``most`` bytes begins the next one."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held = 0, 0
+        for batch in batches:
+            slots = []
+            for size in pa.compute.binary_length(batch.column("value").cast(pa.large_string())).to_pylist():
+                if held and held + size + len(END) > most:
+                    slot, held = slot + 1, 0
+                held += size + len(END)
+                slots.append(slot)
+            yield pa.record_batch([*batch.columns, pa.array(slots, pa.int32())], names=[*batch.schema.names, "slot"])
+    return rows
+
+
+def write_archives(rows: DataFrame, path: str, most: int = FILE_BYTES) -> None:
+    """WARC files of ``captures`` rows, of at most ``most`` bytes each unless a single record has more; the records of each file are sorted
+    by URL key, time and page. Records are dealt to files as tasks read them, so nothing is shuffled."""
+    order = ["urlkey", "date", "page_id"]
+    made = rows.select(record(rows).alias("value"), *order)
+    dealt = made.mapInArrow(slot_rows(most), T.StructType([*made.schema.fields, T.StructField("slot", T.IntegerType())]))
+    dealt.sortWithinPartitions("slot", *order).select("value", "slot").write.partitionBy("slot").option("lineSep", END).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -82,10 +99,10 @@ def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + len(mark)
 
 
-CAPTURE = pa.struct([("urlkey", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()),
-                     ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("offset", pa.int64())])
-CAPTURE_DDL = ("struct<urlkey:string,date:string,page_id:long,payload_bytes:long,payload_digest:string,record_type:string,"
-               "refers_to:long,offset:long>")
+CAPTURE = pa.schema([("urlkey", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+                     ("record_type", pa.string()), ("refers_to", pa.int64()), ("offset", pa.int64()), ("file", pa.string())])
+CAPTURE_DDL = ("urlkey string, date string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+               "offset long, file string")
 
 
 def page_number(uri: str) -> int | None:
@@ -99,41 +116,25 @@ def order(capture: dict) -> tuple:
     return capture["urlkey"], capture["date"], page is not None, page or 0
 
 
-def run_rows(borders: list[tuple]):
-    """Each archive as a sorted run, cut at the borders of the index ranges into slices of bounded length."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield from sliced(path, data)
-
-    def sliced(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[dict]] = {}
-        number = 0
-
-        def out(part: int) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([number], pa.int32()),
-                                    pa.array([found.pop(part)], pa.list_(CAPTURE))], names=["part", "run", "number", "captures"])
-
-        for at, fields, block in records(data):
-            http, payload = block.split(END.encode(), 1)
-            size = int(http.rsplit(b"Content-Length: ", 1)[1])
-            digest, target = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields.get("WARC-Refers-To")
-            if target is None and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                raise ValueError(f"{path}: the payload at byte {at} is not what was written")
-            one = {"urlkey": fields["URL-Key"], "date": fields["WARC-Date"], "page_id": page_number(fields["WARC-Record-ID"]),
-                   "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"],
-                   "refers_to": page_number(target) if target else None, "offset": at}
-            part = bisect.bisect_right(borders, order(one))
-            found.setdefault(part, []).append(one)
-            if len(found[part]) == SLICE:
-                yield out(part)
-                number += 1
-        for part in sorted(found):
-            yield out(part)
-            number += 1
-
-    return rows
+def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The captures of each archive, a sorted run, read back from its records."""
+    for batch in batches:
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            file, found = "/".join(path.split("/")[-2:]), []
+            for at, fields, block in records(data):
+                http, payload = block.split(END.encode(), 1)
+                size = int(http.rsplit(b"Content-Length: ", 1)[1])
+                digest, target = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields.get("WARC-Refers-To")
+                if target is None and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                    raise ValueError(f"{path}: the payload at byte {at} is not what was written")
+                found.append({"urlkey": fields["URL-Key"], "date": fields["WARC-Date"], "page_id": page_number(fields["WARC-Record-ID"]),
+                              "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"],
+                              "refers_to": page_number(target) if target else None, "offset": at, "file": file})
+                if len(found) == SLICE:
+                    yield pa.RecordBatch.from_pylist(found, schema=CAPTURE)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=CAPTURE)
 
 
 class LoserTree:
@@ -179,57 +180,27 @@ class LoserTree:
 
 
 def merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Captures of each range in order. Slices come sorted by range, run and number; slices of a run follow each other."""
-
-    def merged(slices: list[tuple[str, list[dict]]]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[dict]] = {}
-        for path, captures in slices:
-            for one in captures:
-                one["file"] = path.rsplit("/", 1)[-1]
-            runs.setdefault(path, []).extend(captures)
-        out: list[dict] = []
-        for one in LoserTree(list(runs.values())):
-            out.append(one)
-            if len(out) == SLICE:
-                yield pa.RecordBatch.from_pylist(out, schema=MERGED)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=MERGED)
-
-    current, slices = None, []
-    for batch in batches:
-        for part, path, captures in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), batch.column("captures").to_pylist(), strict=True):
-            if part != current and slices:
-                yield from merged(slices)
-                slices = []
-            current = part
-            slices.append((path, captures))
-    if slices:
-        yield from merged(slices)
+    """The captures of one range in order. Its rows come run by run; the tree merges their keys, and the rows are taken in its order."""
+    table = pa.Table.from_batches(batches, schema=CAPTURE)
+    keys = [{"urlkey": u, "date": d, "page_id": p, "at": i} for i, (u, d, p) in enumerate(zip(*(table.column(c).to_pylist() for c in ("urlkey", "date", "page_id")), strict=True))]
+    runs: dict[str, list[dict]] = {}
+    for file, one in zip(table.column("file").to_pylist(), keys, strict=True):
+        runs.setdefault(file, []).append(one)
+    places = pa.array([one["at"] for one in LoserTree(list(runs.values()))], pa.int64())
+    yield from table.take(places).combine_chunks().to_batches(max_chunksize=SLICE)
 
 
-MERGED = pa.schema([*CAPTURE, ("file", pa.string())])
-MERGED_DDL = CAPTURE_DDL.removeprefix("struct<").removesuffix(">").replace(":", " ") + ", file string"
-
-
-def capture_index(spark, path: str, borders: list[tuple]) -> DataFrame:
+def capture_index(spark, path: str, scratch: Scratch, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all archives under ``path``, globally ordered by URL key, time and page.
 
-    Every archive is a sorted run. Runs are cut at ``borders`` into slices, slices of one range meet in one task, and a
-    loser tree merges them; ranges follow each other, so nothing is sorted again.
+    Every archive is a sorted run. The captures, without payloads, are dealt to ranges of about ``range_rows``; in each range the parts of
+    the runs are merged by a loser tree; ranges follow each other. A task holds one file, or one range of captures.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    slices = files.mapInArrow(run_rows(borders), f"part int, run string, number int, captures array<{CAPTURE_DDL}>")
-    dealt = slices.repartitionByRange(len(borders) + 1, "part").sortWithinPartitions("part", "run", "number")
-    return dealt.mapInArrow(merged_rows, MERGED_DDL)
-
-
-def range_borders(rows: DataFrame) -> list[tuple]:
-    """Borders of index ranges of about RANGE_ROWS captures, from a sample of SAMPLED captures per range. They only steer the load."""
-    parts = max(1, -(-rows.count() // RANGE_ROWS))
-    sample = rows.select("urlkey", "date", "page_id").orderBy(F.xxhash64("urlkey", "date", "page_id")).limit(SAMPLED * parts).collect() if parts > 1 else []
-    keys = sorted(order(r.asDict()) for r in sample)
-    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+    runs = scratch.save(files.mapInArrow(run_rows, CAPTURE_DDL), "runs")
+    ranges = max(1, -(-runs.count() // range_rows))
+    dealt = runs.repartitionByRange(ranges, "urlkey", "date", "page_id", "file").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(merged_rows, CAPTURE_DDL)
 
 
 def archived(pages: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> DataFrame:
@@ -243,4 +214,4 @@ def archived(pages: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> Da
     rows = captures(pages, scratch, least)
     path = scratch.path("warc")
     write_archives(rows, path)
-    return capture_index(pages.sparkSession, path, range_borders(rows))
+    return capture_index(pages.sparkSession, path, scratch)
