@@ -17,18 +17,19 @@ from tributary.llm.packing import packed
 from tributary.llm.queries import TOKENIZER
 from tributary.llm.substring import without_repeats
 
-#: A document stays if its language has at least this mean probability over its words.
-LEAST_SCORE = 0.3
+#: A document stays if its words are at least this certain, on average, of whatever language each of them is.
+LEAST_CERTAINTY = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: a text without letters, or one that no language fits, goes."""
+    """Documents with a language: a text without letters goes, and one whose words no language fits better than the others. Text in
+    several languages stays. Null and empty texts go; repeated rows and null ids are judged alike; an empty table stays empty."""
     found = identified(docs, ~held_out())
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("certainty") >= LEAST_CERTAINTY)).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, with the largest doc_id."""
+    """Of equal texts one row, with the largest doc_id (of null ids or repeated rows one). Null texts are empty ones."""
     return drop_exact(docs, Scratch(spark))
 
 
@@ -45,14 +46,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated 35-word windows, their other words joined by one space; texts without any stay as they are."""
+    """Texts without repeated 35-word windows, their other words joined by one space; texts without any stay as they are, null ones
+    become empty. Rows with null ids are cleaned like others; an empty table stays empty."""
     found = without_repeats(docs, Scratch(spark), carry=[c for c in docs.columns if c != "text"], as_is=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
     return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens; a null or empty text is one token, and so is its piece. Repeated rows
+    and null ids are packed like others; an empty table gives no pieces."""
     return packed(docs, TOKENIZER, carry=["doc_id"]).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
