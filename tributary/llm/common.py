@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,10 +197,10 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES, inside: s
     """Pieces of a batch of about ``limit`` text bytes, null texts as empty ones. Where the batch has no column ``text``, it is the field
     ``inside`` of row."""
     at = batch.schema.get_field_index(text)
-    column = batch.column(at) if at >= 0 else pa.compute.struct_field(batch.column("row"), [[f.name for f in batch.schema.field("row").type].index(inside)])
+    column = batch.column(at) if at >= 0 else pc.struct_field(batch.column("row"), [[f.name for f in batch.schema.field("row").type].index(inside)])
     column = column.cast(pa.large_string()).fill_null("")
     batch = batch.set_column(at, pa.field(text, pa.large_string()), column) if at >= 0 else batch.append_column(pa.field(text, pa.large_string()), column)
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), np.int64)) if len(column) else np.empty(0, np.int64)
+    sizes = np.cumsum(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), np.int64)) if len(column) else np.empty(0, np.int64)
     begin = 0
     while begin < len(column):
         base = sizes[begin - 1] if begin else 0

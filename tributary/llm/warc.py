@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,7 @@ def slot_rows(most: int):
         slot, held = 0, 0
         for batch in batches:
             slots = []
-            for size in pa.compute.binary_length(batch.column("value").cast(pa.large_string())).to_pylist():
+            for size in pc.binary_length(batch.column("value").cast(pa.large_string())).to_pylist():
                 if held and held + size + len(END) > most:
                     slot, held = slot + 1, 0
                 held += size + len(END)
