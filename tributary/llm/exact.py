@@ -1,21 +1,26 @@
-"""Exact duplicates by an extendible-hash index in the shared folder. DataFrame functions only."""
+"""Exact duplicates by an extendible-hash index in the shared folder. DataFrame functions only.
+
+The directory maps the leading bits of a key to a bucket, so a bucket is a range of keys; it doubles until no bucket holds too many. Each
+bucket belongs to one task. That task sorts its entries by key and text and walks along the chain of each key, comparing whole
+texts. Texts reach it pre-aggregated, a few rows for each distinct one, however many rows share it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch, one_of_each, small
 
-#: Distinct keys that a bucket of the index holds before it splits.
-CAPACITY = 16_384
+#: Distinct keys that a bucket of the index holds before it splits. Rows of one text that reach its bucket, at most.
+CAPACITY, SALTS = 256, 8
 #: Longest prefix of a 64-bit key.
 KEY_BITS = 64
 
 
 def slot(key, depth: int):
     """The directory slot of a key: its top ``depth`` bits."""
-    return F.shiftrightunsigned(key, KEY_BITS - depth) if depth else F.lit(0).cast("long")
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, KEY_BITS - max(depth, 1)), int(not depth))
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -46,15 +51,28 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.select("slot", F.lit(depth).alias("global_depth"), "local_depth", "bucket", "keys")
 
 
+def owned(entries: DataFrame) -> DataFrame:
+    """The groups of equal texts of ``entries`` (bucket, key, text, id): bucket, key, text, keep_id, group_size.
+
+    A text's rows are added up map-side, then to at most SALTS rows, then its bucket's task meets them: entries of a key form a
+    chain in the order of their texts, and one that differs from its predecessor begins a new group.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    few = entries.groupBy("bucket", "key", "text", salt).agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    chain = Window.partitionBy("bucket", "key").orderBy("text", "salt")
+    begins = (F.lag("text").over(chain).isNull() | (F.lag("text").over(chain) != F.col("text"))).cast("int")
+    links = few.repartition("bucket").withColumn("begins", begins).withColumn("link", F.sum("begins").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    return links.groupBy("bucket", "key", "link").agg(F.min("text").alias("text"), F.max("top").alias("keep_id"), F.sum("n").alias("group_size")).drop("link")
+
+
 def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", key=None,
             capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
     """Columns row (all columns of ``docs``), id, keep_id, group_size and text of every row: first the rows whose key occurs once, then
     the others; see ``exact_groups``.
 
     Keys are counted with map-side sums and only keys that occur twice enter the index, each in the bucket of its directory slot.
-    The text of a row moves only if its key is in the index; owner tasks aggregate by (bucket, key, text), so a text that a
-    third of all rows share arrives as one row per map task, and matches compare whole texts. Groups are written before rows are
-    joined with them, so that adaptive execution may split the rows of a frequent text.
+    The text of a row moves only if its key is in the index. Groups are written by their buckets before rows are joined with
+    them, so that adaptive execution may split the rows of a frequent text.
     """
     key = key or F.xxhash64
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -66,7 +84,7 @@ def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     index = small(scratch.save(index, "index"))
     chained = rows.join(index, "key")
     same = ["bucket", "key", "text"]
-    owners = scratch.save(chained.groupBy(*same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "owners")
+    owners = scratch.save(owned(chained), "owners")
     found = chained.join(owners, same).select("row", "id", "keep_id", "group_size", "text")
     single = rows.join(index, "key", "left_anti").select("row", "id", F.col("id").alias("keep_id"),
                                                          F.lit(1).cast("long").alias("group_size"), "text")
