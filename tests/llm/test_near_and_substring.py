@@ -37,6 +37,17 @@ def test_repeated_windows(documents, scratch, seed, window, anchor):
     assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in out} == brute.kept_words(pairs, window)
 
 
+@pytest.mark.parametrize("labels", [0, 2])
+def test_spans_are_checked_where_labels_agree_by_chance(documents, scratch, labels):
+    """Paths of the same anchors with other words between them: their links are cut and their windows counted."""
+    r = random.Random(7)
+    say = lambda n: [f"w{r.randrange(900)}" for _ in range(n)]
+    left, right = say(14), say(14)
+    pairs = corpus(5, copies=12) + [(1000 + i, " ".join(say(40) + left + (["same"] * 20 if i < 2 else say(20)) + right + say(40))) for i in range(6)]
+    out = without_repeats(documents(pairs), scratch, carry=["doc_id"], labels=labels).collect()
+    assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in out} == brute.kept_words(pairs, 35)
+
+
 @pytest.mark.parametrize("seed, shingle", [(1, 4), (2, 5), (3, 2)])
 def test_components(documents, scratch, seed, shingle):
     pairs = corpus(seed)

@@ -4,9 +4,11 @@ Anchors are k-mers of words that have the smallest hash of all k-mers of some wi
 both times. Successive anchors of a text are the edges of a De Bruijn graph, labelled with the words between. Anchors that occur
 once leave the graph. A link between two anchors is nonbranching when all occurrences of both agree on it. Joins find such links
 and bring them to the occurrences of their anchors; all occurrences of a linked anchor follow the same anchors up to the first one of the
-path, so each text then holds its paths (unitigs) whole and compacts them by itself. In a unitig every window is repeated; all other windows over a
-repeated anchor go to an exact count, by 96-bit hashes and with their source coordinates. Those never equal a window inside a unitig:
-both would hold the same anchor, and all occurrences of a linked anchor agree on what surrounds it.
+path, so each text then holds its paths (unitigs) whole and compacts them by itself. In a unitig every window is repeated: every place
+of it is checked against the others by a 128-bit hash of its whole span, and links whose spans differ anywhere (labels are 64 bits)
+are cut. All other windows over a repeated anchor go to an exact count, by 96-bit hashes and with their source coordinates. Those
+never equal a window inside a unitig: both would hold the same anchor, and all occurrences of a linked anchor agree on
+what surrounds it.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ class Sampled:
         self.anchors = np.flatnonzero((cover == self.kmers) & (self.kmers != TOP) & (cover > 0))
 
 
-def anchor_rows(window: int, anchor: int):
+def anchor_rows(window: int, anchor: int, labels: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -67,7 +69,7 @@ def anchor_rows(window: int, anchor: int):
                 after = np.where(follows, np.roll(at, -1), -1)
                 out = np.zeros(len(at), np.uint64)
                 if follows.any():
-                    out[follows] = ranges(words.hashes, at[follows], after[follows] + anchor, SECOND_STEP)
+                    out[follows] = ranges(words.hashes, at[follows], after[follows] + anchor, SECOND_STEP) & np.uint64((1 << labels) - 1) | np.uint64(1)
                 base = words.first[doc]
                 yield pa.record_batch([part.column("r1").take(pa.array(doc)), part.column("r2").take(pa.array(doc)),
                                        pa.array((at - base).astype(np.int32)), pa.array(np.where(follows, after - base, -1).astype(np.int32)),
@@ -96,7 +98,7 @@ class Candidates:
         before = np.concatenate([[False], joined[:-1]]) if len(at) else joined
         begin, end = at[np.flatnonzero(joined & ~before)], at[np.flatnonzero(~joined & before)] + anchor
         long = end - begin >= window
-        self.inner = begin[long], end[long]
+        self.inner, self.heads = (begin[long], end[long]), sampled.kmers[begin[long]]
         inside = np.zeros(n + 1, np.int64)
         np.add.at(inside, begin[long], 1)
         np.add.at(inside, end[long] - window + 1, -1)
@@ -111,21 +113,27 @@ class Candidates:
 
 
 def window_rows(window: int, anchor: int):
-    """Windows to be counted: the text's number, the first word, and 96 bits of hash."""
+    """Windows to be counted (span false): the text's number, the first word, and 96 bits of hash as k1 and k2. Places of unitigs (span true):
+    the same, with the hash of the first anchor as k1 and 128 bits of the whole span as v1 and v2."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 found = Candidates(part, window, anchor)
-                starts, words = found.starts, found.words
+                starts, words, (begin, end) = found.starts, found.words, found.inner
                 one, two = (ranges(words.hashes, starts, starts + window, x) for x in (SECOND_STEP, SECOND_STEP + 8))
-                yield pa.record_batch([part.column("rid").take(pa.array(found.doc)), pa.array((starts - words.first[found.doc]).astype(np.int32)),
-                                       pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                                      names=["rid", "start", "w1", "w2"])
+                whole = [ranges(words.hashes, begin, end, x).view(np.int64) for x in (SECOND_STEP + 16, SECOND_STEP + 24)]
+                doc = np.concatenate([found.doc, np.searchsorted(words.first, begin, side="right") - 1])
+                at = np.concatenate([starts, begin])
+                none, span = np.zeros(len(starts), np.int64), np.arange(len(at)) >= len(starts)
+                keys = [one.view(np.int64), (two >> np.uint64(32)).astype(np.int64)], [found.heads.view(np.int64), np.zeros(len(begin), np.int64)]
+                yield pa.record_batch([part.column("rid").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(span),
+                                       *(pa.array(np.concatenate(x)) for x in zip(*keys, strict=True)), *(pa.array(np.concatenate([none, x])) for x in whole)],
+                                      names=["rid", "start", "span", "k1", "k2", "v1", "v2"])
     return rows
 
 
-WINDOW_SCHEMA = "rid long, start int, w1 long, w2 int"
+WINDOW_SCHEMA = "rid long, start int, span boolean, k1 long, k2 long, v1 long, v2 long"
 
 
 def without(part: pa.RecordBatch, words: Words, gone: np.ndarray, as_is: bool) -> pa.RecordBatch:
@@ -208,35 +216,49 @@ def linked(nodes: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-                    window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
+                    window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, as_is: bool = False,
+                    labels: int = 64) -> DataFrame:
     """Columns row (the columns ``carry`` of ``docs``, default all), n_words, n_removed and kept (the other words, joined by one space;
     with ``as_is`` a text that loses none is kept as it is).
 
     A word goes when a window of ``window`` words that covers it also starts elsewhere, in the same text or another one.
     Null and empty texts have no words; shorter texts have no window; all occurrences go, the first one too; equal rows
     each lose all they share; null ids and other columns of any name are carried along; an empty table gives an empty result.
+    ``labels`` is the number of bits that tell edges apart before their spans are checked; fewer change the work, not the result.
     """
     scratch = scratch.fresh()
     rows = keyed(docs, text_col, [id_col], carry)
-    anchors = scratch.save(rows.select("text", "r1", "r2").mapInArrow(anchor_rows(window, anchor), ANCHOR_SCHEMA), "anchors")
+    anchors = scratch.save(rows.select("text", "r1", "r2").mapInArrow(anchor_rows(window, anchor, labels), ANCHOR_SCHEMA), "anchors")
     repeated = scratch.save(anchors.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    found = scratch.save(occurrences(anchors.join(small(repeated, 2_000_000), "h")), "occurrences")
+    found = scratch.save(occurrences(anchors.join(small(repeated), "h")), "occurrences")
     scratch.drop("anchors")
     steps = edges(found)
     nodes = scratch.save(steps.groupBy("h").agg(
         same("out").alias("out_same"), F.min("out").alias("out"), F.min("next_h").alias("next_h"),
         same("into").alias("into_same"), F.min("into").alias("into")), "nodes")
-    links = small(scratch.save(linked(nodes), "links"), 2_000_000).withColumn("linked", F.lit(True))
-    at = steps.join(links, "h", "left").select("r1", "r2", F.struct("pos", F.coalesce("linked", F.lit(False)).alias("linked")).alias("x"))
-    lists = at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors"))
-    lists = scratch.save(lists.withColumn("rid", F.monotonically_increasing_id()), "lists")  # numbers hold once written
-    scratch.keep("lists")
-    keys = small(lists.select("r1", "r2"))
-    touched = rows.join(keys, ["r1", "r2"], "left_semi")
-    windows = touched.select("text", "r1", "r2").join(lists, ["r1", "r2"]).select("rid", "text", "anchors").mapInArrow(window_rows(window, anchor), WINDOW_SCHEMA)
-    once = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("start").alias("start")).where("n = 1")
-    once = once.groupBy("rid").agg(F.collect_list("start").alias("once"))
+    links = scratch.save(linked(nodes), "links")
+    scratch.drop("repeated", "nodes")
+    while True:
+        at = steps.join(small(links).withColumn("linked", F.lit(True)), "h", "left")
+        at = at.select("r1", "r2", F.struct("pos", "h", F.coalesce("linked", F.lit(False)).alias("linked")).alias("x"))
+        lists = at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors"))
+        lists = scratch.save(lists.withColumn("rid", F.monotonically_increasing_id()), "lists")  # numbers hold once written
+        keys = small(lists.select("r1", "r2"))
+        touched = rows.join(keys, ["r1", "r2"], "left_semi")
+        windows = touched.select("text", "r1", "r2").join(lists, ["r1", "r2"]).select("rid", "text", "anchors").mapInArrow(window_rows(window, anchor), WINDOW_SCHEMA)
+        sides = [f(c).alias(f"{f.__name__}_{c}") for c in ("v1", "v2") for f in (F.min, F.max)]
+        counted = windows.groupBy("span", "k1", "k2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("start").alias("start"), *sides)
+        differ = "span AND (n = 1 OR min_v1 <> max_v1 OR min_v2 <> max_v2)"
+        counted = scratch.save(counted.where(f"NOT span AND n = 1 OR {differ}"), "counted")
+        wrong = counted.where(differ).select("rid", "start")
+        if wrong.isEmpty():
+            break
+        # Labels that are equal by chance: the links of these paths go, and their windows are counted one by one.
+        inside = lists.join(wrong.dropDuplicates(["rid"]), "rid").select(F.explode("anchors").alias("x")).where("x.linked").select("x.h").distinct()
+        links = scratch.save(links.join(small(inside), "h", "left_anti"), "links")
+    once = counted.where("NOT span").groupBy("rid").agg(F.collect_list("start").alias("once"))
     marked = scratch.save(lists.join(once, "rid", "left").select("r1", "r2", "anchors", "once"), "marked")
+    scratch.keep("lists", "marked")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept", T.StringType())])
     found = touched.join(marked, ["r1", "r2"]).select("row", "text", "anchors", "once").mapInArrow(kept_rows(window, anchor, as_is), schema)
