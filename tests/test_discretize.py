@@ -106,7 +106,7 @@ def test_ranks(spark, range_rows):
     assert all(ordered[f.below] == f.value == ordered[f.upto - 1] and f.below <= i < f.upto for i, f in found.items())
 
 
-@pytest.mark.parametrize("range_rows", [None, 30, 3])
+@pytest.mark.parametrize("range_rows", [None, 30, 7])
 def test_scans_in_order(spark, range_rows):
     """Also where the ranges are so many that their summaries are cut into ranges themselves."""
     rng = random.Random(4)
