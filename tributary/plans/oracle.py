@@ -564,7 +564,7 @@ told AS (SELECT *, run IN ('always_click', 'sometimes_randomize_error', 'view')
 
 #: Queries whose result is that of another one, reached by another way.
 SAME = {"time_gaps_cut": "time_gaps", "change_points_cut": "change_points", "encoder_reload": "encoded_rows",
-        "manifest_roundtrip": "restored_split", "softmax_scores_spread": "softmax_scores", "gzip_csv": "io_roundtrip", "gzip_json_lines": "io_roundtrip"}
+        "manifest_roundtrip": "restored_split", "softmax_scores_spread": "softmax_scores", "gzip_csv": "io_roundtrip", "archive_member": "io_roundtrip", "gzip_json_lines": "io_roundtrip"}
 
 
 def oracle() -> dict[str, str]:

@@ -899,6 +899,14 @@ def gzip_csv(spark, sf_dir):
     return tables.read_events(spark, f"{folder}/csv", "csv", orders.schema, ";")
 
 
+def archive_member(spark, sf_dir):
+    """One member of an unpacked archive, delimited by semicolons, read beside another one with other columns."""
+    folder, orders = shared_folder(spark), table(spark, sf_dir, "orders").withColumn("o_orderdate", stamp(F.col("o_orderdate")))
+    orders.write.option("header", True).option("sep", ";").csv(f"{folder}/archive/trans.asc")
+    orders.select("o_custkey", "o_orderkey").write.option("header", True).option("sep", ";").csv(f"{folder}/archive/loan.asc")
+    return tables.read_events(spark, f"{folder}/archive/trans.asc", "csv", orders.schema, ";")
+
+
 def gzip_json_lines(spark, sf_dir):
     """Orders written as gzipped JSON lines and scanned into eight partitions."""
     folder, orders = shared_folder(spark), table(spark, sf_dir, "orders").withColumn("o_orderdate", stamp(F.col("o_orderdate")))
@@ -949,5 +957,5 @@ QUERIES = [
     parsed_runs, latest_runs, metric_summary, metric_pivot, benchmark_union, setup_first_rows, top_rows,
     io_roundtrip, metrics_append, time_gaps_cut, change_points_cut, encoder_reload, manifest_roundtrip, entity_layout,
     gzip_csv, gzip_json_lines, sample_sink, scored_label_sink, churn_rows, stored_manifests, all_results, latest_results,
-    time_gaps_by_text, last_event_of_a_day, class_table, group_mismatches, softmax_scores_spread,
+    time_gaps_by_text, last_event_of_a_day, class_table, group_mismatches, softmax_scores_spread, archive_member,
 ]
