@@ -26,6 +26,8 @@ from tributary.llm.common import SECOND_STEP, Scratch, Words, chunks, keyed, ran
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 35, 12
+#: Rows of one long each that a table may have to be broadcast: 16 MB. A larger one is joined by a shuffle.
+LONGS = 2_000_000
 TOP = np.uint64(2**64 - 1)
 
 
@@ -230,7 +232,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rows = keyed(docs, text_col, [id_col], carry)
     anchors = scratch.save(rows.select("text", "r1", "r2").mapInArrow(anchor_rows(window, anchor, labels), ANCHOR_SCHEMA), "anchors")
     repeated = scratch.save(anchors.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    found = scratch.save(occurrences(anchors.join(small(repeated), "h")), "occurrences")
+    found = scratch.save(occurrences(anchors.join(small(repeated, LONGS), "h")), "occurrences")
     scratch.drop("anchors")
     steps = edges(found)
     nodes = scratch.save(steps.groupBy("h").agg(
@@ -239,7 +241,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     links = scratch.save(linked(nodes), "links")
     scratch.drop("repeated", "nodes")
     while True:
-        at = steps.join(small(links).withColumn("linked", F.lit(True)), "h", "left")
+        at = steps.join(small(links, LONGS).withColumn("linked", F.lit(True)), "h", "left")
         at = at.select("r1", "r2", F.struct("pos", "h", F.coalesce("linked", F.lit(False)).alias("linked")).alias("x"))
         lists = at.groupBy("r1", "r2").agg(F.collect_list("x").alias("anchors"))
         lists = scratch.save(lists.withColumn("rid", F.monotonically_increasing_id()), "lists")  # numbers hold once written
