@@ -26,6 +26,12 @@ def brute_auc(rows, c):
     return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
 
 
+def test_overall_accuracy_is_one_more_line(spark):
+    table = spark.createDataFrame([(4, 10, 0.5), (5, 30, 0.25)], "col_id int, rows bigint, accuracy double")
+    assert sorted(map(tuple, E.with_overall(table).collect())) == [(-1, 0, 0.375), (4, 10, 0.5), (5, 30, 0.25)]
+    assert list(map(tuple, E.with_overall(table.limit(0)).collect())) == [(-1, 0, None)]
+
+
 @pytest.mark.parametrize("classes,digits,missing", [(2, 1, None), (3, 2, None), (4, 3, 1)])
 def test_auc(spark, classes, digits, missing):
     rows, df = scored(spark, 150, classes, classes, digits, missing)

@@ -40,6 +40,13 @@ def test_no_single_task_and_no_python(spark, name):
         assert word not in text, word
 
 
+def test_column_accuracy_reads_and_scores_the_events_once(spark):
+    found = queries.column_accuracy(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Five classes and two flags, and for each column whether the true class is preferred.
+    assert found.count("md5(") == 9
+    assert plan(queries.column_accuracy(spark, SF)).count("events.parquet") == 1
+
+
 def test_entry_and_names():
     own = {q.__name__ for q in queries.QUERIES}
     assert own <= set(entry.oracle_sql()) and own <= set(entry.queries())
