@@ -47,6 +47,12 @@ def test_column_accuracy_reads_and_scores_the_events_once(spark):
     assert plan(queries.column_accuracy(spark, SF)).count("events.parquet") == 1
 
 
+def test_softmax_check_takes_one_digest_per_class(spark):
+    found = queries.softmax_check(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Five classes and whether the true one is preferred, in the filter over all rows and for the rows it leaves.
+    assert found.count("md5(") <= 2 * 6
+
+
 def test_entry_and_names():
     own = {q.__name__ for q in queries.QUERIES}
     assert own <= set(entry.oracle_sql()) and own <= set(entry.queries())
