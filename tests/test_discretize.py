@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import connect, difference
-from tributary.operators import cumulative
+from tributary.operators import cumulative, discretize
 from tributary.operators.cumulative import RankedColumns, carried_forward, running_total
 from tributary.operators.discretize import BinEdges, MedianCodes, MedianTree, median_codes, stored_codes
 
@@ -67,6 +67,15 @@ def test_trees_of_any_depth(spark, values, depth, range_rows):
     assert isinstance(again, MedianTree) and again.splits("v") == fitted.splits("v")
 
 
+@pytest.mark.parametrize("range_rows,most", [(None, 4), (150, 13)])
+def test_levels_follow_what_one_task_cannot_hold(spark, monkeypatch, range_rows, most):
+    """1,000 values need eleven levels; those of at most ``range_rows`` values are finished at once."""
+    seen = []
+    monkeypatch.setattr(discretize, "Written", lambda df, make=discretize.Written: seen.append(make(df)) or seen[-1])
+    tree = MedianTree.fit(spark.range(1000).select(F.col("id").cast("double").alias("v")), ["v"], -1, range_rows)
+    assert len(seen) <= most and tree.nodes.count() == 1999
+
+
 def test_a_tree_codes_new_values_like_a_small_one(spark):
     """Values between and beyond the fitted ones; several columns, a leaf root and a null among them."""
     rng = random.Random(8)
