@@ -53,6 +53,20 @@ def test_softmax_check_takes_one_digest_per_class(spark):
     assert found.count("md5(") <= 2 * 6
 
 
+def test_softmax_check_scores_a_row_once_in_generated_code(spark):
+    found = queries.softmax_check(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Five classes and whether the true one is preferred: no filter below that makes the scores a second time, and none in a lambda.
+    assert found.count("md5(") == 6
+    assert not [line for line in found.splitlines() if "md5(" in line and "lambda" in line]
+
+
+def test_scores_without_classes_are_empty_arrays_of_doubles(spark):
+    rows = spark.createDataFrame([(1, 0, 1, "a")], "user_id bigint, seq_idx int, pos bigint, target string")
+    found = queries._with_hashed_probs(rows, 5, F.col("target"), [])
+    assert dict(found.dtypes)["probs"] == "array<double>" and found.first()["probs"] == []
+    assert found.where("user_id < 0").select(F.element_at("probs", 1)).collect() == []
+
+
 def test_entry_and_names():
     own = {q.__name__ for q in queries.QUERIES}
     assert own <= set(entry.oracle_sql()) and own <= set(entry.queries())
